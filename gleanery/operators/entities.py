@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions import addresses as ad
 from gleanery.operators.sizing import bounded
@@ -52,8 +53,12 @@ def mail_occurrences(docs: DataFrame, fields: tuple[str, ...] = MAIL_FIELDS) ->
     wide = docs.select(
         "doc_id", "source", "path", *[ad.address_list(F.col(f"`{f}`"), kinds[f]).alias(f) for f in fields]
     )
-    tagged = [F.transform(f"`{f}`", lambda a, f=f: F.struct(F.lit(f).alias("rel"), a.alias("who"))) for f in fields]
-    lists = [F.coalesce(t, F.filter(tagged[0], lambda x: F.lit(False))) for t in tagged]
+
+    def tagged(field: str) -> Column:
+        listed = F.coalesce(F.col(f"`{field}`"), F.array().cast(T.ArrayType(ad.ADDRESS)))
+        return F.transform(listed, lambda who: F.struct(F.lit(field).alias("rel"), who.alias("who")))
+
+    lists = [tagged(f) for f in fields]
     rows = wide.select(
         "doc_id", "source", "path", F.posexplode_outer(F.concat(*lists)).alias("n", "a")
     ).where("a IS NOT NULL")

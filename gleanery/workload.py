@@ -37,7 +37,7 @@ ALIASES = entities.Aliases(
               for i in range(120) for seg in ("Building", "Machinery", "Household")},
     member_of={f"person no {i}": f"Org {i % 7} Ltd." for i in range(30)},
 )
-CARD_ENTITY = ("email", "supplier.000000003@n1.example.com")
+CARD_ENTITY = ("email", "supplier.000000003@suppliers.example.com")
 EMBED_RULES = {f"src{i}": ("tables/*", "notes/1*") if i % 2 else () for i in range(12)}
 MODELS = {"prose": "voyage-3.5", "code": "voyage-code-3"}
 TOP_N = 200
@@ -94,11 +94,11 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as messages: ``doc_id, source, path, title, doc_date, from, to``."""
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     receiver = F.concat(
         "s_name", F.lit(" <"), F.lower(F.translate("s_name", "#", ".")),
-        F.lit("@n"), "s_nationkey", F.lit(".example.com>"),
+        F.lit("@suppliers.example.com>"),
     )
     to = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(
         F.array_join(F.array_sort(F.collect_list(receiver)), ", ").alias("to")
