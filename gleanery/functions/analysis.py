@@ -231,6 +231,19 @@ def term_positions(column: Column | str, analyser: str) -> Column:
     return grouped(column)
 
 
+@lru_cache(maxsize=1)
+def _accent_map() -> dict[int, str | None]:
+    source, target = accent_table()
+    return {ord(c): target[i] if i < len(target) else None for i, c in enumerate(source)}
+
+
+def normalise(word: str, analyser: str) -> str:
+    """One word as the index stores it."""
+    if analyser == "simple":
+        return word.lower()
+    return stem(word.lower().translate(_accent_map()))
+
+
 def query_phrases(query: str, analyser: str = "porter") -> list[list[str]]:
     """The query as phrases of index words, all of which must match.
 
@@ -238,14 +251,6 @@ def query_phrases(query: str, analyser: str = "porter") -> list[list[str]]:
     characters it does not treat as letters or digits ('foo_bar' -> foo, bar).
     Phrases left without a word are ignored.
     """
-    phrases = []
-    for run in re.findall(r"\w+", query):
-        parts = run.lower().split("_")
-        if analyser == "porter":
-            source, target = accent_table()
-            mapping = {ord(c): target[i] if i < len(target) else None for i, c in enumerate(source)}
-            parts = [stem(p.translate(mapping)) for p in parts]
-        parts = [p for p in parts if p]
-        if parts:
-            phrases.append(parts)
-    return phrases
+    runs = [run.split("_") for run in re.findall(r"\w+", query)]
+    phrases = [[normalise(part, analyser) for part in run if part] for run in runs]
+    return [phrase for phrase in phrases if phrase]

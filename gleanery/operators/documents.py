@@ -1,31 +1,25 @@
-"""Per-source counts and document lookups."""
+"""Per-source counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.sizing import bounded
 
-
-def source_stats(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, sources: list[str]) -> DataFrame:
+def source_stats(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, sources: list[str],
+                 doc: tuple[str, ...] = ("doc_id",), seq: str = "seq") -> DataFrame:
     """``source, documents, chunks, embedded`` for every listed source, empty ones included.
 
-    Chunks are counted per document before the join, so the join carries one
-    row per document and a large document adds no weight.
+    Chunks and vectors are counted per document before they meet, so no join
+    carries more than one row per document.
     """
-    flagged = chunks.select("doc_id", "chunk_id").join(
-        vectors.select("chunk_id").distinct().withColumn("_v", F.lit(1)), "chunk_id", "left"
-    )
-    per_doc = flagged.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("_chunks"), F.count("_v").alias("_embedded")
-    )
-    per_source = documents.select("source", "doc_id").join(per_doc, "doc_id", "left").groupBy("source").agg(
+    counted = chunks.groupBy(*doc).agg(F.count(F.lit(1)).alias("_chunks"))
+    done = vectors.select(*doc, seq).distinct().groupBy(*doc).agg(F.count(F.lit(1)).alias("_embedded"))
+    per_doc = documents.select("source", *doc).join(counted, list(doc), "left").join(done, list(doc), "left")
+    per_source = per_doc.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"),
         F.coalesce(F.sum("_chunks"), F.lit(0)).alias("chunks"),
         F.coalesce(F.sum("_embedded"), F.lit(0)).alias("embedded"),
     )
     listed = documents.sparkSession.createDataFrame([(s,) for s in sources], "source string")
-    return bounded(listed, len(sources)).join(per_source, "source", "left").na.fill(
-        0, ["documents", "chunks", "embedded"]
-    )
+    return listed.join(per_source, "source", "left").na.fill(0, ["documents", "chunks", "embedded"])

@@ -23,15 +23,21 @@ MAX_RETRIES = 5
 TOO_LARGE = "max allowed tokens"
 
 KINDS = ("prose", "code")
-VECTOR = (
-    T.StructType()
-    .add("chunk_id", T.LongType())
-    .add("model", T.StringType())
-    .add("embedding", T.ArrayType(T.FloatType()))
-    .add("tokens", T.LongType())
-    .add("call", T.StringType())
-    .add("retries", T.IntegerType())
+CHUNK_FIELDS = (
+    ("doc_id", T.LongType(), pa.int64()),
+    ("seq", T.IntegerType(), pa.int32()),
+    ("source", T.StringType(), pa.string()),
+    ("doc_date", T.StringType(), pa.string()),
 )
+_VECTOR_FIELDS = CHUNK_FIELDS + (
+    ("kind", T.StringType(), pa.string()),
+    ("embedding", T.ArrayType(T.FloatType()), pa.list_(pa.float32())),
+    ("tokens", T.LongType(), pa.int64()),
+    ("call", T.StringType(), pa.string()),
+    ("retries", T.IntegerType(), pa.int32()),
+)
+VECTOR = T.StructType([T.StructField(name, kind) for name, kind, _ in _VECTOR_FIELDS])
+_VECTOR_ARROW = pa.schema([(name, kind) for name, _, kind in _VECTOR_FIELDS])
 
 
 def allowed(source: Column, path: Column, rules: dict[str, tuple[str, ...]]) -> Column:
@@ -76,17 +82,17 @@ def plan(queue: DataFrame, models: dict[str, str]) -> DataFrame:
     )
 
 
-def calls(rows: Iterator[tuple[int, str]], kind: str, max_chunks: int, max_tokens: int) -> Iterator[list]:
-    """Group an ordered stream of (id, text) into calls within both limits.
+def calls(rows: Iterator[dict], kind: str, max_chunks: int, max_tokens: int) -> Iterator[list[dict]]:
+    """Group an ordered stream of chunks (with ``text``) into calls within both limits.
 
     A text larger than the token limit goes alone. Code is budgeted at twice
     its character estimate, because it tokenises more densely.
     """
     weight = 2 if kind == "code" else 1
-    call: list[tuple[int, str]] = []
+    call: list[dict] = []
     spent = 0
     for row in rows:
-        cost = weight * (len(row[1]) // tx.CHARS_PER_TOKEN)
+        cost = weight * (len(row["text"]) // tx.CHARS_PER_TOKEN)
         if call and (len(call) == max_chunks or spent + cost > max_tokens):
             yield call
             call, spent = [], 0
@@ -136,32 +142,32 @@ def send(client: Any, texts: list[str], model: str, *, max_retries: int = MAX_RE
 
 
 def embed_chunks(queue: DataFrame, kind: str, model: str, client_factory: Callable[[], Any], *,
-                 max_chunks: int = CALL_CHUNKS, max_tokens: int = CALL_TOKENS,
-                 max_retries: int = MAX_RETRIES) -> DataFrame:
+                 max_chunks: int = CALL_CHUNKS, max_tokens: int = CALL_TOKENS, max_retries: int = MAX_RETRIES,
+                 transient: tuple[type[Exception], ...] | None = None) -> DataFrame:
     """Vectors of the queue's ``kind`` chunks, one client per task, streaming through it.
 
-    Calls are formed within a task in ``chunk_id`` order; each row says which
+    Calls are formed within a task in document order; each row says which
     call it came from, and the first row of a call how many retries it took.
     """
+    names = [name for name, _, _ in CHUNK_FIELDS]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = None
-        texts = (
-            pair for b in batches for pair in zip(b["chunk_id"].to_pylist(), b["text"].to_pylist())
-        )
-        for call in calls(texts, kind, max_chunks, max_tokens):
+        rows = (row for b in batches for row in b.to_pylist())
+        for call in calls(rows, kind, max_chunks, max_tokens):
             client = client or client_factory()
-            vectors, retries = send(client, [t for _, t in call], model, max_retries=max_retries)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([c for c, _ in call], pa.int64()),
-                    pa.array([kind] * len(call)),
-                    pa.array(vectors, pa.list_(pa.float32())),
-                    pa.array([len(t) // tx.CHARS_PER_TOKEN for _, t in call], pa.int64()),
-                    pa.array([str(call[0][0])] * len(call)),
-                    pa.array([retries] + [0] * (len(call) - 1), pa.int32()),
-                ],
-                names=VECTOR.names,
+            vectors, retries = send(
+                client, [r["text"] for r in call], model, max_retries=max_retries, transient=transient
             )
-
-    ordered = queue.where(F.col("kind") == kind).select("chunk_id", "text").sortWithinPartitions("chunk_id")
+            label = f"{call[0]['doc_id']}/{call[0]['seq']}"
+            yield pa.RecordBatch.from_pylist([
+                {
+                    **{n: row[n] for n in names}, "kind": kind, "embedding": vector,
+                    "tokens": len(row["text"]) // tx.CHARS_PER_TOKEN, "call": label,
+                    "retries": 0 if i else retries,
+                }
+                for i, (row, vector) in enumerate(zip(call, vectors, strict=True))
+            ], _VECTOR_ARROW)
+
+    ordered = queue.where(F.col("kind") == kind).select(*names, "text").sortWithinPartitions("doc_id", "seq")
     return ordered.mapInArrow(run, VECTOR)

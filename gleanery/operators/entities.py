@@ -39,10 +39,6 @@ class Aliases:
     member_of: dict[str, str] = field(default_factory=dict)
 
 
-def entity_id(kind: Column | str, key: Column | str) -> Column:
-    return F.xxhash64(kind, key)
-
-
 def _position(*parts: Column) -> Column:
     return F.struct(F.col("source"), F.col("path"), *parts)
 
@@ -145,8 +141,8 @@ def occurrences(docs: DataFrame, seeds: Seeds) -> DataFrame:
 
 
 def document_edges(found: DataFrame) -> DataFrame:
-    """Distinct ``doc_id, entity_id, rel``."""
-    return found.select("doc_id", entity_id("kind", "key").alias("entity_id"), "rel").distinct()
+    """Distinct ``doc_id, kind, key, rel``."""
+    return found.select("doc_id", "kind", "key", "rel").distinct()
 
 
 def name_votes(found: DataFrame) -> DataFrame:
@@ -161,7 +157,7 @@ def name_votes(found: DataFrame) -> DataFrame:
 
 
 def entities(votes: DataFrame) -> DataFrame:
-    """``entity_id, kind, key, display``.
+    """``kind, key, display``; kind and key together identify an entity.
 
     An address shows its most frequent spelling, the first seen among equals;
     everything else shows the spelling it was first created with.
@@ -172,28 +168,30 @@ def entities(votes: DataFrame) -> DataFrame:
     weight = F.when(F.col("kind") == "email", -F.col("votes")).otherwise(F.lit(0))
     return merged.groupBy("kind", "key").agg(
         F.min_by("display", F.struct(weight, F.col("at"), F.col("display"))).alias("display")
-    ).select(entity_id("kind", "key").alias("entity_id"), "kind", "key", "display")
+    )
 
 
-def _pairs(spark: SparkSession, mapping: dict[str, str], columns: tuple[str, str]) -> DataFrame:
-    schema = f"{columns[0]} string, {columns[1]} string"
-    return bounded(spark.createDataFrame(list(mapping.items()), schema), len(mapping))
+def _pairs(spark: SparkSession, mapping: dict[str, str], normalise) -> DataFrame:
+    """``alias, name`` with normalised aliases; the last of equal ones wins."""
+    rows = [(i, raw, name) for i, (raw, name) in enumerate(mapping.items())]
+    table = spark.createDataFrame(rows, "n long, raw string, name string")
+    return table.groupBy(normalise(F.col("raw")).alias("alias")).agg(F.max_by("name", "n").alias("name"))
 
 
 def alias_tables(spark: SparkSession, aliases: Aliases) -> tuple[DataFrame, DataFrame]:
-    """(email key -> person name), (person key -> organisation name), keys normalised."""
-    persons = _pairs(spark, aliases.alias_of, ("raw", "person"))
-    orgs = _pairs(spark, aliases.member_of, ("raw", "org"))
+    """(email key -> person name), (person key -> organisation name)."""
+    persons = _pairs(spark, aliases.alias_of, ad.email_key)
+    orgs = _pairs(spark, aliases.member_of, ad.slug)
     return (
-        persons.select(ad.email_key(F.col("raw")).alias("email"), "person"),
-        orgs.select(ad.slug(F.col("raw")).alias("member"), "org"),
+        persons.select(F.col("alias").alias("email"), F.col("name").alias("person")),
+        orgs.select(F.col("alias").alias("member"), F.col("name").alias("org")),
     )
 
 
 def linked(votes: DataFrame, aliases: Aliases) -> tuple[DataFrame, DataFrame]:
     """(links, extra votes): entities reached through aliases.
 
-    Links are ``a_id, b_id, rel``: 'alias_of' from an address to its person and
+    Links are ``a_kind, a_key, rel, b_kind, b_key``: 'alias_of' from an address to its person and
     'member_of' from a person to its organisation. The extra votes create the
     persons and organisations that only aliases name.
     """
@@ -210,13 +208,11 @@ def linked(votes: DataFrame, aliases: Aliases) -> tuple[DataFrame, DataFrame]:
         bounded(org_of, len(aliases.member_of)), F.col("key") == F.col("member")
     ).select("key", "at", "org", ad.slug(F.col("org")).alias("org_key"))
     links = aliased.select(
-        entity_id(F.lit("email"), "key").alias("a_id"),
-        entity_id(F.lit("person"), "person_key").alias("b_id"),
-        F.lit("alias_of").alias("rel"),
+        F.lit("email").alias("a_kind"), F.col("key").alias("a_key"), F.lit("alias_of").alias("rel"),
+        F.lit("person").alias("b_kind"), F.col("person_key").alias("b_key"),
     ).unionByName(members.select(
-        entity_id(F.lit("person"), "key").alias("a_id"),
-        entity_id(F.lit("org"), "org_key").alias("b_id"),
-        F.lit("member_of").alias("rel"),
+        F.lit("person").alias("a_kind"), F.col("key").alias("a_key"), F.lit("member_of").alias("rel"),
+        F.lit("org").alias("b_kind"), F.col("org_key").alias("b_key"),
     )).distinct()
     extra = aliased.select(
         F.lit("person").alias("kind"), F.col("person_key").alias("key"),
@@ -240,55 +236,64 @@ def find(known: DataFrame, key: str, kind: str | None = None) -> DataFrame:
     return match.withColumn("_rank", rank).orderBy("_rank", "kind").drop("_rank")
 
 
-def directed_links(links: DataFrame, known: DataFrame, entity: Column) -> DataFrame:
-    """Both directions listed on their own; a link to itself appears in each."""
-    def side(mine: str, other: str, direction: str) -> DataFrame:
-        ends = links.where(F.col(mine) == entity).select("rel", F.col(other).alias("entity_id"))
-        return ends.join(known, "entity_id").select(
-            F.lit(direction).alias("direction"), "rel", "kind", "key", "display"
-        )
+def _is(end: str, kind: str, key: str) -> Column:
+    return (F.col(f"{end}_kind") == kind) & (F.col(f"{end}_key") == key)
+
 
-    return side("a_id", "b_id", "out").unionByName(side("b_id", "a_id", "in"))
+def _ends(links: DataFrame, mine: Column, other: str) -> DataFrame:
+    return links.where(mine).select(
+        "rel", F.col(f"{other}_kind").alias("kind"), F.col(f"{other}_key").alias("key")
+    )
 
 
-def neighbours(links: DataFrame, known: DataFrame, entity: Column) -> DataFrame:
+def directed_links(links: DataFrame, known: DataFrame, kind: str, key: str) -> DataFrame:
+    """Both directions listed on their own; a link to itself appears in each."""
+    out = _ends(links, _is("a", kind, key), "b").withColumn("direction", F.lit("out"))
+    back = _ends(links, _is("b", kind, key), "a").withColumn("direction", F.lit("in"))
+    return out.unionByName(back).join(known, ["kind", "key"]).select(
+        "direction", "rel", "kind", "key", "display"
+    )
+
+
+def neighbours(links: DataFrame, known: DataFrame, kind: str, key: str) -> DataFrame:
     """The other end of every link of an entity; a link to itself counts once.
 
     Two equality filters instead of one OR, so both can use pruned scans.
     """
-    out = links.where(F.col("a_id") == entity).select("rel", F.col("b_id").alias("entity_id"))
-    back = links.where((F.col("b_id") == entity) & (F.col("a_id") != entity)).select(
-        "rel", F.col("a_id").alias("entity_id")
-    )
-    return out.unionByName(back).join(known, "entity_id").select("rel", "kind", "key", "display")
+    out = _ends(links, _is("a", kind, key), "b")
+    back = _ends(links, _is("b", kind, key) & ~_is("a", kind, key), "a")
+    return out.unionByName(back).join(known, ["kind", "key"]).select("rel", "kind", "key", "display")
 
 
-def newest_documents(edges: DataFrame, documents: DataFrame, entity: Column, limit: int = 20) -> DataFrame:
-    mine = edges.where(F.col("entity_id") == entity).select("doc_id", "rel")
+def newest_documents(edges: DataFrame, documents: DataFrame, kind: str, key: str, limit: int = 20,
+                     on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    mine = edges.where((F.col("kind") == kind) & (F.col("key") == key)).select(*on, "rel")
     return (
-        documents.join(mine, "doc_id")
+        documents.join(mine, list(on))
         .orderBy(F.col("doc_date").desc_nulls_last(), "source", "path", "rel")
         .limit(limit)
         .select("source", "path", "title", "doc_date", "rel")
     )
 
 
-def documents_per_entity(edges: DataFrame, known: DataFrame, rels: tuple[str, ...]) -> DataFrame:
+def documents_per_address(edges: DataFrame, known: DataFrame, rels: tuple[str, ...],
+                          on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``key, display, n``: distinct documents per address over the given relations."""
-    counted = edges.where(F.col("rel").isin(*rels)).groupBy("entity_id").agg(
-        F.count_distinct("doc_id").alias("n")
+    counted = edges.where((F.col("kind") == "email") & F.col("rel").isin(*rels)).groupBy("key").agg(
+        F.count_distinct(*on).alias("n")
     )
-    return known.where("kind = 'email'").join(counted, "entity_id").select("key", "display", "n")
+    return known.where("kind = 'email'").join(counted, "key").select("key", "display", "n")
 
 
-def alias_review(edges: DataFrame, known: DataFrame, top_n: int = 200) -> DataFrame:
+def alias_review(edges: DataFrame, known: DataFrame, top_n: int = 200,
+                 on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Top correspondents plus every commit author: ``key, display, n, tags``."""
     top = (
-        documents_per_entity(edges, known, CORRESPONDENT_RELS)
+        documents_per_address(edges, known, CORRESPONDENT_RELS, on)
         .orderBy(F.col("n").desc(), "key").limit(top_n)
         .select("key", F.col("display").alias("c_display"), F.col("n").alias("c_n"))
     )
-    authors = documents_per_entity(edges, known, ("author",)).select(
+    authors = documents_per_address(edges, known, ("author",), on).select(
         "key", F.col("display").alias("a_display"), F.col("n").alias("a_n")
     )
     tags = F.concat_ws(

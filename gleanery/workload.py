@@ -386,8 +386,7 @@ def email_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (document, entity, relation), addressed by the entity's key."""
-    return mail_found(spark, sf_dir).select("doc_id", "kind", "key", "rel").distinct()
+    return entities.document_edges(mail_found(spark, sf_dir))
 
 
 def display_most_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,28 +423,28 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, links, known = _graph(spark, sf_dir)
-    a = known.select(F.col("entity_id").alias("a_id"), F.concat_ws(":", "kind", "key").alias("a"))
-    b = known.select(F.col("entity_id").alias("b_id"), F.concat_ws(":", "kind", "key").alias("b"))
-    return links.join(a, "a_id").join(b, "b_id").select("a", "rel", "b")
+    _, links, _ = _graph(spark, sf_dir)
+    return links.select(
+        F.concat_ws(":", "a_kind", "a_key").alias("a"), "rel", F.concat_ws(":", "b_kind", "b_key").alias("b")
+    )
 
 
 def entity_card_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both directions of one person's links."""
     _, links, known = _graph(spark, sf_dir)
-    return entities.directed_links(links, known, entities.entity_id(F.lit("person"), F.lit("person no 5")))
+    return entities.directed_links(links, known, "person", "person no 5")
 
 
 def entity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, links, known = _graph(spark, sf_dir)
-    return entities.neighbours(links, known, entities.entity_id(F.lit("person"), F.lit("person no 5")))
+    return entities.neighbours(links, known, "person", "person no 5")
 
 
 def entity_card_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = entities.document_edges(mail_found(spark, sf_dir))
     kind, key = CARD_ENTITY
     docs = mail(spark, sf_dir).select("doc_id", "source", "path", "title", "doc_date")
-    return entities.newest_documents(edges, docs, entities.entity_id(F.lit(kind), F.lit(key)))
+    return entities.newest_documents(edges, docs, kind, key)
 
 
 def alias_review(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -519,11 +518,9 @@ def embed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunk_id = F.xxhash64("doc_id", "seq").alias("chunk_id")
-    chunks = corpus_chunks(spark, sf_dir).select("doc_id", chunk_id)
-    done = _embedded(spark, sf_dir).select(F.xxhash64("doc_id", "seq").alias("chunk_id"))
+    chunks = corpus_chunks(spark, sf_dir).select("doc_id", "seq")
     names = [f"src{i}" for i in range(0, 24, 2)]
-    return documents.source_stats(corpus(spark, sf_dir), chunks, done, names)
+    return documents.source_stats(corpus(spark, sf_dir), chunks, _embedded(spark, sf_dir), names)
 
 
 QUERIES = {
