@@ -8,6 +8,8 @@ those runs back into text. No shuffle: one document in, its chunks out.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from gleanery.functions import text as tx
 # Sizes in estimated tokens.
 PROSE_TOKENS, PROSE_OVERLAP = 1000, 100
 CODE_TOKENS = 1500
+_UNBOUNDED = 2**31 - 1
 RUNS = T.ArrayType(T.StructType().add("first", T.IntegerType()).add("n", T.IntegerType()))
 
 # A Unicode noncharacter, reserved for exactly this kind of internal marking.
@@ -107,36 +110,82 @@ def _tail(lengths: list[int], low: int, end: int, overlap: int, joiner: int) ->
     return start, size
 
 
-def _runs_udf(target: int, overlap: int, joiner: int):
-    @F.arrow_udf(RUNS)
-    def runs(groups: pa.Array) -> pa.Array:
-        out = []
-        for nested in groups.to_pylist():
-            base, found = 0, []
-            for lengths in nested or ():
-                found += [
-                    {"first": base + first, "n": n}
-                    for first, n in pack(lengths, target, overlap, joiner)
-                ]
-                base += len(lengths)
-            out.append(found)
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
-        return pa.array(out, kind)
+@F.arrow_udf(RUNS)
+def _runs(groups: pa.Array, target: pa.Array, overlap: pa.Array, joiner: pa.Array) -> pa.Array:
+    out = []
+    for nested, *limits in zip(*(column.to_pylist() for column in (groups, target, overlap, joiner))):
+        base, found = 0, []
+        for lengths in nested or ():
+            lengths = lengths or ()
+            found += [{"first": base + first, "n": n} for first, n in pack(lengths, *limits)]
+            base += len(lengths)
+        out.append(found)
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))
 
-    return runs
+
+@dataclass(frozen=True)
+class Rule:
+    """How one kind of text is split: its groups of units (``array<array<string>>``),
+    the limits in characters, and what joins units."""
+
+    groups: Column
+    target: int
+    overlap: int = 0
+    joiner: str = "\n\n"
+    head: Column | None = None  # repeated at the top of every chunk
+
+
+def prose_rule(text: Column, markdown: bool = False, target_tokens: int = PROSE_TOKENS,
+               overlap_tokens: int = PROSE_OVERLAP) -> Rule:
+    if markdown:
+        groups = F.transform(sections(tx.strip(text)), paragraphs)
+    else:
+        groups = F.array(paragraphs(text))
+    return Rule(groups, target_tokens * tx.CHARS_PER_TOKEN, overlap_tokens * tx.CHARS_PER_TOKEN)
+
+
+def csv_rule(text: Column, target_tokens: int = PROSE_TOKENS, overlap_tokens: int = PROSE_OVERLAP) -> Rule:
+    """Every chunk repeats the first row; no quoting awareness."""
+    rows = csv_rows(text)
+    data = F.filter(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda r: r != "")
+    return Rule(
+        F.array(data), target_tokens * tx.CHARS_PER_TOKEN, overlap_tokens * tx.CHARS_PER_TOKEN, "\n",
+        F.element_at(rows, 1),
+    )
 
 
-def bodies(
-    docs: DataFrame, groups: Column, *, target: int, overlap: int, joiner: str, into: str = "bodies"
-) -> DataFrame:
-    """Add ``into``: the chunk bodies of ``groups`` (array of unit arrays).
+def code_rule(text: Column, target_tokens: int = CODE_TOKENS) -> Rule:
+    target = target_tokens * tx.CHARS_PER_TOKEN
+    return Rule(F.array(code_blocks(text, target)), target)
 
-    Units longer than ``target`` are cut into target-size slices first. Groups
-    are packed one by one, so no chunk or overlap crosses a group.
+
+def whole_rule(text: Column) -> Rule:
+    body = tx.strip(text)
+    return Rule(F.when(body != "", F.array(F.array(body))), _UNBOUNDED)
+
+
+def add_bodies(docs: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """Add ``bodies``, the chunk bodies of each document, under the rule its ``layout`` names.
+
+    One pass whatever the mix of layouts. Units longer than the target are cut
+    into target-size slices first. Groups are packed one by one, so neither a
+    chunk nor an overlap crosses a group.
     """
+    def pick(of) -> Column:
+        return F.coalesce(*[F.when(F.col("layout") == name, of(rule)) for name, rule in rules.items()])
+
+    ruled = docs.withColumns({
+        "_groups": pick(lambda r: r.groups),
+        "_head": pick(lambda r: r.head if r.head is not None else F.lit(None).cast("string")),
+        "_target": pick(lambda r: F.lit(r.target)),
+        "_overlap": pick(lambda r: F.lit(r.overlap)),
+        "_joiner": pick(lambda r: F.lit(r.joiner)),
+    })
+    slice_pattern = F.concat(F.lit("([\\s\\S]{1,"), F.col("_target").cast("string"), F.lit("})"))
+
     def cut(unit: Column) -> Column:
         return F.when(
-            F.length(unit) > target, F.regexp_extract_all(unit, F.lit(f"([\\s\\S]{{1,{target}}})"), 1)
+            F.length(unit) > F.col("_target"), F.regexp_extract_all(unit, slice_pattern, 1)
         ).otherwise(F.array(unit))
 
     def signed(slices: Column) -> Column:
@@ -144,63 +193,47 @@ def bodies(
             F.size(slices) > 1, F.transform(slices, lambda s: -F.length(s))
         ).otherwise(F.transform(slices, F.length))
 
-    pieces = F.transform(groups, lambda g: F.transform(g, cut))
-    cuts = docs.withColumn("_pieces", pieces)
-    units = cuts.withColumn(
-        "_units", F.flatten(F.flatten("_pieces"))
-    ).withColumn(
-        "_lengths", F.transform("_pieces", lambda g: F.flatten(F.transform(g, signed)))
-    ).drop("_pieces")
-    planned = units.withColumn("_runs", _runs_udf(target, overlap, len(joiner))("_lengths"))
-    texts = tx.let(
-        F.col("_units"),
-        lambda units: F.transform(
-            "_runs", lambda r: F.array_join(F.slice(units, r["first"] + 1, r["n"]), joiner)
-        ),
-    )
-    return planned.withColumn(into, texts).drop("_units", "_lengths", "_runs")
+    cuts = ruled.withColumn("_pieces", F.transform("_groups", lambda g: F.transform(g, cut)))
+    lengths = F.transform("_pieces", lambda g: F.flatten(F.transform(g, signed)))
+    planned = cuts.withColumn("_runs", _runs(lengths, F.col("_target"), F.col("_overlap"), F.length("_joiner")))
 
+    def joined(units: Column) -> Column:
+        return F.transform(
+            "_runs",
+            lambda r: F.call_function("array_join", F.slice(units, r["first"] + 1, r["n"]), F.col("_joiner")),
+        )
 
-def chunk_prose(docs: DataFrame, text: Column, *, markdown: bool = False,
-                target_tokens: int = PROSE_TOKENS, overlap_tokens: int = PROSE_OVERLAP) -> DataFrame:
-    groups = (
-        F.transform(sections(tx.strip(text)), paragraphs) if markdown else F.array(paragraphs(text))
-    )
-    return bodies(docs, groups, target=target_tokens * tx.CHARS_PER_TOKEN,
-                  overlap=overlap_tokens * tx.CHARS_PER_TOKEN, joiner="\n\n")
+    def headed(head: Column) -> Column:
+        return (
+            F.when(head == "", F.array().cast("array<string>"))
+            .when(F.size("_joined") == 0, F.array(head))
+            .otherwise(F.transform("_joined", lambda b: F.concat(head, F.lit("\n"), b)))
+        )
 
+    texts = planned.withColumn("_joined", tx.let(F.flatten(F.flatten("_pieces")), joined))
+    bodies = F.when(F.col("_head").isNull(), F.col("_joined")).otherwise(tx.let(F.col("_head"), headed))
+    helpers = ("_groups", "_head", "_target", "_overlap", "_joiner", "_pieces", "_runs", "_joined")
+    return texts.withColumn("bodies", bodies).drop(*helpers)
 
-def chunk_csv(docs: DataFrame, text: Column, *, target_tokens: int = PROSE_TOKENS,
-              overlap_tokens: int = PROSE_OVERLAP) -> DataFrame:
-    """Row packing; every chunk repeats the header row. No quoting awareness."""
-    rows = csv_rows(text)
-    data = F.filter(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda r: r != "")
-    head = F.element_at(rows, 1)
-    packed = bodies(docs.withColumn("_head", head), F.array(data),
-                    target=target_tokens * tx.CHARS_PER_TOKEN,
-                    overlap=overlap_tokens * tx.CHARS_PER_TOKEN, joiner="\n")
-    headed = tx.let(
-        F.col("_head"),
-        lambda first: F.transform("bodies", lambda b: F.concat(first, F.lit("\n"), b)),
-    )
-    result = (
-        F.when(F.coalesce(F.col("_head"), F.lit("")) == "", F.array().cast("array<string>"))
-        .when(F.size("bodies") == 0, F.array("_head"))
-        .otherwise(headed)
-    )
-    return packed.withColumn("bodies", result).drop("_head")
 
+def _by(docs: DataFrame, rule: Rule) -> DataFrame:
+    return add_bodies(docs.withColumn("layout", F.lit("only")), {"only": rule}).drop("layout")
+
+
+def chunk_prose(docs: DataFrame, text: Column, **limits) -> DataFrame:
+    return _by(docs, prose_rule(text, **limits))
 
-def chunk_code(docs: DataFrame, text: Column, *, target_tokens: int = CODE_TOKENS) -> DataFrame:
-    target = target_tokens * tx.CHARS_PER_TOKEN
-    return bodies(docs, F.array(code_blocks(text, target)), target=target, overlap=0, joiner="\n\n")
+
+def chunk_csv(docs: DataFrame, text: Column, **limits) -> DataFrame:
+    return _by(docs, csv_rule(text, **limits))
+
+
+def chunk_code(docs: DataFrame, text: Column, **limits) -> DataFrame:
+    return _by(docs, code_rule(text, **limits))
 
 
 def chunk_whole(docs: DataFrame, text: Column) -> DataFrame:
-    body = tx.strip(text)
-    return docs.withColumn(
-        "bodies", F.when(body != "", F.array(body)).otherwise(F.array().cast("array<string>"))
-    )
+    return _by(docs, whole_rule(text))
 
 
 def explode_chunks(docs: DataFrame, header: Column, lead: Column | None = None) -> DataFrame:
@@ -209,9 +242,10 @@ def explode_chunks(docs: DataFrame, header: Column, lead: Column | None = None)
     ``lead`` is an optional body placed before all others (NULL for none).
     """
     extra = F.when(lead.isNotNull(), F.array(lead)) if lead is not None else None
-    every = F.col("bodies")
+    nothing = F.array().cast("array<string>")
+    every = F.coalesce("bodies", nothing)
     if extra is not None:
-        every = F.concat(F.coalesce(extra, F.array().cast("array<string>")), every)
+        every = F.concat(F.coalesce(extra, nothing), every)
     labelled = tx.let(header, lambda h: F.transform(every, lambda b: F.concat(h, F.lit("\n\n"), b)))
     keep = [c for c in docs.columns if c not in ("bodies", "text")]
     # The outer form, because for the plain one the optimizer infers a filter that
@@ -220,27 +254,21 @@ def explode_chunks(docs: DataFrame, header: Column, lead: Column | None = None)
 
 
 def chunk_by_layout(docs: DataFrame, header: Column, lead: Column | None = None) -> DataFrame:
-    """Chunk documents of mixed kinds; needs columns ``layout`` and ``text``."""
-    text, layout = F.col("text"), F.col("layout")
-    nothing = F.array().cast("array<string>")
+    """Chunk documents of mixed kinds; needs columns ``layout`` and ``text``.
 
-    def only(*layouts: str) -> DataFrame:
-        return docs.where(layout.isin(*layouts))
-
-    mail = chunk_prose(only("mail"), F.coalesce(text, F.lit("")))
-    content = F.col("text").isNotNull()
-    parts = [
-        chunk_prose(only("prose").where(content), text),
-        chunk_prose(only("markdown").where(content), text, markdown=True),
-        chunk_csv(only("csv").where(content), text),
-        chunk_code(only("code").where(content), text),
-        chunk_whole(only("whole").where(content), text),
-        mail.withColumn("bodies", F.coalesce("bodies", nothing)),
-    ]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return explode_chunks(merged, header, lead)
+    Mail without a text still yields its lead chunk; other documents without
+    one yield nothing.
+    """
+    text = F.col("text")
+    rules = {
+        "mail": prose_rule(text),
+        "prose": prose_rule(text),
+        "markdown": prose_rule(text, markdown=True),
+        "csv": csv_rule(text),
+        "code": code_rule(text),
+        "whole": whole_rule(text),
+    }
+    return explode_chunks(add_bodies(docs, rules), header, lead)
 
 
 def reconstruct(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

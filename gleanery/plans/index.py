@@ -7,9 +7,9 @@ rewritten: a changed or deleted document is listed in ``retired`` under the
 batch that held it, and its rows drop out of reads by an anti join. A row's
 identity is (batch, doc_id[, seq]), unique by construction.
 
-Layout within a batch serves pruning: postings are range-partitioned and sorted
-by term (splitting a very common term over many files), occurrences and names
-by key, documents by path, chunks in document order.
+Layout within a batch serves pruning: postings are grouped and sorted by term
+(a very common term is split over several files), occurrences and names by key,
+documents by path, chunks in document order.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ class Index:
         for column in {"documents": ["path"], "postings": ["term"], "occurrences": ["key"], "names": ["key"]}.get(name, []):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         path = f"{self.root}/{name}/batch={batch}"
-        writer.parquet(path)
+        writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def commit(self, batch: int, **counts) -> None:

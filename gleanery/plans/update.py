@@ -78,7 +78,7 @@ def update_source(index: Index, source: Source, seeds: entities.Seeds, aliases:
     docs = index.append("documents", numbered.withColumn("content_indexed", F.col("text").isNotNull()), batch)
     chunks = index.append("chunks", chunked(docs), batch)
     words = lexical.build_postings(chunks.select("doc_id", "seq", "source", "doc_date", "text"))
-    index.append("postings", words.repartitionByRange("term", "doc_id", "seq").sortWithinPartitions("term"), batch)
+    index.append("postings", by_key(words, "term"), batch)
     write_entities(index, docs, batch, seeds, aliases)
 
     gone = delta.where(F.col("change").isin("changed", "deleted")).select("gone_batch", "doc_id")
@@ -95,6 +95,15 @@ def update_source(index: Index, source: Source, seeds: entities.Seeds, aliases:
     return Outcome(added, changed, deleted, unchanged, new_chunks)
 
 
+def by_key(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows of a key together and sorted, so that lookups by key skip row groups.
+
+    Rebalancing lets Spark split a key too large for one task over several
+    files, in one pass (a range partitioning would compute its input twice).
+    """
+    return rows.hint("rebalance", *map(F.col, key)).sortWithinPartitions(*key)
+
+
 def _size(chunks: DataFrame) -> tuple[int, int]:
     row = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
     return row[0], row[1]
@@ -106,10 +115,10 @@ def write_entities(index: Index, docs: DataFrame, batch: int, seeds: entities.Se
     stamped = F.struct(F.lit(batch).alias("batch"), "at.source", "at.path", "at.n")
     rows = index.append(
         "occurrences",
-        found.withColumn("at", stamped).repartitionByRange("kind", "key", "doc_id").sortWithinPartitions("kind", "key"),
+        by_key(found.withColumn("at", stamped), "key", "kind"),
         batch,
     )
     votes = entities.name_votes(rows)
     links, extra = entities.linked(votes, aliases)
-    index.append("names", votes.unionByName(extra).sort("kind", "key"), batch)
+    index.append("names", by_key(votes.unionByName(extra), "key", "kind"), batch)
     index.append("links", links, batch)
