@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions import text as tx
-from gleanery.sources.globs import glob_regex
+from gleanery.sources.globs import any_glob
 
 # Estimated USD per million tokens, and the limits of one call.
 PRICE_PER_MILLION = {"voyage-3.5": 0.06, "voyage-code-3": 0.18}
@@ -42,13 +42,8 @@ _VECTOR_ARROW = pa.schema([(name, kind) for name, _, kind in _VECTOR_FIELDS])
 
 def allowed(source: Column, path: Column, rules: dict[str, tuple[str, ...]]) -> Column:
     """``rules``: embeddable source -> path globs that stay out."""
-    def open_to(name: str, globs: tuple[str, ...]) -> Column:
-        out = [path.rlike(glob_regex(g)) for g in globs]
-        mine = source == name
-        return mine & ~reduce(or_, out) if out else mine
-
-    parts = [open_to(n, g) for n, g in rules.items()]
-    return reduce(or_, parts) if parts else F.lit(False)
+    parts = [(source == name) & ~any_glob(path, globs) for name, globs in rules.items()]
+    return reduce(or_, parts, F.lit(False))
 
 
 def eligible(chunks: DataFrame, vectors: DataFrame, rules: dict[str, tuple[str, ...]],

@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gleanery.config import Source
+from gleanery.functions.text import is_commit
 from gleanery.sources.globs import selected
 
 # Names that belong to the mirroring tools, not to the corpus.
@@ -225,11 +227,6 @@ class MailLabels(DataSource):
 
 def probes(spark: SparkSession, source: Source) -> DataFrame:
     """``source, path, stat_sig, git_sha`` of everything the source holds now."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
-    import pyarrow as pa
-
     if source.type == "gitrepo":
         spark.dataSource.register(GitRepo)
         found = spark.read.format("git_repo").options(
@@ -239,12 +236,8 @@ def probes(spark: SparkSession, source: Source) -> DataFrame:
         spark.dataSource.register(FileTree)
         suffix = ".eml" if source.type == "eml_tree" else ""
         found = spark.read.format("file_tree").options(root=source.root, suffix=suffix).load()
-    include, exclude = source.include, source.exclude
-    if include or exclude:
-
-        @F.arrow_udf(T.BooleanType())
-        def wanted(paths: pa.Array) -> pa.Array:
-            return pa.array([selected(p, include, exclude) for p in paths.to_pylist()], pa.bool_())
-
-        found = found.where(F.col("path").startswith("commit/") & F.lit(source.type == "gitrepo") | wanted("path"))
+    wanted = selected(F.col("path"), source.include, source.exclude)
+    if source.type == "gitrepo":
+        wanted = wanted | is_commit(F.col("path"))
+    found = found.where(wanted)
     return found.select(F.lit(source.name).alias("source"), "path", "stat_sig", "git_sha")

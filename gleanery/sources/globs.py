@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def glob_regex(pattern: str) -> str:
@@ -12,10 +17,11 @@ def glob_regex(pattern: str) -> str:
     return "^" + regex.removesuffix(r"\Z").removesuffix(r"\z") + r"\z"
 
 
-def selected(path: str, include: Iterable[str], exclude: Iterable[str]) -> bool:
-    """Within ``include`` (everything when empty) and outside ``exclude``."""
-    def hit(globs: Iterable[str]) -> bool:
-        return any(fnmatch.fnmatch(path, g) for g in globs)
+def any_glob(path: Column, globs: Iterable[str]) -> Column:
+    return reduce(or_, [path.rlike(glob_regex(g)) for g in globs], F.lit(False))
 
+
+def selected(path: Column, include: Iterable[str], exclude: Iterable[str]) -> Column:
+    """Within ``include`` (everything when empty) and outside ``exclude``."""
     include = tuple(include)
-    return (not include or hit(include)) and not hit(exclude)
+    return (any_glob(path, include) if include else F.lit(True)) & ~any_glob(path, exclude)
