@@ -27,6 +27,35 @@ def parse_headers(headers: pa.Array) -> pa.Array:
     return pa.array(out, kind)
 
 
+# Items that mean the same to any reader: 'addr' or 'words <addr>', nothing quoted,
+# commented, grouped or folded.
+_MAILBOX = r"[A-Za-z0-9._+\-]+@[A-Za-z0-9.\-]+"
+_WORDS = r"[\p{L}\p{N} .#$%&'*+/=?^_`{|}~!\-]*"
+_PLAIN = rf"^ *(?:{_MAILBOX}|{_WORDS}<{_MAILBOX}>) *\z"
+
+
+def _plain_items(header: Column) -> Column:
+    return F.split(header, ",")
+
+
+def _plain_address(item: Column) -> Column:
+    words = tx.squash(F.regexp_extract(item, "^([^<]*)<", 1))
+    return F.struct(
+        F.regexp_extract(item, f"({_MAILBOX})>? *\\z", 1).alias("address"), F.when(words != "", words).alias("name")
+    )
+
+
+def parse_header(header: Column) -> Column:
+    """Addresses of one header string.
+
+    Plain lists, which is nearly all of them, are split by Spark itself; only
+    headers with quotes, comments, groups or anything else go to Python.
+    """
+    plain = F.forall(_plain_items(header), lambda item: item.rlike(_PLAIN))
+    parsed = parse_headers(F.when(~plain, F.array(header)))
+    return F.when(plain, F.transform(_plain_items(header), _plain_address)).otherwise(parsed)
+
+
 def address_list(field: Column, kind: T.DataType) -> Column:
     """``array<struct<address, name>>`` of a header string, a list of them, or
     already split ``(email, name)`` structs."""
@@ -37,7 +66,7 @@ def address_list(field: Column, kind: T.DataType) -> Column:
             F.when(tx.strip(p[name]) != "", tx.strip(p[name])).alias("name"),
         ))
         return F.filter(pairs, lambda p: p["address"] != "")
-    return parse_headers(field if isinstance(kind, T.ArrayType) else F.array(field))
+    return parse_headers(field) if isinstance(kind, T.ArrayType) else parse_header(field)
 
 
 def email_key(address: Column) -> Column:

@@ -248,8 +248,12 @@ def rrf_three_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: BM25 + two vector spaces, fused, collapsed to documents, best ten."""
     best = fusion.best_per_document(_fused(spark, sf_dir), ["doc_id"])
-    chunks = corpus_chunks(spark, sf_dir).select("doc_id", "seq", "source", "path", "doc_date", "text")
-    hits = fusion.top_hits(chunks.join(F.broadcast(best), ["doc_id", "seq"]), 10)  # best: at most 150 rows
+    best = best.select("doc_id", F.col("seq").alias("best_seq"), "score")
+    # At most 150 winners: only their documents are read in full and chunked again.
+    docs = corpus(spark, sf_dir).join(F.broadcast(best), "doc_id")
+    split = chunking.chunk_prose(docs, F.col("text"))
+    chunks = chunking.explode_chunks(split, headers.file_header(F.col("source"), F.col("path")))
+    hits = fusion.top_hits(chunks.where(F.col("seq") == F.col("best_seq")), 10)
     return hits.select(
         "source", "path", "doc_date", published("score").alias("score"),
         tx.excerpt(F.col("text")).alias("excerpt"), F.col("seq").cast("long").alias("chunk_seq"),
