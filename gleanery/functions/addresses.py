@@ -39,9 +39,11 @@ def _plain_items(header: Column) -> Column:
 
 
 def _plain_address(item: Column) -> Column:
-    words = tx.squash(F.regexp_extract(item, "^([^<]*)<", 1))
+    spaced = F.trim(F.regexp_replace(F.substring_index(item, "<", 1), " +", " "))
+    angled = F.contains(item, F.lit("<"))
     return F.struct(
-        F.regexp_extract(item, f"({_MAILBOX})>? *\\z", 1).alias("address"), F.when(words != "", words).alias("name")
+        F.when(angled, F.substring_index(F.substring_index(item, "<", -1), ">", 1)).otherwise(F.trim(item)).alias("address"),
+        F.when(angled & (spaced != ""), spaced).alias("name"),
     )
 
 

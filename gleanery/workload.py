@@ -95,13 +95,13 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     receiver = F.concat(
         "s_name", F.lit(" <"), F.lower(F.translate("s_name", "#", ".")),
         F.lit("@suppliers.example.com>"),
     )
     to = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(
-        F.array_join(F.array_sort(F.collect_list(receiver)), ", ").alias("to")
+        F.array_join(F.array_sort(F.collect_set(receiver)), ", ").alias("to")
     )
     shown = F.when(F.col("o_orderkey") % 3 == 0, F.upper("c_name")).otherwise(F.col("c_name"))
     sender = F.concat(
