@@ -125,6 +125,138 @@ SELECT doc_id, source, round(score, 6) AS score FROM scored WHERE {where}
 ORDER BY round(scored.score, 9) DESC, doc_id LIMIT 50"""
 
 
+# --- stemming --------------------------------------------------------------------------
+
+FOLDED = WORDS.replace("lower({0})", "strip_accents(lower({0}))")
+
+# The paper's rules, longest suffix first within each step.
+PORTER_2 = """ational>ate ization>ize iveness>ive fulness>ful ousness>ous tional>tion biliti>ble entli>ent ousli>ous
+ation>ate alism>al aliti>al iviti>ive enci>ence anci>ance izer>ize logi>log alli>al ator>ate bli>ble eli>e"""
+PORTER_3 = "icate>ic ative> alize>al iciti>ic ical>ic ness> ful>"
+PORTER_4 = "ement ance ence able ible ment ant ent ion ism ate iti ous ive ize al er ic ou"
+
+
+def shape(word: str) -> str:
+    x = f"regexp_replace(regexp_replace({word}, '[aeiou]', 'V', 'g'), '[^Vy]', 'C', 'g')"
+    for _ in range(4):
+        x = rf"replace(regexp_replace({x}, '(^|V)y', '\1C', 'g'), 'Cy', 'CV')"
+    return x
+
+
+def measure(n: str) -> str:
+    return f"((length(substr(s, 1, {n})) - length(replace(substr(s, 1, {n}), 'VC', ''))) // 2)"
+
+
+def ends(suffix: str) -> str:
+    return f"length(w) > {len(suffix)} AND w LIKE '%{suffix}'"
+
+
+def cut(suffix: str) -> tuple[str, str]:
+    n = f"(length(w) - {len(suffix)})"
+    return f"substr(w, 1, {n})", n
+
+
+def replaced(rules: str) -> str:
+    cases = []
+    for rule in rules.split():
+        old, new = rule.split(">")
+        root, n = cut(old)
+        cases.append(f"WHEN {ends(old)} THEN CASE WHEN {measure(n)} > 0 THEN {root} || '{new}' ELSE w END")
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+def dropped() -> str:
+    cases = []
+    for old in PORTER_4.split():
+        root, n = cut(old)
+        also = f" AND right({root}, 1) IN ('s', 't')" if old == "ion" else ""
+        cases.append(f"WHEN {ends(old)} THEN CASE WHEN {measure(n)} > 1{also} THEN {root} ELSE w END")
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+CVC = "(substr(s, {0} - 2, 3) = 'CVC' AND {0} > 2 AND substr(w, {0}, 1) NOT IN ('w', 'x', 'y'))"
+PAST = f"""CASE WHEN {ends('eed')} THEN CASE WHEN {measure('length(w) - 3')} > 0 THEN left(w, -1) ELSE w END
+  WHEN {ends('ed')} OR {ends('ing')} THEN CASE WHEN NOT regexp_matches(root, '[aeiou]|.y') THEN w
+    WHEN regexp_matches(root, '.(at|bl|iz)$') THEN root || 'e'
+    WHEN regexp_matches(root, '(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|yy)$') THEN left(root, -1)
+    WHEN {measure('length(root)')} = 1 AND {CVC.format('length(root)')} THEN root || 'e' ELSE root END ELSE w END"""
+FINAL_E = f"""CASE WHEN w LIKE '%e' AND ({measure('length(w) - 1')} > 1
+    OR ({measure('length(w) - 1')} = 1 AND NOT {CVC.format('(length(w) - 1)')})) THEN left(w, -1) ELSE w END"""
+FINAL_L = f"CASE WHEN w LIKE '%ll' AND {measure('length(w) - 1')} > 1 THEN left(w, -1) ELSE w END"
+
+
+def stems(vocabulary: str) -> str:
+    """CTEs from ``vocabulary`` (rows of ``raw``) to ``stems`` (``raw, stem``).
+
+    A non-ASCII letter is written twice while stemming: it counts as two
+    consonants, as its two bytes do.
+    """
+    steps = [
+        "CASE WHEN w NOT LIKE '%s' OR w LIKE '%ss' THEN w WHEN regexp_matches(w, '.(sses|ies)$') THEN left(w, -2) ELSE left(w, -1) END",
+        PAST,
+        "CASE WHEN w LIKE '%y' AND regexp_matches(left(w, -1), '[aeiou]|.y') THEN left(w, -1) || 'i' ELSE w END",
+        replaced(PORTER_2), replaced(PORTER_3), dropped(), FINAL_E, FINAL_L,
+    ]
+    ctes = [rf"""stem0 AS (SELECT raw, regexp_replace(raw, '([^\x00-\x7f])', '\1\1', 'g') AS w FROM ({vocabulary})
+  WHERE strlen(raw) BETWEEN 3 AND 64)"""]
+    for n, step in enumerate(steps):
+        ctes.append(f"""stem{n + 1} AS (SELECT raw, {step} AS w FROM (
+    SELECT *, {shape("w")} AS s, CASE WHEN w LIKE '%ing' THEN left(w, -3) ELSE left(w, -2) END AS root FROM stem{n}))""")
+    ctes.append(rf"""stems AS (SELECT raw, regexp_replace(w, '([^\x00-\x7f])[^\x00-\x7f]', '\1', 'g') AS stem FROM stem{len(steps)}
+  UNION ALL SELECT raw, raw FROM ({vocabulary}) WHERE strlen(raw) NOT BETWEEN 3 AND 64)""")
+    return ", ".join(ctes)
+
+
+VOCABULARY = f"SELECT DISTINCT unnest({FOLDED.format('text')}) AS raw FROM documents"
+
+
+def porter(query: str) -> str:
+    words = query.lower().split()
+    asked = ", ".join(f"('{q}')" for q in words)
+    ctes = stems(f"{VOCABULARY} UNION SELECT col0 FROM (VALUES {asked})")
+    counts = ", ".join(f"len(list_filter(ws, lambda t: list_contains(v{i}, t))) AS f{i}" for i in range(len(words)))
+    spellings = ", ".join(
+        f"(SELECT list(raw) FROM stems WHERE stem = (SELECT stem FROM stems WHERE raw = '{q}')) AS v{i}"
+        for i, q in enumerate(words)
+    )
+    body = bm25_ctes("corpus", [[q] for q in words], "doc_id, source, doc_date", FOLDED.format("text"))
+    head, tail = body.split("counted AS (", 1)
+    rest = tail.split("totals AS", 1)[1]
+    return f"""WITH {CORPUS}, {ctes}, {head}spelled AS (SELECT *, {spellings} FROM words),
+counted AS (SELECT doc_id, source, doc_date, len(ws) AS dl, {counts} FROM spelled),
+totals AS{rest}
+SELECT doc_id, source, round(score, 6) AS score FROM scored ORDER BY round(scored.score, 9) DESC, doc_id LIMIT 50"""
+
+
+# --- snippets ----------------------------------------------------------------------------
+
+
+def snippets(word: str) -> str:
+    """The best twelve-word window of each top hit of a one-word query."""
+    inside = "list_filter(ps, lambda q: q >= {0} AND q < {0} + 12)"
+    own, opening = inside.format("p"), inside.format("o")
+    return rf"""WITH {CORPUS}, {bm25_ctes("corpus", [[word]], "doc_id, source, doc_date")},
+top AS (SELECT doc_id FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 50),
+t AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{Co}}]+') AS ws, regexp_extract_all(text, '[^\p{{L}}\p{{N}}\p{{Co}}]+') AS gaps,
+  regexp_matches(text, '^[\p{{L}}\p{{N}}\p{{Co}}]') AS bare FROM documents WHERE doc_id IN (SELECT doc_id FROM top)),
+g AS (SELECT doc_id, text, ws, len(ws) AS n, CASE WHEN bare THEN '' ELSE gaps[1] END AS lead, CASE WHEN bare THEN gaps ELSE gaps[2:] END AS after,
+  list_filter(range(len(ws)), lambda i: lower(ws[i + 1]) = '{word}') AS ps FROM t),
+s AS (SELECT *, list_filter(range(n), lambda i: i = 0 OR regexp_matches(after[i], '[.:][ \t\n\r]*$')) AS ss FROM g),
+c AS (SELECT doc_id, unnest(ps) AS p, ps, ss, n FROM s),
+o AS (SELECT *, list_max(list_filter(ss, lambda x: x <= p)) AS o FROM c),
+k AS (
+  SELECT doc_id, p, 0 AS second, 999 + len({own}) AS score,
+    greatest(least({own}[1] - trunc((12 - ({own}[-1] + 1 - {own}[1])) / 2)::BIGINT, n - 12), 0) AS first FROM o
+  UNION ALL
+  SELECT doc_id, p, 1, CASE WHEN len({opening}) > 0 THEN 999 + len({opening}) ELSE 0 END + CASE WHEN o = 0 THEN 120 ELSE 100 END, o
+  FROM o WHERE n > 12 AND o < p),
+b AS (SELECT doc_id, first FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, p, second) = 1)
+SELECT doc_id, CASE WHEN first > 0 THEN ' ... ' ELSE lead END
+  || array_to_string(list_transform(range(first, least(first + 11, n - 1)), lambda i: ws[i + 1] || coalesce(after[i + 1], '')), '')
+  || ws[least(first + 12, n)] || CASE WHEN first + 11 >= n - 1 THEN coalesce(after[n], '') ELSE ' ... ' END AS snippet
+FROM b JOIN s USING (doc_id)"""
+
+
 IN_SCOPE = f"source IN ({text_in(w.SOURCES)}) AND doc_date >= '{w.SINCE}' AND doc_date <= '{w.UNTIL}'"
 
 
@@ -323,6 +455,9 @@ FROM best JOIN chunks USING (doc_id, seq) ORDER BY best.score DESC, source, path
     "lexical_bm25_filtered": lexical(w.QUERY_COMMON, IN_SCOPE),
     "lexical_multi_term_and": lexical(w.QUERY_AND),
     "lexical_phrase_bm25": lexical(w.QUERY_PHRASE),
+    "porter_bm25": porter(w.QUERY_STEMS),
+    "porter_stems": f"WITH {stems(VOCABULARY)} SELECT raw AS word, stem FROM stems",
+    "lexical_snippets": snippets(w.QUERY_ONE),
     "indexed_bm25": f"""WITH {CHUNKS}, {bm25_ctes("chunks", query_phrases(w.QUERY_AND, "simple"), "doc_id, seq")}
 SELECT doc_id, seq, round(score, 6) AS score FROM scored ORDER BY round(scored.score, 9) DESC, doc_id, seq LIMIT 50""",
     "phrase_match": f"""WITH m AS (SELECT doc_id, {WORDS.format("text")} AS ws FROM documents),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import addresses, analysis, headers, markup
 from gleanery.functions import text as tx
+from gleanery.functions.snippet import snippet
 from gleanery.operators import changes, chunking, documents, embedding, entities, fusion, lexical, vectors
 from gleanery.session import ship_package, spread
 
@@ -187,6 +188,22 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def porter_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of every distinct folded word."""
+    docs = spread(corpus(spark, sf_dir).select("text"))
+    vocabulary = docs.select(F.explode(analysis.words(F.col("text"), "folded")).alias("word")).distinct()
+    return vocabulary.select("word", analysis.stem_words(F.array("word"))[0].alias("stem"))
+
+
+def lexical_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each top hit; only the winners' texts are looked at again."""
+    docs = spread(corpus(spark, sf_dir))
+    hits = lexical.search_texts(docs, "text", QUERY_ONE, ["doc_id"], analyser="simple").select("doc_id")
+    texts = corpus(spark, sf_dir).select("doc_id", "text").join(F.broadcast(hits), "doc_id")  # 50 hits
+    phrases = analysis.query_phrases(QUERY_ONE, "simple")
+    return texts.select("doc_id", snippet(F.col("text"), phrases, "simple").alias("snippet"))
+
+
 def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ranking from postings instead of texts, over chunks."""
     phrases = analysis.query_phrases(QUERY_AND, "simple")
@@ -534,6 +551,8 @@ QUERIES = {
     "lexical_multi_term_and": _lexical(QUERY_AND),
     "lexical_phrase_bm25": _lexical(QUERY_PHRASE),
     "porter_bm25": _lexical(QUERY_STEMS, "porter"),
+    "porter_stems": porter_stems,
+    "lexical_snippets": lexical_snippets,
     "indexed_bm25": indexed_bm25,
     "phrase_match": phrase_match,
     "postings": postings,
