@@ -63,7 +63,7 @@ class Engine:
 
     def document(self, source: str, path: str) -> DataFrame:
         """One row; ``content`` is NULL when the document is not content-indexed."""
-        where = (F.col("source") == source) & (F.col("path") == path)
+        where = self.index.of_source(source) & (F.col("path") == path)
         record = self.index.live("documents", where).select(*DOC).first()
         if record is None:
             raise NotFound(f"document not found: {source}/{path}")

@@ -82,9 +82,12 @@ def words(text: Column, analyser: str = "simple") -> Column:
     raise ValueError(f"unknown analyser {analyser!r}")
 
 
-def word_count(text: Column) -> Column:
-    """Number of index words; the same for every analyser."""
-    return F.regexp_count(F.lower(text), F.lit(WORD_PATTERN))
+def word_count(text: Column, analyser: str = "porter") -> Column:
+    """Number of index words, without building them."""
+    if analyser == "simple":
+        return F.regexp_count(F.lower(text), F.lit(WORD_PATTERN))
+    # Folding removes accent marks, so they continue a word.
+    return F.regexp_count(text, F.lit(WORD_PATTERN + r"(?:[\x{300}-\x{331}]+[\p{L}\p{N}\p{Co}]*)*+"))
 
 
 def _shape(stem: str) -> str:

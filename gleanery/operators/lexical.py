@@ -100,6 +100,26 @@ def index_matches(postings: DataFrame, phrases: list[list[str]], keys: list[str]
     return grouped.select(*keys, "dl", F.array(*[count(p) for p in phrases]).alias("tf"))
 
 
+def index_frequencies(postings: DataFrame, phrases: list[list[str]], keys: list[str]) -> DataFrame:
+    """One row with ``df``: per phrase, how many rows of ``keys`` hold it.
+
+    A single word's count is the number of its postings; only phrases of
+    several words need their postings brought together.
+    """
+    rows = query_postings(postings, phrases)
+    several = [p for p in phrases if len(p) > 1]
+    counts = {p[0]: F.count_if(F.col("term") == p[0]) for p in phrases if len(p) == 1}
+    singles = rows.agg(*[c.alias(f"_df_{t}") for t, c in counts.items()] or [F.lit(0).alias("_none")])
+    if several:
+        together = index_matches(postings, several, keys).agg(document_frequencies(len(several)).alias("df"))
+        singles = singles.withColumn("_several", together.scalar())
+    placed = iter(range(len(several)))
+    ordered = [
+        F.col(f"`_df_{p[0]}`") if len(p) == 1 else F.col("_several")[next(placed)] for p in phrases
+    ]
+    return singles.select(F.array(*ordered).alias("df"))
+
+
 def collection_stats(matches: DataFrame, n_phrases: int) -> DataFrame:
     """One row: collection size, mean length, and per phrase how many rows hold it."""
     return matches.agg(

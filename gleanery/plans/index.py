@@ -139,6 +139,10 @@ class Index:
         gone = self.read("retired").select(F.col("gone_batch").alias("batch"), "doc_id")
         return rows.join(bounded(gone, retired), ["batch", "doc_id"], "left_anti")
 
+    def of_source(self, source: str) -> Column:
+        """Rows of one source: its batches prune partitions, its name the rest."""
+        return F.col("batch").isin([c.batch for c in self._log if c.source == source]) & (F.col("source") == source)
+
     def layout_of(self, source: str) -> str | None:
         mine = [c for c in self._log if c.source == source]
         return max(mine, key=lambda c: c.batch).layout if mine else None

@@ -38,7 +38,7 @@ def lexical_list(index: Index, phrases: list[list[str]], keep: Column | None) ->
     rows = index.live("postings", F.col("term").isin(terms))
     matches = lexical.index_matches(rows, phrases, [*CHUNK, "source", "doc_date"])
     totals = index.totals()
-    stats = matches.agg(lexical.document_frequencies(len(phrases)).alias("df")).withColumns(
+    stats = lexical.index_frequencies(rows, phrases, CHUNK).withColumns(
         {"n": F.lit(totals.chunks), "avgdl": F.lit(totals.words / max(totals.chunks, 1))}
     )
     top = lexical.rank_bm25(matches, stats, len(phrases), ["source", *CHUNK], keep)

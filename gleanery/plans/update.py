@@ -45,7 +45,7 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 def compare(index: Index, source: Source, probes: DataFrame, batch: int, force: bool) -> DataFrame:
     """The differences, written down once so that every later step sees the same ones."""
-    stored = index.live("documents", F.col("source") == source.name).select(
+    stored = index.live("documents", index.of_source(source.name)).select(
         "source", "path", "stat_sig", "content_hash", F.col("batch").alias("gone_batch"), "doc_id"
     )
     return index.append("changes", changes.diff(probes, stored, force=force), batch)

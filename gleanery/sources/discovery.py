@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import sqlite3
 import subprocess
+from collections import deque
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -27,12 +28,14 @@ IGNORED_FOLDERS = (".git",)
 DEFAULT_BRANCH = "main"
 _NAME_HINTS, _LABEL_HINTS = ("filename", "file_name", "fname"), ("labels", "label")
 
-_SPLITS = 256  # folders to find before handing the walk to tasks
+_SPLITS = 256  # tasks to share a tree among
 
 
-class Folder(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
+class Folders(InputPartition):
+    """Folders of one task, each with whether to walk below it."""
+
+    def __init__(self, entries: list[tuple[str, bool]]):
+        self.entries = entries
 
 
 def _listing(folder: str) -> tuple[list[os.DirEntry], list[str]]:
@@ -49,8 +52,8 @@ def _listing(folder: str) -> tuple[list[os.DirEntry], list[str]]:
 
 
 class FileTreeReader(DataSourceReader):
-    """Folders are opened level by level until there are enough to share out;
-    tasks then walk one folder each, so one deep branch does not become one task."""
+    """Folders are opened one by one until there are enough to share out; the
+    tasks walk what lies below, so one deep branch does not become one task."""
 
     def __init__(self, options: dict):
         self.root = options["root"].rstrip("/")
@@ -58,19 +61,22 @@ class FileTreeReader(DataSourceReader):
         self.splits = int(options.get("splits", _SPLITS))
 
     def partitions(self) -> list[InputPartition]:
-        shallow, frontier = [], [self.root]
-        while frontier and len(frontier) < self.splits:
-            below = [sub for folder in frontier for sub in _listing(folder)[1]]
-            shallow += frontier
-            frontier = below
-        return [Folder(p, False) for p in shallow] + [Folder(p, True) for p in frontier]
-
-    def read(self, partition: Folder) -> Iterator[tuple]:
-        todo = [partition.path]
+        opened, waiting = [], deque([self.root])
+        while waiting and len(waiting) < self.splits:
+            folder = waiting.popleft()
+            opened.append((folder, False))
+            waiting += _listing(folder)[1]
+        entries = opened + [(folder, True) for folder in waiting]
+        shares = min(self.splits, len(entries))
+        return [Folders(entries[i::shares]) for i in range(shares)]
+
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        todo = list(partition.entries)
         while todo:
-            files, folders = _listing(todo.pop())
-            if partition.deep:
-                todo += folders
+            folder, deep = todo.pop()
+            files, below = _listing(folder)
+            if deep:
+                todo += [(sub, True) for sub in below]
             for entry in files:
                 if entry.name == LABEL_DB or not entry.name.endswith(self.suffix):
                     continue

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.config import Source
 from gleanery.functions import text as tx
 from gleanery.operators import chunking
+from gleanery.session import spread
 from gleanery.sources.loading import META
 
 
@@ -23,7 +24,7 @@ def table_loader(documents: DataFrame):
     """Loads probed rows by joining them back to ``documents`` (``path, doc_date, text``)."""
     def load(probes: DataFrame, source: Source) -> DataFrame:
         path, text = F.col("path"), F.col("text")
-        return probes.join(documents.select("path", "doc_date", "text"), "path").select(
+        return probes.join(spread(documents.select("path", "doc_date", "text")), "path").select(
             F.lit(source.name).alias("source"), "path", "stat_sig", F.col("git_sha").alias("content_hash"),
             F.octet_length(text).cast("long").alias("bytes"), "doc_date", tx.basename(path).alias("title"), "text",
             F.lit("file").alias("doc_kind"), chunking.layout_for(F.lit(source.type), path).alias("layout"),

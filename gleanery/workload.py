@@ -182,7 +182,7 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(corpus(spark, sf_dir).select("doc_id", "text"))
-    lengths = docs.select(analysis.word_count(F.col("text")).alias("dl"))
+    lengths = docs.select(analysis.word_count(F.col("text"), "simple").alias("dl"))
     return lengths.agg(
         F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words"), published(F.avg("dl")).alias("avgdl")
     )
@@ -210,10 +210,10 @@ def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = corpus_chunks(spark, sf_dir).select("doc_id", "seq", "text")
     rows = lexical.build_postings(chunks, analyser="simple")
     matches = lexical.index_matches(rows, phrases, ["doc_id", "seq"])
-    lengths = chunks.select(analysis.word_count(F.col("text")).alias("dl")).agg(
+    lengths = chunks.select(analysis.word_count(F.col("text"), "simple").alias("dl")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
     )
-    df = matches.agg(lexical.document_frequencies(len(phrases)).alias("df"))
+    df = lexical.index_frequencies(rows, phrases, ["doc_id", "seq"])
     stats = lengths.withColumn("df", df.scalar())
     hits = lexical.rank_bm25(matches, stats, len(phrases), ["doc_id", "seq"])
     return hits.select("doc_id", F.col("seq").cast("long").alias("seq"), published("score").alias("score"))

@@ -19,7 +19,7 @@ TEXTS = [
     "½ ² ٣ INV-2024-0312 a1b2 don't e-mail user@example.org",
     "alpha beta. gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi lighthouse omicron pi rho sigma "
     "tau upsilon phi chi psi omega lighthouse foo again and again until the very end of the text comes",
-    "", "   ", "foo",
+    "", "   ", "foo", "cafe\u0301s nai\u0308ve \u0301x a\u0301\u0302b \u0130stanbul x\u0301", "\ue000private \u0301 marks",
 ] + [f"filler document number {i} with shared words and item{i % 7}" + " foo" * (i % 4) for i in range(40)]
 
 QUERIES = ["foo", "foo bar", "foo_bar", "invoice", "lighthouse", "cafe", "CAFÉ", "item3 shared", "INV-2024-0312",
