@@ -376,6 +376,24 @@ CHUNK_CODE = f"WITH RECURSIVE {CORPUS}, " + packed(
     1000, 0, "\n\n",
 )
 
+# Every layout in one pass: notes (no heading among them), tables, code and commits.
+CHUNK_ROUTED = " UNION ALL ".join([
+    f"SELECT * FROM (WITH RECURSIVE {ROUTED}, " + packed(
+        f"SELECT doc_id, {PREFIX} AS prefix, 0 AS grp, [trim(text, {BLANKS})] AS u FROM routed WHERE doc_id % 6 IN (0, 1, 4)",
+        4000, 400, "\n\n") + ")",
+    f"SELECT * FROM (WITH RECURSIVE {ROUTED}, lines AS (SELECT *, {split_lines(f'trim(text, {NL})')} AS ls FROM routed WHERE doc_id % 6 = 3), " + packed(
+        f"""SELECT doc_id, {PREFIX} || ls[1] || CASE WHEN len(rows) > 0 THEN {NL} ELSE '' END AS prefix, 0 AS grp,
+        CASE WHEN len(rows) > 0 THEN rows ELSE [''] END AS u FROM (
+        SELECT *, list_filter(ls[2:], lambda x: x <> '') AS rows FROM lines) WHERE ls[1] <> ''""", 4000, 400, "\n") + ")",
+    f"SELECT * FROM (WITH RECURSIVE {ROUTED}, " + packed(
+        f"""SELECT doc_id, prefix, 0 AS grp, list_transform(u, lambda x: CASE WHEN length(x) > 6000 AND trim(x, {BLANKS}) <> '' THEN trim(x, {BLANKS}) ELSE x END) AS u FROM (
+        SELECT doc_id, {PREFIX} AS prefix, string_split(regexp_replace(trim(text, {NL}), '\\n([^\\s{WS_IN_LINE[1:]})', chr(1) || '\\1', 'g'), chr(1)) AS u
+        FROM routed WHERE doc_id % 6 = 2)""", 6000, 0, "\n\n") + ")",
+    f"""SELECT * FROM (WITH {ROUTED} SELECT doc_id, 0 AS seq,
+      sha256(source || ' ' || substr(path, 8, 7) || '  ' || substr(doc_date, 1, 10) || {NL} || {NL} || trim(text, {BLANKS})) AS text_hash
+      FROM routed WHERE path LIKE 'commit/%')""",
+])
+
 SNAPSHOTS = f"""{ROUTED},
 probes AS (
   SELECT source, path,
@@ -484,6 +502,7 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, seq) = 1""",
     "chunk_markdown": CHUNK_MARKDOWN,
     "chunk_csv": CHUNK_CSV,
     "chunk_code": CHUNK_CODE,
+    "chunk_routed": CHUNK_ROUTED,
     "chunk_whole": f"""WITH {ROUTED} SELECT doc_id, 0 AS seq,
 sha256(source || ' ' || substr(path, 8, 7) || '  ' || substr(doc_date, 1, 10) || {NL} || {NL} || trim(text, {BLANKS})) AS text_hash
 FROM routed WHERE path LIKE 'commit/%'""",
@@ -514,6 +533,7 @@ SELECT doc_id, {slugged("display")} AS key, display FROM (SELECT doc_id, trim(st
 SELECT doc_id, kind, {slugged("name")} AS key, name AS display FROM mail, seeds
 WHERE contains(lower(title || ' ' || sender || {NL} || path), lower(trim(name)))""",
     "entity_links": f"WITH {GRAPH} SELECT a_kind || ':' || a_key AS a, rel, b_kind || ':' || b_key AS b FROM links",
+    "entity_lookup": f"""WITH {GRAPH} SELECT DISTINCT b_kind AS kind, b_key AS key, b_display AS display FROM links WHERE b_key = '{CARD_PERSON}'""",
     "entity_card_links": f"""WITH {GRAPH}, {VOTES}
 SELECT 'out' AS direction, rel, b_kind AS kind, b_key AS key, b_display AS display FROM links WHERE a_kind = 'person' AND a_key = '{CARD_PERSON}'
 UNION ALL SELECT 'in', rel, a_kind, a_key, display FROM links JOIN shown ON key = a_key WHERE b_kind = 'person' AND b_key = '{CARD_PERSON}'""",

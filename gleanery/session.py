@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -61,18 +60,6 @@ def scratch_root(spark: SparkSession, fallback: str | None = None) -> str:
     return fallback.rstrip("/")
 
 
-def materialise(df: DataFrame, root: str, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Used where several outputs derive from one expensive or non-repeatable
-    input (a directory listing, a MIME parse): the written copy survives
-    executor loss and keeps every output consistent.
-    """
-    path = f"{root}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for per-row work on a table stored in too few splits.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import argparse
 import json
 from typing import Any
 
 from pyspark.sql import DataFrame
 
+from gleanery import config
 from gleanery.engine import Engine, NotFound
+from gleanery.session import build_session
 
 _engine: Engine | None = None
 
@@ -83,3 +86,15 @@ def build_app(name: str = "gleanery"):
     for tool in TOOLS:
         app.tool(tool)
     return app
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Serve the tools over standard input and output."""
+    parser = argparse.ArgumentParser(prog="gleanery-tools")
+    parser.add_argument("--config", help="configuration file")
+    configure(Engine(build_session(), config.load(parser.parse_args(argv).config)))
+    build_app().run(transport="stdio")
+
+
+if __name__ == "__main__":
+    main()

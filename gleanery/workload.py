@@ -344,6 +344,16 @@ def chunk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_rows(chunking.explode_chunks(split, header))
 
 
+def chunk_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the layout its path asks for, all in one pass."""
+    path = F.col("path")
+    docs = spread(routed(spark, sf_dir)).withColumn("layout", chunking.layout_for(F.lit("filetree"), path))
+    sha = F.substring_index("path", "/", -1)
+    commit = headers.commit_header(F.col("source"), sha, F.lit(None), F.col("doc_date"))
+    header = F.when(tx.is_commit(path), commit).otherwise(headers.file_header(F.col("source"), path))
+    return _chunk_rows(chunking.chunk_by_layout(docs.withColumn("header", header), F.col("header")))
+
+
 def doc_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = chunking.reconstruct(corpus_chunks(spark, sf_dir).select("doc_id", "seq", "text"))
     return whole.select("doc_id", F.sha2("content", 256).alias("content_hash"))
@@ -450,6 +460,11 @@ def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who answers to a key, best kind first."""
+    return entities.find(_graph(spark, sf_dir)[2], "person no 5")
+
+
 def entity_card_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both directions of one person's links."""
     _, links, known = _graph(spark, sf_dir)
@@ -569,6 +584,7 @@ QUERIES = {
     "chunk_markdown": chunk_markdown,
     "chunk_csv": chunk_csv,
     "chunk_code": chunk_code,
+    "chunk_routed": chunk_routed,
     "chunk_whole": chunk_whole,
     "doc_reconstruct": doc_reconstruct,
     "doc_truncate": doc_truncate,
@@ -584,6 +600,7 @@ QUERIES = {
     "category_from_path": category_from_path,
     "mentions": mentions,
     "entity_links": entity_links,
+    "entity_lookup": entity_lookup,
     "entity_card_links": entity_card_links,
     "entity_neighbours": entity_neighbours,
     "entity_card_documents": entity_card_documents,
