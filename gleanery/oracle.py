@@ -434,8 +434,9 @@ def html_text() -> str:
     x = rf"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
     x = rf"regexp_replace({x}, '(?i)</?({tags})(\s[^>]*)?/?>', chr(10), 'g')"
     x = rf"regexp_replace({x}, '<[!/a-zA-Z][^>]*>', '', 'g')"
-    for entity, char in (("&quot;", "chr(34)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&lt;", "chr(60)"), ("&gt;", "chr(62)"), ("&amp;", "chr(38)")):
-        x = f"replace({x}, '{entity}', {char})"
+    # These names also count without their semicolon, as where a title was cut short.
+    for entity, char in (("quot", "chr(34)"), ("copy", "chr(169)"), ("middot", "chr(183)"), ("lt", "chr(60)"), ("gt", "chr(62)"), ("amp", "chr(38)")):
+        x = f"regexp_replace({x}, '&{entity};?', {char}, 'g')"
     x = rf"regexp_replace({x}, '[ \t\r\f\v]+', ' ', 'g')"
     x = rf"regexp_replace({x}, '{WS_IN_LINE}*\n{WS_IN_LINE}*', chr(10), 'g')"
     x = rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')"
