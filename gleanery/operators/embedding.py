@@ -46,14 +46,18 @@ def allowed(source: Column, path: Column, rules: dict[str, tuple[str, ...]]) ->
     return reduce(or_, parts, F.lit(False))
 
 
-def eligible(chunks: DataFrame, vectors: DataFrame, rules: dict[str, tuple[str, ...]],
+def eligible(chunks: DataFrame, vectors: DataFrame | None, rules: dict[str, tuple[str, ...]],
              keys: list[str] | None = None) -> DataFrame:
-    """Chunks that may be embedded and have no vector yet, with ``kind`` and ``tokens``."""
-    keys = keys or ["chunk_id"]
-    queue = chunks.where(allowed(F.col("source"), F.col("path"), rules))
-    return queue.join(vectors.select(*keys), keys, "left_anti").withColumns(
+    """Chunks that may be embedded and have no vector yet, with ``kind`` and ``tokens``.
+
+    Both are computed below the join, so that a plan which only counts does not
+    move the texts. Without ``vectors`` (none stored yet) nothing is joined.
+    """
+    queue = chunks.where(allowed(F.col("source"), F.col("path"), rules)).withColumns(
         {"kind": tx.model_kind(F.col("path")), "tokens": tx.estimated_tokens(F.col("text"))}
     )
+    keys = keys or ["chunk_id"]
+    return queue if vectors is None else queue.join(vectors.select(*keys), keys, "left_anti")
 
 
 def plan(queue: DataFrame, models: dict[str, str]) -> DataFrame:

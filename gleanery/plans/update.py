@@ -73,7 +73,7 @@ def update_source(index: Index, source: Source, seeds: entities.Seeds, aliases:
 
     fresh = delta.where(F.col("change").isin("added", "changed")).select("path", "stat_sig", "git_sha")
     tasks = max(index.spark.sparkContext.defaultParallelism, (added + changed) // DOCUMENTS_PER_TASK)
-    loaded = loader(fresh.repartitionByRange(tasks, "path"), source)
+    loaded = loader(fresh, source, tasks)
     numbered = loaded.withColumn("doc_id", F.monotonically_increasing_id())
     docs = index.append("documents", numbered.withColumn("content_indexed", F.col("text").isNotNull()), batch)
     chunks = index.append("chunks", chunked(docs), batch)

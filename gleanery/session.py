@@ -63,7 +63,8 @@ def scratch_root(spark: SparkSession, fallback: str | None = None) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for per-row work on a table stored in too few splits.
 
-    A large table already has more splits than cores and passes through
+    For plain scans (asking a plan with shuffles for its partitions would run
+    them). A large table already has more splits than cores and passes through
     untouched; only a small file with a single row group is redistributed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -56,9 +56,13 @@ def _batches(rows: Iterator[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def _each(probes: DataFrame, fields: list[tuple[str, T.DataType, pa.DataType]],
+def _each(probes: DataFrame, tasks: int, fields: list[tuple[str, T.DataType, pa.DataType]],
           read: Callable[[Iterator[dict]], Iterator[tuple[dict, int]]]) -> DataFrame:
-    """Probe columns plus ``fields``, produced by ``read`` from each task's probe rows."""
+    """Probe columns plus ``fields``, produced by ``read`` from each task's probe rows.
+
+    The probes are shared out here, by number and in path order: what they
+    weigh says nothing about what they make the tasks read.
+    """
     names = ["path", "stat_sig", "git_sha"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(n, t) for n, t, _ in fields])
     arrow = pa.schema([(n, pa.string()) for n in names] + [(n, t) for n, _, t in fields])
@@ -66,7 +70,7 @@ def _each(probes: DataFrame, fields: list[tuple[str, T.DataType, pa.DataType]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(read(row for b in batches for row in b.to_pylist()), arrow)
 
-    return probes.select(*names).mapInArrow(run, schema)
+    return probes.repartitionByRange(tasks, "path").mapInArrow(run, schema)
 
 
 def iso(moment: datetime) -> str:
@@ -94,7 +98,7 @@ def _convertible(path: str, enabled: tuple[str, ...]) -> bool:
     return _suffix(path) in tx.CONVERT_SUFFIXES and _suffix(path).lstrip(".") in enabled
 
 
-def _finish(loaded: DataFrame, source: Source) -> DataFrame:
+def _finish(loaded: DataFrame) -> DataFrame:
     """Text and title of raw contents."""
     path, raw = F.col("path"), F.col("raw")
     decoded = F.when(raw.isNotNull() & ~tx.looks_binary(raw), tx.decode_bytes(raw))
@@ -109,7 +113,7 @@ def _finish(loaded: DataFrame, source: Source) -> DataFrame:
     )
 
 
-def load_files(probes: DataFrame, source: Source) -> DataFrame:
+def load_files(probes: DataFrame, source: Source, tasks: int) -> DataFrame:
     root, enabled = source.root, source.convert
 
     def read(rows: Iterator[dict]) -> Iterator[tuple[dict, int]]:
@@ -131,10 +135,10 @@ def load_files(probes: DataFrame, source: Source) -> DataFrame:
                 "converted": convert(place) if _convertible(row["path"], enabled) else None,
             }, size if keep else 0
 
-    return _finish(_each(probes, _CONTENT, read), source)
+    return _finish(_each(probes, tasks, _CONTENT, read))
 
 
-def load_blobs(probes: DataFrame, source: Source) -> DataFrame:
+def load_blobs(probes: DataFrame, source: Source, tasks: int) -> DataFrame:
     """Tracked files; one git process per task serves all its blobs."""
     root, enabled = source.root, source.convert
 
@@ -161,13 +165,13 @@ def load_blobs(probes: DataFrame, source: Source) -> DataFrame:
                 }, size if keep else 0
             process.stdin.close()
 
-    return _finish(_each(probes, _CONTENT, read), source)
+    return _finish(_each(probes, tasks, _CONTENT, read))
 
 
 _COMMIT_FORMAT = "%x1e%H%x1f%an%x1f%ae%x1f%aI%x1f%s%x1f%B%x1d"  # fixed value: git pretty format
 
 
-def load_commits(probes: DataFrame, source: Source) -> DataFrame:
+def load_commits(probes: DataFrame, source: Source, tasks: int) -> DataFrame:
     """Commits; one ``git log`` per 500 reads them and the files they touch."""
     root = source.root
     fields = [(n, T.StringType(), pa.string()) for n in ("author_name", "author_email", "authored", "subject", "body")]
@@ -188,7 +192,7 @@ def load_commits(probes: DataFrame, source: Source) -> DataFrame:
                     "files": [f for f in files.splitlines() if f],
                 }, len(record)
 
-    loaded = _each(probes, fields, read)
+    loaded = _each(probes, tasks, fields, read)
     text = F.when(F.col("body") != "", F.col("body")).otherwise(F.col("subject"))
     return loaded.select(
         "path", "stat_sig", F.col("git_sha").alias("content_hash"),
@@ -240,7 +244,8 @@ _MESSAGE = (
     [("content_hash", T.StringType(), pa.string()), ("bytes", T.LongType(), pa.int64())]
     + [(n, T.StringType(), pa.string()) for n in (
         "doc_date", "subject", "message_id", "from", "to", "cc", "bcc", "reply_to", "body")]
-    + [("attachments", T.ArrayType(T.StringType()), pa.list_(pa.string())), ("is_html", T.BooleanType(), pa.bool_())]
+    + [(n, T.ArrayType(T.StringType()), pa.list_(pa.string())) for n in ("attachments", "labels")]
+    + [("is_html", T.BooleanType(), pa.bool_())]
 )
 
 
@@ -254,7 +259,7 @@ def mail_labels(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def load_messages(probes: DataFrame, source: Source) -> DataFrame:
+def load_messages(probes: DataFrame, source: Source, tasks: int) -> DataFrame:
     root = source.root
 
     def read(rows: Iterator[dict]) -> Iterator[tuple[dict, int]]:
@@ -263,33 +268,36 @@ def load_messages(probes: DataFrame, source: Source) -> DataFrame:
                 raw = file.read()
             yield {**row, **_message(raw, row["path"])}, len(raw)
 
+    # Labels join the probes, not the messages: no message text is ever shuffled.
     stem = F.regexp_replace(tx.basename(F.col("path")), r"(?<=.)\.[^.]+\z", "")
-    loaded = _each(probes, _MESSAGE, read).withColumn("stem", stem)
-    labelled = loaded.join(mail_labels(probes.sparkSession, root), "stem", "left").withColumn(
-        "labels", F.coalesce("labels", F.array().cast("array<string>"))
-    )
+    labelled = probes.select("path", "stat_sig", "git_sha", stem.alias("stem")).join(
+        mail_labels(probes.sparkSession, root), "stem", "left"
+    ).select("path", "stat_sig", "git_sha", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
+    loaded = _each(labelled, tasks, _MESSAGE, read)
     is_html = F.col("is_html")
     plain = F.when(is_html, markup.html_to_text(F.when(is_html, F.col("body")))).otherwise(F.col("body"))
     text = tx.strip_quoted_history(plain)
-    return labelled.select(
+    return loaded.select(
         "path", "stat_sig", "content_hash", "bytes", "doc_date", F.col("subject").alias("title"),
         F.when(text != "", text).alias("text"), F.lit("mail").alias("doc_kind"), _meta(MAIL_META).alias("meta"),
     )
 
 
-def load(probes: DataFrame, source: Source) -> DataFrame:
-    """Loaded documents of one source.
+def load(probes: DataFrame, source: Source, tasks: int) -> DataFrame:
+    """Loaded documents of one source, read by ``tasks`` tasks.
 
     ``source, path, stat_sig, content_hash, bytes, doc_date, title, text,
     doc_kind, layout, meta, meta_json``.
     """
     if source.type == "filetree":
-        loaded = load_files(probes, source)
+        loaded = load_files(probes, source, tasks)
     elif source.type == "eml_tree":
-        loaded = load_messages(probes, source)
+        loaded = load_messages(probes, source, tasks)
     else:
         commit = tx.is_commit(F.col("path"))
-        loaded = load_blobs(probes.where(~commit), source).unionByName(load_commits(probes.where(commit), source))
+        loaded = load_blobs(probes.where(~commit), source, tasks).unionByName(
+            load_commits(probes.where(commit), source, tasks)
+        )
 
     def chosen(fields: tuple[str, ...]) -> Column:
         picked = F.struct(*[F.col(f"meta.`{f}`").alias(f) for f in fields])

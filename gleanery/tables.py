@@ -22,7 +22,7 @@ def table_probes(documents: DataFrame, source: Source) -> DataFrame:
 
 def table_loader(documents: DataFrame):
     """Loads probed rows by joining them back to ``documents`` (``path, doc_date, text``)."""
-    def load(probes: DataFrame, source: Source) -> DataFrame:
+    def load(probes: DataFrame, source: Source, tasks: int) -> DataFrame:
         path, text = F.col("path"), F.col("text")
         return probes.join(spread(documents.select("path", "doc_date", "text")), "path").select(
             F.lit(source.name).alias("source"), "path", "stat_sig", F.col("git_sha").alias("content_hash"),

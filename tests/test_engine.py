@@ -156,8 +156,8 @@ def test_changes_deletes_and_rollback(spark, tmp_path):
         engine.document("files", "finance/ledger.csv")
 
     # A run that dies before its commit changes nothing and its leftovers do not matter.
-    def broken(probes, source):
-        return loading.load(probes, source).withColumn("title", F.raise_error(F.lit("lost executor")))
+    def broken(probes, source, tasks):
+        return loading.load(probes, source, tasks).withColumn("title", F.raise_error(F.lit("lost executor")))
 
     (root / "files/new/lamp.txt").write_text("third version")
     with pytest.raises(Exception, match="lost executor"):
