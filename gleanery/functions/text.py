@@ -59,9 +59,11 @@ def squash(col: Column) -> Column:
 
 def excerpt(text: Column, width: int = EXCERPT_CHARS) -> Column:
     """The first ``width`` characters of the squashed text, marked when cut."""
-    flat = squash(text)
-    cut = F.concat(F.rtrim(F.substring(flat, 1, width)), F.lit(" ..."))
-    return F.when(F.length(flat) <= width, flat).otherwise(cut)
+    def cut(flat: Column) -> Column:
+        short = F.concat(F.rtrim(F.substring(flat, 1, width)), F.lit(" ..."))
+        return F.when(F.length(flat) <= width, flat).otherwise(short)
+
+    return let(squash(text), cut)
 
 
 def estimated_tokens(text: Column) -> Column:

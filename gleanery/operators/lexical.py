@@ -160,11 +160,18 @@ def rank_bm25(matches: DataFrame, stats: DataFrame, n_phrases: int, tie: list[st
     relevance = bm25(
         F.col("tf"), F.col("dl"), F.col("_s.n"), F.col("_s.avgdl"), F.col("_s.df"), n_phrases
     )
-    # Rows missing a phrase score NULL and sort last. A filter on ``tf`` instead would
-    # be pushed below the projection and tokenise every text a second time.
-    scored = chosen.withColumn("_s", known).withColumn("score", F.when(every, relevance)).drop("_s")
-    if limit is not None:
-        scored = scored.orderBy(F.round("score", ORDER_DIGITS).desc_nulls_last(), *tie).limit(limit)
+    # Rows missing a phrase score NULL. A filter on ``tf`` or ``score`` would be pushed
+    # below the projections and tokenise every text again for each use of it: a limited
+    # list sorts them last and filters after the limit, an unlimited one filters the
+    # output of a one-element explode, which no filter passes.
+    known_rows = chosen.withColumn("_s", known)
+    score = F.when(every, relevance)
+    if limit is None:
+        scored = known_rows.select("*", F.explode_outer(F.array(score)).alias("score")).drop("_s")
+    else:
+        scored = known_rows.withColumn("score", score).drop("_s").orderBy(
+            F.round("score", ORDER_DIGITS).desc_nulls_last(), *tie
+        ).limit(limit)
     return scored.where(F.col("score").isNotNull())
 
 

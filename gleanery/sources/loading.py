@@ -276,10 +276,10 @@ def load_messages(probes: DataFrame, source: Source, tasks: int) -> DataFrame:
     loaded = _each(labelled, tasks, _MESSAGE, read)
     is_html = F.col("is_html")
     plain = F.when(is_html, markup.html_to_text(F.when(is_html, F.col("body")))).otherwise(F.col("body"))
-    text = tx.strip_quoted_history(plain)
+    text = tx.let(tx.strip_quoted_history(plain), lambda t: F.when(t != "", t))
     return loaded.select(
         "path", "stat_sig", "content_hash", "bytes", "doc_date", F.col("subject").alias("title"),
-        F.when(text != "", text).alias("text"), F.lit("mail").alias("doc_kind"), _meta(MAIL_META).alias("meta"),
+        text.alias("text"), F.lit("mail").alias("doc_kind"), _meta(MAIL_META).alias("meta"),
     )
 
 
