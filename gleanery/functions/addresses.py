@@ -76,7 +76,7 @@ def email_key(address: Column) -> Column:
     return F.regexp_replace(F.lower(tx.strip(address)), r"^([^@+]*)\+[^@]*@", "$1@")
 
 
-_NOT_WORD = r"[^\p{L}\p{N}_" + tx.WS[1:]
+_NOT_WORD = r"(?U:[^\p{L}\p{N}_\s\x1c-\x1f])"
 
 
 def slug(name: Column) -> Column:

@@ -7,8 +7,7 @@ import sys
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character str.isspace() accepts. Java's \s and trim() cover fewer, so
-# the set is spelled out and used by trimming and by the regex classes alike.
+# Every character str.isspace() accepts; Java's \s and trim() cover fewer.
 SPACES = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
 _SPACES_NOT_NL = SPACES.replace("\n", "")
 
@@ -18,8 +17,18 @@ def char_class(chars: str) -> str:
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
 
 
-WS = char_class(SPACES)
-WS_IN_LINE = char_class(_SPACES_NOT_NL)
+WS_CLASS = char_class(SPACES)
+WS_IN_LINE_CLASS = char_class(_SPACES_NOT_NL)
+
+
+def ws(times: str = "") -> str:
+    """Java pattern of the same characters; several times faster than the long class."""
+    return rf"(?U:[\s\x1c-\x1f]{times})"
+
+
+def ws_in_line(times: str = "") -> str:
+    return rf"(?U:[\s\x1c-\x1f&&[^\n]]{times})"
+
 
 EXCERPT_CHARS = 200
 CHARS_PER_TOKEN = 4
@@ -54,7 +63,7 @@ def strip(col: Column) -> Column:
 
 def squash(col: Column) -> Column:
     """Collapse whitespace runs to one space and strip."""
-    return F.btrim(F.regexp_replace(col, WS + "+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(col, ws("+"), " "), F.lit(" "))
 
 
 def excerpt(text: Column, width: int = EXCERPT_CHARS) -> Column:
@@ -121,14 +130,14 @@ def tidy_lines(text: Column) -> Column:
     than one blank line in a row becomes one, and the whole is stripped.
     """
     flat = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
-    trimmed = F.regexp_replace(flat, f"{WS_IN_LINE}*\n{WS_IN_LINE}*", "\n")
+    trimmed = F.regexp_replace(flat, f"{ws_in_line('*')}\n{ws_in_line('*')}", "\n")
     return strip(F.regexp_replace(trimmed, r"\n{3,}", "\n\n"))
 
 
 def strip_quoted_history(text: Column) -> Column:
     """Drop a reply's quoted tail: everything from 'On ... wrote:', then '>' lines."""
-    tail = rf"(?imd)^{WS}*On{WS}.{{0,200}}?wrote:{WS}*$[\s\S]*"
-    unquoted = F.regexp_replace(F.regexp_replace(text, tail, ""), rf"(?md)^{WS_IN_LINE}*>.*\n?", "")
+    tail = rf"(?imd)^{ws('*')}On{ws()}.{{0,200}}?wrote:{ws('*')}$[\s\S]*"
+    unquoted = F.regexp_replace(F.regexp_replace(text, tail, ""), rf"(?md)^{ws_in_line('*')}>.*\n?", "")
     return strip(F.regexp_replace(unquoted, r"\n{3,}", "\n\n"))
 
 

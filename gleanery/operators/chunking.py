@@ -41,13 +41,13 @@ def layout_for(source_type: Column, path: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    parts = F.split(tx.strip(text), f"\n{tx.WS}*\n")
+    parts = F.split(tx.strip(text), f"\n{tx.ws('*')}\n")
     return F.filter(F.transform(parts, tx.strip), lambda p: p != "")
 
 
 def sections(text: Column) -> Column:
     """Markdown split before each heading; text before the first one is kept."""
-    marked = F.regexp_replace(text, rf"(?dm)^(#{{1,6}}{tx.WS}+.*)$", _SECTION_MARK + "$1")
+    marked = F.regexp_replace(text, rf"(?dm)^(#{{1,6}}{tx.ws('+')}.*)$", _SECTION_MARK + "$1")
     return F.filter(F.split(marked, _SECTION_MARK), lambda s: tx.strip(s) != "")
 
 
@@ -57,7 +57,7 @@ def csv_rows(text: Column) -> Column:
 
 def code_blocks(text: Column, target_chars: int) -> Column:
     """A block starts at every unindented line; oversize blocks fall back to paragraphs."""
-    blocks = F.split(F.btrim(text, F.lit("\n")), rf"\n(?!{tx.WS})(?=[\s\S])")
+    blocks = F.split(F.btrim(text, F.lit("\n")), rf"\n(?!{tx.ws()})(?=[\s\S])")
 
     def refine(block: Column) -> Column:
         paras = paragraphs(block)

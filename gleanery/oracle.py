@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gleanery import workload as w
 from gleanery.functions.analysis import query_phrases
-from gleanery.functions.text import CODE_SUFFIXES, CONVERT_SUFFIXES, SPACES, TEXT_SUFFIXES, WS, WS_IN_LINE
+from gleanery.functions.text import CODE_SUFFIXES, CONVERT_SUFFIXES, SPACES, TEXT_SUFFIXES, WS_CLASS, WS_IN_LINE_CLASS
 from gleanery.operators.embedding import PRICE_PER_MILLION
 
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
@@ -282,7 +282,7 @@ fused AS (SELECT doc_id, seq, coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1
 
 
 def squashed(text: str) -> str:
-    return f"trim(regexp_replace({text}, '{WS}+', ' ', 'g'), ' ')"
+    return f"trim(regexp_replace({text}, '{WS_CLASS}+', ' ', 'g'), ' ')"
 
 
 def excerpt(text: str) -> str:
@@ -372,7 +372,7 @@ CHUNK_CODE = f"WITH RECURSIVE {CORPUS}, " + packed(
     list_transform(u, lambda x: CASE WHEN length(x) > 1000 AND trim(x, {BLANKS}) <> '' THEN trim(x, {BLANKS}) ELSE x END) AS u FROM (
     SELECT doc_id, {PREFIX} AS prefix,
     string_split(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\. ', '.' || {NL} || '    ', 'g'), {NL}),
-      '\\n([^\\s{WS_IN_LINE[1:]})', chr(1) || '\\1', 'g'), '^', ''), chr(1)) AS u FROM corpus)""",
+      '\\n([^\\s{WS_IN_LINE_CLASS[1:]})', chr(1) || '\\1', 'g'), '^', ''), chr(1)) AS u FROM corpus)""",
     1000, 0, "\n\n",
 )
 
@@ -387,7 +387,7 @@ CHUNK_ROUTED = " UNION ALL ".join([
         SELECT *, list_filter(ls[2:], lambda x: x <> '') AS rows FROM lines) WHERE ls[1] <> ''""", 4000, 400, "\n") + ")",
     f"SELECT * FROM (WITH RECURSIVE {ROUTED}, " + packed(
         f"""SELECT doc_id, prefix, 0 AS grp, list_transform(u, lambda x: CASE WHEN length(x) > 6000 AND trim(x, {BLANKS}) <> '' THEN trim(x, {BLANKS}) ELSE x END) AS u FROM (
-        SELECT doc_id, {PREFIX} AS prefix, string_split(regexp_replace(trim(text, {NL}), '\\n([^\\s{WS_IN_LINE[1:]})', chr(1) || '\\1', 'g'), chr(1)) AS u
+        SELECT doc_id, {PREFIX} AS prefix, string_split(regexp_replace(trim(text, {NL}), '\\n([^\\s{WS_IN_LINE_CLASS[1:]})', chr(1) || '\\1', 'g'), chr(1)) AS u
         FROM routed WHERE doc_id % 6 = 2)""", 6000, 0, "\n\n") + ")",
     f"""SELECT * FROM (WITH {ROUTED} SELECT doc_id, 0 AS seq,
       sha256(source || ' ' || substr(path, 8, 7) || '  ' || substr(doc_date, 1, 10) || {NL} || {NL} || trim(text, {BLANKS})) AS text_hash
@@ -438,7 +438,7 @@ def html_text() -> str:
     for entity, char in (("quot", "chr(34)"), ("copy", "chr(169)"), ("middot", "chr(183)"), ("lt", "chr(60)"), ("gt", "chr(62)"), ("amp", "chr(38)")):
         x = f"regexp_replace({x}, '&{entity};?', {char}, 'g')"
     x = rf"regexp_replace({x}, '[ \t\r\f\v]+', ' ', 'g')"
-    x = rf"regexp_replace({x}, '{WS_IN_LINE}*\n{WS_IN_LINE}*', chr(10), 'g')"
+    x = rf"regexp_replace({x}, '{WS_IN_LINE_CLASS}*\n{WS_IN_LINE_CLASS}*', chr(10), 'g')"
     x = rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')"
     return f"SELECT page_id, trim({x}, {BLANKS}) AS text FROM pages"
 
@@ -447,7 +447,7 @@ def quoted() -> str:
     body = rf"""CASE WHEN prev IS NULL THEN text
       WHEN turn % 3 = 2 THEN text || {NL} || {NL} || {NL} || {NL} || quote || {NL} || {NL} || 'regards'
       ELSE text || {NL} || {NL} || 'On ' || turn || ' May 2024, someone WROTE:' || {NL} || {NL} || quote END"""
-    cut = rf"regexp_replace(body, '(?im)^{WS}*On{WS}.{{0,200}}?wrote:{WS}*$(?s:.*)', '')"
+    cut = rf"regexp_replace(body, '(?im)^{WS_CLASS}*On{WS_CLASS}.{{0,200}}?wrote:{WS_CLASS}*$(?s:.*)', '')"
     kept = f"list_filter(string_split({cut}, {NL}), lambda x: NOT starts_with(ltrim(x, {BLANKS}), '>'))"
     joined = rf"regexp_replace(array_to_string({kept}, {NL}), '\n{{3,}}', {NL} || {NL}, 'g')"
     return rf"""WITH t AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
@@ -457,7 +457,7 @@ SELECT conv_id, turn, trim({joined}, {BLANKS}) AS body FROM b"""
 
 
 def slugged(name: str) -> str:
-    return rf"lower({squashed(rf'regexp_replace({name}, {chr(39)}[^\p{{L}}\p{{N}}_{WS[1:]}{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')})"
+    return rf"lower({squashed(rf'regexp_replace({name}, {chr(39)}[^\p{{L}}\p{{N}}_{WS_CLASS[1:]}{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')})"
 
 
 SEED_ROWS = ", ".join(
