@@ -389,7 +389,7 @@ CHUNK_ROUTED = " UNION ALL ".join([
         f"""SELECT doc_id, prefix, 0 AS grp, list_transform(u, lambda x: CASE WHEN length(x) > 6000 AND trim(x, {BLANKS}) <> '' THEN trim(x, {BLANKS}) ELSE x END) AS u FROM (
         SELECT doc_id, {PREFIX} AS prefix, string_split(regexp_replace(trim(text, {NL}), '\\n([^\\s{WS_IN_LINE_CLASS[1:]})', chr(1) || '\\1', 'g'), chr(1)) AS u
         FROM routed WHERE doc_id % 6 = 2)""", 6000, 0, "\n\n") + ")",
-    f"""SELECT * FROM (WITH {ROUTED} SELECT doc_id, 0 AS seq,
+    f"""SELECT * FROM (WITH {ROUTED} SELECT doc_id, 0::BIGINT AS seq,
       sha256(source || ' ' || substr(path, 8, 7) || '  ' || substr(doc_date, 1, 10) || {NL} || {NL} || trim(text, {BLANKS})) AS text_hash
       FROM routed WHERE path LIKE 'commit/%')""",
 ])
@@ -504,7 +504,7 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, seq) = 1""",
     "chunk_csv": CHUNK_CSV,
     "chunk_code": CHUNK_CODE,
     "chunk_routed": CHUNK_ROUTED,
-    "chunk_whole": f"""WITH {ROUTED} SELECT doc_id, 0 AS seq,
+    "chunk_whole": f"""WITH {ROUTED} SELECT doc_id, 0::BIGINT AS seq,
 sha256(source || ' ' || substr(path, 8, 7) || '  ' || substr(doc_date, 1, 10) || {NL} || {NL} || trim(text, {BLANKS})) AS text_hash
 FROM routed WHERE path LIKE 'commit/%'""",
     "doc_reconstruct": f"""WITH {CHUNKS} SELECT doc_id, sha256(string_agg(text, {NL} || {NL} ORDER BY seq)) AS content_hash
