@@ -10,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes of text that are hashed at once; bounds a worker's memory, not what is read.
 SLICE_BYTES = 1 << 20
+#: Bytes of the word beginnings that count as terms too.
+PREFIXES = (4, 5, 6)
 _U = np.uint64
 _MULTIPLIER = _U(0x9E3779B97F4A7C15)
 
@@ -103,9 +105,21 @@ def pieces(data: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[np.ndarray]:
         start = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word of the rows ``offsets`` (relative to ``data``), in order."""
+@lru_cache(1)
+def no_letters() -> np.ndarray:
+    """Bytes that end a term: ASCII but letters and digits."""
+    out = np.arange(256) < 128
+    out[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word of the rows ``offsets`` (relative to ``data``), in order.
+
+    With ``terms``, words are runs of letters and digits, and the beginnings of longer words follow them.
+    """
     values, blank = letters()
+    blank = no_letters() if terms else blank
     inside = ~blank[data]
     row_start = np.zeros(len(data) + 1, bool)
     row_start[offsets] = True
@@ -114,18 +128,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = inside.copy()
     ends[:-1] &= blank[data[1:]] | row_start[1:-1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    hashes = span_hashes(prefix_sums(data, values), start, end)
-    return hashes, np.searchsorted(offsets, start, "right") - 1
+    sums, rows = prefix_sums(data, values), np.searchsorted(offsets, start, "right") - 1
+    if not terms:
+        return span_hashes(sums, start, end), rows
+    found = [(span_hashes(sums, start, end), rows)]
+    for size in PREFIXES:  # stems: the words that share a beginning
+        longer = end - start > size
+        found.append((span_hashes(sums, start[longer], start[longer] + size), rows[longer]))
+    return np.concatenate([h for h, _ in found]), np.concatenate([r for _, r in found])
 
 
-def batch_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batch_words(column: pa.Array, terms: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of rows of a string column: first, last, the hashes of all words, the row of each (from 0)."""
     data, offsets = column_bytes(column)
     for first, last in slices(offsets):
         body = data[offsets[first]:offsets[last]]
         if len(body) <= 2 * SLICE_BYTES:
-            hashes, rows = word_hashes(body, offsets[first:last + 1] - offsets[first])
+            hashes, rows = word_hashes(body, offsets[first:last + 1] - offsets[first], terms)
         else:  # one very long text
-            hashes = np.concatenate([word_hashes(p, np.array([0, len(p)]))[0] for p in pieces(body)])
+            hashes = np.concatenate([word_hashes(p, np.array([0, len(p)]), terms)[0] for p in pieces(body)])
             rows = np.zeros(len(hashes), np.int64)
         yield first, last, hashes, rows

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import exact_dedup, mixing, near_dedup, quality, sharding
+from gleanery.llm import bpe, exact_dedup, language, mixing, near_dedup, quality, sharding, toxicity, warc
 from gleanery.session import ship_package
 
 
@@ -21,6 +23,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers  # where the check tool's tokenizers are; the operator takes any file's content
+
+    return Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -33,5 +45,19 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op4_sharding, op5_mixing, op6_near_dedup)}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identified(docs, language.learn(docs))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_bpe, op4_sharding, op5_mixing, op6_near_dedup, op7_warc, op8_language_id, op9_toxicity)}
 ORACLE: dict[str, str] = {}
