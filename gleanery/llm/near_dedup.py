@@ -251,3 +251,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     bare = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return with_component.union(bare).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the documents that :func:`near_duplicates` does not keep (rows without an id stay)."""
+    verdicts = near_duplicates(docs, doc_id, text)
+    dropped = verdicts.where("NOT kept").select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.join(dropped, [doc_id], "left_anti")

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import bpe, exact_dedup, language, mixing, near_dedup, quality, sharding, toxicity, warc
+from gleanery.llm import bpe, exact_dedup, language, mixing, near_dedup, quality, repeats, sharding, toxicity, warc
 from gleanery.session import ship_package
 
 
@@ -59,5 +59,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_bpe, op4_sharding, op5_mixing, op6_near_dedup, op7_warc, op8_language_id, op9_toxicity)}
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_bpe, op4_sharding, op5_mixing, op6_near_dedup, op7_warc, op8_language_id, op9_toxicity, op10_repeated_passages)}
 ORACLE: dict[str, str] = {}
