@@ -36,7 +36,7 @@ from gleanery.llm.shared import marked, quoted, saved, sieve
 
 LENGTH, K = 50, 20
 #: Text behind one shuffle group, and text that a task looks at at once.
-GROUP_BYTES, SLICE = 1 << 19, 1 << 21
+GROUP_BYTES, SLICE = 1 << 21, 1 << 21
 _U = np.uint64
 _BYTES = random_table(23, 256)
 ANCHORS, RANGES, OPEN = 0, 1, 2
@@ -44,7 +44,8 @@ PACKED = "kind int, bucket int, body binary"
 #: Columns of packed rows.
 ANCHOR = (("h", "<u4"), ("c", "<u4"), ("d", "<u2"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<u4"), ("n", "u1"))
 RANGE = (("doc", "<i8"), ("tag", "<u2"), ("lo", "<u4"), ("hi", "<u4"))
-NAME = (("h", "<u4"), ("c", "<u2"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<u4"))
+#: A run with its strings' names: the second layout has one entry per string.
+RUN, NAME = (("doc", "<i8"), ("tag", "<u2"), ("lo", "<u4"), ("n", "u1")), (("h", "<u4"), ("c", "<u2"))
 Rows = dict[str, np.ndarray]
 
 
@@ -195,39 +196,57 @@ def settled(packed: DataFrame, groups: int) -> DataFrame:
 
 
 def named(docs: DataFrame, ranges: DataFrame, groups: int) -> DataFrame:
-    """Packed names of all 50-byte strings inside ``ranges``, by name."""
+    """Names of all 50-byte strings inside ``ranges``, run by run, dealt by the name of the run's anchor.
+
+    Equal strings have equal anchors, so they meet in one group; a body holds the length of its runs' part first.
+    """
     def run(key: tuple, texts: pa.Table, table: pa.Table) -> pa.Table:
         wanted = joined_ranges(unpack((b.as_py() for b in table.column("body")), RANGE))
-        found: list[Rows] = []
+        bodies: dict[int, list[list[bytes]]] = {}
         for doc, tag, data in _texts(texts):
             for i in range(*np.searchsorted(wanted["doc"], [doc, doc + 1])):
                 lo, hi = int(wanted["lo"][i]), int(wanted["hi"][i])
                 if wanted["tag"][i] != tag or hi > len(data):
                     continue
+                _, first, last, anchor, _ = runs(data[lo:hi], np.array([0, hi - lo]))
                 starts = np.arange(hi - lo - LENGTH + 1)
                 names = span_hashes(prefix_sums(data[lo:hi], _BYTES), starts, starts + LENGTH)
-                found.append({"x": names, "doc": np.full(len(starts), doc), "tag": np.full(len(starts), tag), "lo": starts + lo})
+                rows = {"doc": np.full(len(first), doc), "tag": np.full(len(first), tag), "lo": first + lo, "n": last - first}
+                bucket = ((anchor >> _U(32)) % _U(groups)).astype(np.int64)
+                owner = np.repeat(bucket, last - first + 1)
+                for b in np.unique(bucket).tolist():
+                    mine = names[owner == b]
+                    heads = {k: v[bucket == b] for k, v in rows.items()}
+                    bodies.setdefault(b, []).append([
+                        *(heads[k].astype(t).tobytes() for k, t in RUN),
+                        (mine & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (mine >> _U(48)).astype("<u2").tobytes()])
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
-        if not found:
-            return schema.empty_table()
-        rows = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-        bucket = ((rows["x"] >> _U(32)) % _U(groups)).astype(np.int64)
-        rows |= {"h": rows["x"] & _U(0xFFFFFFFF), "c": rows["x"] >> _U(48)}
-        return pa.Table.from_batches(dealt(rows, NAME, bucket, ANCHORS), schema)
+        out = []
+        for parts in bodies.values():
+            columns = [b"".join(column) for column in zip(*parts, strict=True)]
+            out.append(len(b"".join(columns[:4])).to_bytes(4, "little") + b"".join(columns))
+        return pa.table([pa.array([ANCHORS] * len(out), pa.int32()), pa.array(list(bodies), pa.int32()), pa.array(out, pa.binary())], schema=schema)
 
-    return _with_texts(docs, ranges, groups, run, PACKED)
+    return _with_texts(docs, ranges, run, PACKED)
 
 
 def known_names(packed: DataFrame, groups: int) -> DataFrame:
     """The ranges of the strings whose name a smaller id has."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = unpack((b.as_py() for b in table.column("body")), NAME)
-        name = rows["c"].astype(_U) << _U(32) | rows["h"].astype(_U)
+        bodies = [b.as_py() for b in table.column("body")]
+        cuts = [4 + int.from_bytes(b[:4], "little") for b in bodies]
+        heads = unpack((b[4:c] for b, c in zip(bodies, cuts, strict=True)), RUN)
+        names = unpack((b[c:] for b, c in zip(bodies, cuts, strict=True)), NAME)
+        counts = heads["n"].astype(np.int64) + 1
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        rows = {k: np.repeat(heads[k].astype(np.int64), counts) for k in ("doc", "tag", "lo")}
+        rows["lo"] += within
+        name = names["c"].astype(_U) << _U(32) | names["h"].astype(_U)
         order = np.lexsort((rows["doc"], name))
         rows, name = {k: v[order] for k, v in rows.items()}, name[order]
         new = np.concatenate([[True], name[1:] != name[:-1]])
         later = rows["doc"] > rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone = {k: rows[k][later].astype(np.int64) for k in ("doc", "tag", "lo")}
+        gone = {k: rows[k][later] for k in ("doc", "tag", "lo")}
         gone = joined_ranges(gone | {"hi": gone["lo"] + LENGTH})
         parts = list(dealt(gone, RANGE, gone["doc"] % groups, RANGES))
         return pa.Table.from_batches(parts, parts[0].schema).cast(table.schema) if parts else table.schema.empty_table()
@@ -254,13 +273,16 @@ def _documents(ranges: DataFrame) -> DataFrame:
     return ranges.select("body").mapInArrow(run, "doc_id long")
 
 
-def _with_texts(docs: DataFrame, ranges: DataFrame, groups: int, run, schema: str) -> DataFrame:
+def _by_group(docs: DataFrame, groups: int) -> DataFrame:
+    return docs.select(F.pmod("doc_id", F.lit(groups)).cast("int").alias("bucket"), "doc_id", "text")
+
+
+def _with_texts(texts: DataFrame, ranges: DataFrame, run, schema: str) -> DataFrame:
     """``run`` on the texts and ranges of a few documents at a time."""
-    texts = docs.select(F.pmod("doc_id", F.lit(groups)).cast("int").alias("bucket"), "doc_id", "text")
     return texts.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(run, schema)
 
 
-def without(docs: DataFrame, ranges: DataFrame, groups: int) -> DataFrame:
+def without(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """What is left of the texts of ``docs``."""
     def run(key: tuple, texts: pa.Table, table: pa.Table) -> pa.Table:
         gone = joined_ranges(unpack((b.as_py() for b in table.column("body")), RANGE))
@@ -280,21 +302,21 @@ def without(docs: DataFrame, ranges: DataFrame, groups: int) -> DataFrame:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return _with_texts(docs, ranges, groups, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_texts(docs, ranges, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     docs = docs.select(quoted(doc_id).cast("long").alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    groups = total // GROUP_BYTES * 2 + 1
+    groups = total // GROUP_BYTES + 1
     first = saved(settled(anchors(docs.where("doc_id IS NOT NULL"), groups), groups))
-    still = first.where(F.col("kind") == OPEN)
-    touched = marked(docs, sieve(_documents(still)), [F.col("doc_id")], "touched").where("touched")
-    second = saved(known_names(named(touched, still, groups), groups))
+    # Every document with something to compare or to remove; both uses of their texts share one shuffle.
+    flagged = marked(docs, sieve(_documents(first)), [F.col("doc_id")], "touched")
+    touched = _by_group(flagged.where("touched AND doc_id IS NOT NULL"), groups)
+    second = known_names(named(touched, first.where(F.col("kind") == OPEN), groups), groups)
     ranges = first.where(F.col("kind") == RANGES).union(second)
-    flagged = marked(docs, sieve(_documents(ranges)), [F.col("doc_id")], "touched")
     whole = flagged.where("NOT touched OR doc_id IS NULL").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    return whole.union(without(flagged.where("touched AND doc_id IS NOT NULL"), ranges, groups))
+    return whole.union(without(touched, ranges))
