@@ -41,15 +41,15 @@ def term_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def terms(docs: DataFrame) -> DataFrame:
-    """``docs`` has text and label: label and the buckets of the text."""
-    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType()))])
+    """``docs`` has text and label: label and the buckets of the text, as packed 32-bit integers."""
+    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("terms", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, buckets, bounds in term_sets(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, len(bounds) - 1),
-                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(buckets.astype(np.int32))),
+                    pa.array([buckets[a:b].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
                 ], names=schema.names)
 
     return docs.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(run, schema)
@@ -126,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = sample(terms(texts.select("label", "text")).withColumn("at", F.xxhash64("terms")), "at", SAMPLE).collect()
     if not rows:
         return None
-    sets = [np.array(r["terms"], np.int64) for r in rows]
+    sets = [np.frombuffer(r["terms"], "<i4") for r in rows]
     toxic_rows = np.array([float(r["label"] > 0) for r in rows])
     rate = float(np.clip(toxic_rows.mean(), 1e-6, 1 - 1e-6))
     buckets, where, docs_with = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
