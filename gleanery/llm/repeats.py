@@ -195,6 +195,19 @@ def settled(packed: DataFrame, groups: int) -> DataFrame:
     return packed.groupBy("kind", "bucket").applyInArrow(run, PACKED)
 
 
+def _named_runs(held: list[tuple[int, int, int, np.ndarray]], groups: int) -> tuple[Rows, Rows, np.ndarray]:
+    """Runs of the pieces ``held`` (doc, tag, first position, bytes), the names of their strings, the runs' groups."""
+    data = np.concatenate([h[3] for h in held])
+    bounds = np.concatenate([[0], np.cumsum([len(h[3]) for h in held])])
+    row, first, last, anchor, _ = runs(data, bounds)
+    counts = last - first + 1
+    starts = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    names = span_hashes(prefix_sums(data, _BYTES), starts, starts + LENGTH)
+    doc, tag, begin = (np.array([h[i] for h in held], np.int64)[row] for i in range(3))
+    heads = {"doc": doc, "tag": tag, "lo": begin + first - bounds[row], "n": last - first}
+    return heads, {"h": names & _U(0xFFFFFFFF), "c": names >> _U(48)}, ((anchor >> _U(32)) % _U(groups)).astype(np.int64)
+
+
 def named(docs: DataFrame, ranges: DataFrame, groups: int) -> DataFrame:
     """Names of all 50-byte strings inside ``ranges``, run by run, dealt by the name of the run's anchor.
 
@@ -202,30 +215,36 @@ def named(docs: DataFrame, ranges: DataFrame, groups: int) -> DataFrame:
     """
     def run(key: tuple, texts: pa.Table, table: pa.Table) -> pa.Table:
         wanted = joined_ranges(unpack((b.as_py() for b in table.column("body")), RANGE))
-        bodies: dict[int, list[list[bytes]]] = {}
+        made: list[tuple[Rows, Rows, np.ndarray]] = []
+        held: list[tuple[int, int, int, np.ndarray]] = []
+        size = 0
         for doc, tag, data in _texts(texts):
             for i in range(*np.searchsorted(wanted["doc"], [doc, doc + 1])):
                 lo, hi = int(wanted["lo"][i]), int(wanted["hi"][i])
-                if wanted["tag"][i] != tag or hi > len(data):
-                    continue
-                _, first, last, anchor, _ = runs(data[lo:hi], np.array([0, hi - lo]))
-                starts = np.arange(hi - lo - LENGTH + 1)
-                names = span_hashes(prefix_sums(data[lo:hi], _BYTES), starts, starts + LENGTH)
-                rows = {"doc": np.full(len(first), doc), "tag": np.full(len(first), tag), "lo": first + lo, "n": last - first}
-                bucket = ((anchor >> _U(32)) % _U(groups)).astype(np.int64)
-                owner = np.repeat(bucket, last - first + 1)
-                for b in np.unique(bucket).tolist():
-                    mine = names[owner == b]
-                    heads = {k: v[bucket == b] for k, v in rows.items()}
-                    bodies.setdefault(b, []).append([
-                        *(heads[k].astype(t).tobytes() for k, t in RUN),
-                        (mine & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (mine >> _U(48)).astype("<u2").tobytes()])
+                if wanted["tag"][i] == tag and hi <= len(data):
+                    held.append((doc, tag, lo, data[lo:hi]))
+                    size += hi - lo
+            if size > SLICE:
+                made.append(_named_runs(held, groups))
+                held, size = [], 0
+        if held:
+            made.append(_named_runs(held, groups))
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
+        if not made:
+            return schema.empty_table()
+        heads = {k: np.concatenate([m[0][k] for m in made]) for k, _ in RUN}
+        names = {k: np.concatenate([m[1][k] for m in made]) for k, _ in NAME}
+        bucket = np.concatenate([m[2] for m in made])
+        owner = np.repeat(bucket, heads["n"] + 1)
+        order, by_name = np.argsort(bucket, kind="stable"), np.argsort(owner, kind="stable")
+        heads, names = {k: v[order] for k, v in heads.items()}, {k: v[by_name] for k, v in names.items()}
+        found = np.unique(bucket)
+        cuts = [np.searchsorted(x, [found, found + 1]) for x in (bucket[order], owner[by_name])]
         out = []
-        for parts in bodies.values():
-            columns = [b"".join(column) for column in zip(*parts, strict=True)]
-            out.append(len(b"".join(columns[:4])).to_bytes(4, "little") + b"".join(columns))
-        return pa.table([pa.array([ANCHORS] * len(out), pa.int32()), pa.array(list(bodies), pa.int32()), pa.array(out, pa.binary())], schema=schema)
+        for i in range(len(found)):
+            head = pack({k: v[cuts[0][0][i]:cuts[0][1][i]] for k, v in heads.items()}, RUN)
+            out.append(len(head).to_bytes(4, "little") + head + pack({k: v[cuts[1][0][i]:cuts[1][1][i]] for k, v in names.items()}, NAME))
+        return pa.table([pa.array([ANCHORS] * len(out), pa.int32()), pa.array(found.astype(np.int32)), pa.array(out, pa.binary())], schema=schema)
 
     return _with_texts(docs, ranges, run, PACKED)
 
