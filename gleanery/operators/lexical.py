@@ -135,7 +135,7 @@ def document_frequencies(n_phrases: int) -> Column:
 
 def idf(n: Column, df: Column) -> Column:
     raw = F.log((n - df + F.lit(0.5)) / (df + F.lit(0.5)))
-    return F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
+    return F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
 
 
 def bm25(tf: Column, dl: Column, n: Column, avgdl: Column, df: Column, n_phrases: int) -> Column:

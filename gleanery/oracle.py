@@ -504,9 +504,9 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, seq) = 1""",
     "chunk_csv": CHUNK_CSV,
     "chunk_code": CHUNK_CODE,
     "chunk_routed": CHUNK_ROUTED,
-    "chunk_whole": f"""WITH {ROUTED} SELECT doc_id, 0::BIGINT AS seq,
-sha256(source || ' ' || substr(path, 8, 7) || '  ' || substr(doc_date, 1, 10) || {NL} || {NL} || trim(text, {BLANKS})) AS text_hash
-FROM routed WHERE path LIKE 'commit/%'""",
+    "chunk_whole": f"""WITH {CORPUS} SELECT doc_id, 0::BIGINT AS seq,
+sha256(source || ' ' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 7) || '  ' || substr(doc_date, 1, 10) || {NL} || {NL} || trim(text, {BLANKS})) AS text_hash
+FROM corpus""",
     "doc_reconstruct": f"""WITH {CHUNKS} SELECT doc_id, sha256(string_agg(text, {NL} || {NL} ORDER BY seq)) AS content_hash
 FROM chunks GROUP BY doc_id""",
     "doc_truncate": "SELECT doc_id, sha256(substr(text, 1, 2000)) AS content_hash, length(text) > 2000 AS truncated FROM documents",

@@ -102,6 +102,12 @@ class Index:
         self.append("commits", self.spark.createDataFrame([values], TABLES["commits"]), batch)
         self.commits()
 
+    def clear(self, batch: int) -> None:
+        """Empty every table's rows of ``batch``: a run that died may have left some under this number."""
+        for name, schema in TABLES.items():
+            if name != "commits":
+                self.append(name, self.spark.createDataFrame([], schema), batch)
+
     def next_batch(self) -> int:
         return max(c.batch for c in self._log) + 1
 

@@ -68,6 +68,7 @@ def update_source(index: Index, source: Source, seeds: entities.Seeds, aliases:
     unchanged = tally.get("unchanged", 0)
     if not added + changed + deleted:
         if layout != LAYOUT_VERSION:
+            index.clear(batch)
             index.commit(batch, source=source.name, unchanged=unchanged)
         return Outcome(unchanged=unchanged)
 

@@ -337,7 +337,9 @@ def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = routed(spark, sf_dir).where(tx.is_commit(F.col("path")))
+    """Every document as the message of a commit."""
+    path = F.concat(F.lit("commit/"), F.sha2(F.col("doc_id").cast("string"), 256))
+    docs = corpus(spark, sf_dir).withColumn("path", path)
     split = chunking.chunk_whole(docs, F.col("text"))
     sha = F.substring_index("path", "/", -1)
     header = headers.commit_header(F.col("source"), sha, F.lit(None), F.col("doc_date"))

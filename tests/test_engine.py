@@ -238,3 +238,29 @@ def test_conversion_never_raises(tmp_path, monkeypatch):
     tool.write_bytes(b"#!/bin/sh\nexit 3\n")
     assert convert(str(tmp_path / "a.pdf")) is None
     assert shutil.which("pdftotext") == str(tool)
+
+
+def test_a_dead_run_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    """A run dies after its documents were written; an empty source is updated next, then the first one again."""
+    from gleanery.plans import update as update_module
+    from gleanery.tables import table_loader, table_probes
+
+    documents = spark.createDataFrame(
+        [(f"{i}.txt", "2024-01-01", f"the lamp number {i}") for i in range(3)], "path string, doc_date string, text string")
+    index = Index(spark, str(tmp_path / "index"))
+
+    def update(name, rows):
+        source = config.Source(name, "filetree", str(tmp_path))
+        return update_source(index, source, Seeds(), Aliases(), probes=table_probes(rows, source), loader=table_loader(rows))
+
+    with monkeypatch.context() as broken:
+        broken.setattr(update_module, "write_entities", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            update("a", documents)
+    assert update("b", documents.limit(0)) == Outcome()
+    assert index.live("documents").count() == 0
+    assert update("a", documents).added == 3
+    assert index.live("documents").count() == index.totals().chunks == 3
+    from gleanery.plans.search import search
+
+    assert search(index, "lamp", mode="lexical").count() == 3
