@@ -22,7 +22,7 @@ def db():
     return compare.views(TABLES)
 
 
-@pytest.mark.parametrize("name", registered.queries())
+@pytest.mark.parametrize("name", registered.oracle_sql())
 def test_query_agrees_with_sql(spark, db, name):
     import compare
 
