@@ -14,8 +14,9 @@ compared with a pivot P, the node that shares most buckets with others. A link o
 3/7 (|A| + |B|) common shingles (for 0.75). Where both have that many in common with P, they are compared;
 otherwise some of the common shingles lie outside P, at least k of them by what is known of A's overlap with P, and
 A and B meet in a bucket named by P and one of the |A - P| - k + 1 shingles of A outside P that are rarest there
-(prefix filter). Of those buckets only the ones that still hold two components compare their pairs. So n near copies
-cost about n comparisons, not n^2, and no link is lost. Every link used is confirmed on the full sets.
+(prefix filter). Of those buckets only the ones that still hold two components compare their pairs: first by the
+ranks at which two nodes meet, then by their shingles outside P, and those that may still be linked by their full sets.
+So n near copies cost about n comparisons, not n^2, and no link is lost. Every link used is confirmed on the full sets.
 
 Defined results: null and wordless texts have no set and are linked with nothing; a text of fewer than
 five words has its whole sequence as only shingle. Rows that share an id are one document, linked if one of its texts
@@ -213,14 +214,37 @@ def _loose(pivoted: DataFrame) -> DataFrame:
 
 
 def _meetings(pivoted: DataFrame) -> DataFrame:
-    """Entries of the buckets in which nodes meet outside their pivot."""
-    items = pivoted.where("meets > 0").select("pivot", F.explode("outside").alias("item"), "node", "n_shingles", "meets")
-    items = items.select(F.xxhash64("pivot", "item").alias("bucket"), "pivot", "node", "n_shingles", "meets").withColumn(
-        "second", F.expr("pmod(bucket, 1021)"))
+    """Entries of the buckets in which nodes meet outside their pivot, and how much the nodes can share from there on.
+
+    ``shared`` is the overlap with the pivot, ``ahead`` the number of shingles outside it from this one on, rarest first.
+    """
+    items = pivoted.where("meets > 0").select(
+        "pivot", F.explode("outside").alias("item"), "node", "n_shingles", "meets", F.col("overlap").alias("shared"),
+        F.size("outside").alias("n_outside"))
+    items = items.withColumn("bucket", F.xxhash64("pivot", "item")).drop("item").withColumn("second", F.expr("pmod(bucket, 1021)"))
     common = items.groupBy("bucket").agg(F.max("second").alias("second"), F.count("*").alias("nodes"))
     rarest = Window.partitionBy("pivot", "node").orderBy("nodes", "bucket")  # one set at most
     met = with_groups(items, "bucket", "second", common).withColumn("rank", F.row_number().over(rarest))
-    return met.where("rank <= meets AND nodes > 1").select("bucket", "node", "n_shingles")
+    return met.where("rank <= meets AND nodes > 1").select(
+        "bucket", "pivot", "node", "n_shingles", "shared", (F.col("n_outside") - F.col("rank") + 1).alias("ahead"))
+
+
+def _met_pairs(met: DataFrame, pivoted: DataFrame) -> DataFrame:
+    """Of the pairs that meet outside a pivot, those that may be linked by all that is known beside the pivot's set.
+
+    Two nodes share at most the lesser of their overlaps with the pivot, and of the shingles outside it no more than
+    lie ahead where they meet first (all buckets rank alike); then the shingles outside are counted.
+    """
+    enough = F.ceil(PERCENT * (F.col("n_shingles") + F.col("n_shingles_b")) / (100 + PERCENT)) - F.least("shared", "shared_b")
+    other = met.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "component", "shared", "ahead")])
+    pairs = met.join(other, "bucket").where("node_b < node AND component != component_b").where(
+        (100 * F.least("n_shingles", "n_shingles_b") >= PERCENT * F.greatest("n_shingles", "n_shingles_b"))
+        & (F.least("ahead", "ahead_b") >= enough)
+    ).select("pivot", "node", "node_b", enough.alias("enough")).distinct()
+    outside = pivoted.select("pivot", "node", "outside")
+    both = pairs.join(outside, ["pivot", "node"]).join(outside.toDF("pivot", "node_b", "outside_b"), ["pivot", "node_b"])
+    return both.where(F.size(F.array_intersect("outside", "outside_b")) >= F.col("enough")).select(
+        F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,7 +268,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = pivoted.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(
         compared(pairs, sets).where("linked").select("a", "b"))
     labels = components(links)
-    left = _pairs(_unsettled(_meetings(pivoted), labels))
+    left = _met_pairs(_unsettled(_meetings(pivoted), labels), pivoted)
     labels = components(_edges(labels).union(compared(left, sets).where("linked").select("a", "b")))
 
     with_component = members.join(labels, "node", "left").select(
