@@ -156,16 +156,25 @@ def _edges(labels: DataFrame) -> DataFrame:
 
 
 def _unsettled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The entries (bucket, node, n_shingles) of buckets that hold two components, with what describes the bucket."""
-    entries = entries.withColumn("second", F.expr("pmod(bucket, 1021)"))
+    """The entries (bucket, node, n_shingles) of buckets that hold two components, with what describes the bucket.
+
+    ``entries`` are read twice: once to find such buckets, once to keep what a sieve of these lets pass.
+    """
     if labels is None:
         placed = entries.withColumn("component", F.col("node"))
     else:
         placed = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    buckets = placed.groupBy("bucket").agg(
-        F.max("second").alias("second"), F.count("*").alias("nodes"), F.min("n_shingles").alias("smallest"),
-        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return saved(with_groups(placed, "bucket", "second", buckets.drop("low", "high")))
+    buckets = saved(placed.groupBy("bucket").agg(
+        F.count("*").alias("nodes"), F.min("n_shingles").alias("smallest"),
+        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").drop("low", "high"))
+    return saved(_in_buckets(placed, buckets))
+
+
+def _in_buckets(entries: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The entries of ``buckets`` with their columns; what a sieve shows to be elsewhere is not shuffled."""
+    likely = marked(entries, sieve(buckets.select("bucket")), [F.col("bucket")], "likely").where("likely").drop("likely")
+    second = F.expr("pmod(bucket, 1021)")
+    return with_groups(likely.withColumn("second", second), "bucket", "second", buckets.withColumn("second", second))
 
 
 def _open_pairs(pairs: DataFrame) -> DataFrame:
@@ -185,8 +194,8 @@ def _pairs(few: DataFrame) -> DataFrame:
 def _pivoted(many: DataFrame, sets: DataFrame) -> DataFrame:
     """The nodes of large buckets against their pivots.
 
-    node, component, n_shingles, pivot, linked, ``loose`` (may be linked without meeting) and ``meet``, the
-    shingles outside the pivot's to meet by.
+    node, component, n_shingles, pivot, hashes of both texts (ids may be shared), linked, overlap, the shingles
+    outside the pivot's and ``meets``, by how many of these a node has to meet others.
     """
     weight = many.groupBy("node").agg(F.max("second").alias("_"), F.sum("nodes").alias("weight")).drop("_")
     pivots = many.join(weight, "node").groupBy("bucket").agg(
@@ -200,7 +209,7 @@ def _pivoted(many: DataFrame, sets: DataFrame) -> DataFrame:
     k = F.greatest(F.ceil(PERCENT * (size + least) / (100 + PERCENT)) - F.col("overlap"), F.lit(1))
     return both.select(
         F.col("a").alias("node"), "component", size.alias("n_shingles"), F.col("b").alias("pivot"), "linked", "overlap",
-        "outside", (F.size("outside") - k + 1).alias("meets"))
+        F.xxhash64("a_items").alias("text"), F.xxhash64("b", "b_items").alias("pivot_text"), "outside", (F.size("outside") - k + 1).alias("meets"))
 
 
 def _loose(pivoted: DataFrame) -> DataFrame:
@@ -219,14 +228,17 @@ def _meetings(pivoted: DataFrame) -> DataFrame:
     ``shared`` is the overlap with the pivot, ``ahead`` the number of shingles outside it from this one on, rarest first.
     """
     items = pivoted.where("meets > 0").select(
-        "pivot", F.explode("outside").alias("item"), "node", "n_shingles", "meets", F.col("overlap").alias("shared"),
-        F.size("outside").alias("n_outside"))
-    items = items.withColumn("bucket", F.xxhash64("pivot", "item")).drop("item").withColumn("second", F.expr("pmod(bucket, 1021)"))
-    common = items.groupBy("bucket").agg(F.max("second").alias("second"), F.count("*").alias("nodes"))
-    rarest = Window.partitionBy("pivot", "node").orderBy("nodes", "bucket")  # one set at most
-    met = with_groups(items, "bucket", "second", common).withColumn("rank", F.row_number().over(rarest))
-    return met.where("rank <= meets AND nodes > 1").select(
-        "bucket", "pivot", "node", "n_shingles", "shared", (F.col("n_outside") - F.col("rank") + 1).alias("ahead"))
+        "pivot", "pivot_text", "text", F.explode("outside").alias("item"), "node", "n_shingles", "meets",
+        F.col("overlap").alias("shared"), F.size("outside").alias("n_outside"))
+    items = items.withColumn("bucket", F.xxhash64("pivot_text", "item")).drop("item", "pivot_text")
+    common = saved(items.groupBy("bucket").agg(F.count("*").alias("nodes")).where("nodes > 1"))
+    one_text = Window.partitionBy("pivot", "node", "text")  # one set at most
+    # The rarest shingles, those of one node, come first. They are not here: counting the others tells their number.
+    alone = F.col("n_outside") - F.count("*").over(one_text)
+    met = _in_buckets(items, common).withColumn(
+        "rank", alone + F.row_number().over(one_text.orderBy("nodes", "bucket"))).where("rank <= meets")
+    return saved(met.select(
+        "bucket", "pivot", "node", "n_shingles", "shared", (F.col("n_outside") - F.col("rank") + 1).alias("ahead")))
 
 
 def _met_pairs(met: DataFrame, pivoted: DataFrame) -> DataFrame:
@@ -256,8 +268,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # On a third column that the other two decide, so that large classes can be split (see with_groups).
     members = saved(found.drop("bands").join(classes, ["fp", "fp2", "n_shingles"]).select("doc_id", "n_shingles", "node"))
 
-    nodes = found.join(classes.select("fp", "fp2", F.col("node").alias("doc_id")), ["fp", "fp2", "doc_id"])
-    entries = nodes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), "n_shingles").distinct()
+    nodes = saved(found.join(classes.select("fp", "fp2", F.col("node").alias("doc_id")), ["fp", "fp2", "doc_id"])
+                  .dropDuplicates(["fp", "fp2", "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "bands"))
+    entries = nodes.select(F.explode("bands").alias("bucket"), "node", "n_shingles")
     rest = _unsettled(entries, None)
     candidates = rest.select("node").distinct()
     chosen = marked(docs, sieve(candidates), [F.col("doc_id")], "candidate").where("candidate")
