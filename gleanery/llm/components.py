@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.shared import saved, with_groups
+from gleanery.llm.shared import compact, saved, with_groups
 
+#: Edges that one task of a round reads.
+TASK_ROWS = 20_000
 #: A number that depends on the node alone, for with_groups.
 _SECOND = "pmod(xxhash64({0}), 1021)"
 
@@ -30,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             return now.select(F.col("x").alias("node"), F.col("y").alias("component"))
         before = mark
+        now = compact(now, mark[0], TASK_ROWS)
         both = now.union(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
         large = _to_minimum(both).where("y > x").select(F.col("y").alias("x"), F.least("x", "m").alias("y")).distinct()
         small = _to_minimum(large)

@@ -35,13 +35,15 @@ from pyspark.sql import types as T
 
 from gleanery.llm.components import components
 from gleanery.llm.hashing import batch_words, mix, random_table
-from gleanery.llm.shared import marked, quoted, saved, sieve, with_groups
+from gleanery.llm.shared import compact, marked, quoted, saved, sieve, with_groups
 
 WORDS, BINS, BANDS = 5, 128, 32
 #: Links: PERCENT * union <= 100 * intersection.
 PERCENT = 75
 #: Nodes of a bucket whose pairs are all compared (28 pairs at most).
 SMALL = 8
+#: Comparisons with pivots that one task reads; each holds a part of a set.
+TASK_ROWS = 2_000
 _U = np.uint64
 _PLACES = random_table(11, WORDS + 1)
 _ROUNDS = random_table(13, 2 * BINS)
@@ -277,6 +279,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = saved(full_sets(chosen).join(candidates.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"))
 
     pivoted = saved(_pivoted(rest.where(F.col("nodes") > SMALL), sets))
+    pivoted = compact(pivoted, pivoted.count(), TASK_ROWS)
     pairs = _pairs(rest.where(F.col("nodes") <= SMALL)).union(_loose(pivoted)).distinct()
     links = pivoted.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(
         compared(pairs, sets).where("linked").select("a", "b"))

@@ -44,6 +44,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, n_rows: int, per_task: int) -> DataFrame:
+    """``df``, a saved table of ``n_rows`` rows, in tasks of about ``per_task`` rows instead of one per saved part."""
+    return df.coalesce(n_rows // per_task + 1)
+
+
 def sieve(keys: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
     """A bitmap of the rows of ``keys``: never misses a key, may let others pass.
 
