@@ -284,12 +284,12 @@ def _texts(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def _documents(ranges: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.unique(unpack((b.as_py() for b in batch.column(0)), RANGE)["doc"])
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64))], names=["doc_id"])
+    """The ids of the documents that ``ranges`` touch, each once: all ranges of a document lie in one bucket."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids = np.unique(unpack((b.as_py() for b in table.column("body")), RANGE)["doc"])
+        return pa.table([pa.array(ids.astype(np.int64))], names=["doc_id"])
 
-    return ranges.select("body").mapInArrow(run, "doc_id long")
+    return ranges.select("bucket", "body").groupBy("bucket").applyInArrow(run, "doc_id long")
 
 
 def _by_group(docs: DataFrame, groups: int) -> DataFrame:
