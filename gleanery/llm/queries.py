@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators, and SQL for those that SQL can express."""
+"""Registered queries of the training-data operators; ``ORACLE`` has SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm import bpe, exact_dedup, language, mixing, near_dedup, quality, repeats, sharding, toxicity, warc
+from gleanery.llm.oracle import ORACLE as ORACLE
 from gleanery.session import ship_package
 
 
@@ -64,9 +65,3 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_bpe, op4_sharding, op5_mixing, op6_near_dedup, op7_warc, op8_language_id, op9_toxicity, op10_repeated_passages)}
-ORACLE: dict[str, str] = {
-    "op1_exact_dedup": """WITH folded AS (
-  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
-  sha256(body) AS text_sha256 FROM folded WINDOW g AS (PARTITION BY body)""",
-}
