@@ -1,11 +1,14 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 A text is the set of its terms (runs of letters and digits, A-Z lower-cased, and their first 4, 5 and 6 bytes),
-hashed to 2^22 buckets. A term's value x_i is between 0 (in every training row) and 1 (rare). The machine
+hashed to 2^22 buckets. A term's value x_i is between 0 (in every training row) and 1 (rare, or in a telling pair). The machine
 scores w0 + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j; the pair term learns interactions, such as
 an insult with the mention of a group, that additive weights miss. It is trained in numpy with Adagrad on
-at most SAMPLE labelled rows, on buckets that MIN_DOCS of them have (TERMS at most, the most frequent), and applied to whole
-texts in Arrow batches. The model is a fixed-size table, whatever the data.
+at most SAMPLE labelled rows and applied to whole texts in Arrow batches. Of the buckets that MIN_DOCS of these rows have,
+the machine gets those that tell the label by themselves (|z| >= MIN_Z, TERMS at most) and both members of every
+pair that tells it: all pairs of the TERMS most frequent buckets are counted, and held against what a machine
+without them expects of the same rows. A member need not tell anything alone. All other buckets are noise to
+the machine; with them, it learns its sample by heart. The model is a fixed-size table, whatever the data.
 
 Defined results: null and empty texts get the score of an empty set; a null label is no label; rows that
 share an id and a text get the same score. Without labelled rows, every score is 0. Documents with
@@ -27,6 +30,8 @@ from gleanery.llm.hashing import batch_words
 from gleanery.llm.shared import quoted
 
 SAMPLE, TERMS, MIN_DOCS, MIN_Z, BUCKET_BITS = 10_000, 1 << 14, 6, 4.0, 22
+#: The chance that any pair of a sample without interactions passes.
+PAIR_ERROR = 0.05
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 128, 0.2, 1e-5
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 
@@ -107,7 +112,7 @@ class Machine:
                 slope_w = np.bincount(where, share, len(touched)) + DECAY * self.weights[touched]
                 pull = (np.repeat(sums, sizes, axis=0) - self.vectors[at] * values[:, None]) * share[:, None]
                 slope_v = np.stack([np.bincount(where, pull[:, f], len(touched)) for f in range(FACTORS)], axis=1)
-                slope_v += DECAY * self.vectors[touched]
+                slope_v = slope_v + DECAY * self.vectors[touched]  # no terms at all give integers
                 seen_w[touched] += slope_w ** 2
                 seen_v[touched] += slope_v ** 2
                 self.weights[touched] -= (RATE * slope_w / np.sqrt(seen_w[touched])).astype(np.float32)
@@ -117,6 +122,70 @@ class Machine:
                 self.bias -= float(RATE * slope_b / np.sqrt(seen_b))
 
 
+def trained(kept: np.ndarray, docs_with: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, paired: np.ndarray | None = None) -> Machine:
+    """A machine of the buckets ``kept``, which ``docs_with`` of the ``sets`` have; those ``paired`` count in full."""
+    values = np.log(len(sets) / docs_with) / np.log(max(len(sets), 2))
+    machine = Machine(kept, values if paired is None else np.where(np.isin(kept, paired), 1.0, values))
+    machine.train([machine.known(s, np.array([0, len(s)]))[0] for s in sets], labels)
+    return machine
+
+
+def expected(kept: np.ndarray, docs_with: np.ndarray, sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The chance of each row to be toxic, by a machine of ``kept`` trained on the other half of the rows."""
+    out = np.full(len(sets), labels.mean())
+    halves = [np.arange(i, len(sets), 2) for i in range(2)]
+    for mine, other in (halves, halves[::-1]) if len(sets) > 1 else ():
+        machine = trained(kept, docs_with, [sets[i] for i in other], labels[other])
+        bounds = np.concatenate([[0], np.cumsum([len(sets[i]) for i in mine])])
+        logit, _ = machine.logits(*machine.known(np.concatenate([sets[i] for i in mine]), bounds))
+        out[mine] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    return out
+
+
+def in_telling_pairs(columns: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """Those of the sorted buckets ``columns`` in a pair whose rows are toxic far more, or less, often than ``chances`` say.
+
+    Every pair that MIN_DOCS rows share is counted. It passes if Chernoff's bound of its count, times the number of
+    pairs, is at most PAIR_ERROR. Buckets of the very same rows are counted as one.
+    """
+    known = Machine(columns, np.ones(len(columns)))
+    rows = [known.known(s, np.array([0, len(s)]))[0] for s in sets]
+    sizes = np.array([len(r) for r in rows])
+    sign = np.bincount(np.concatenate(rows), np.repeat(np.random.default_rng(3).random(len(rows)), sizes), len(columns))
+    _, first, twin = np.unique(sign, return_index=True, return_inverse=True)
+    leads = np.zeros(len(columns), bool)
+    leads[first] = True
+    rows = [r[leads[r]] for r in rows]
+    place = np.cumsum(leads) - 1
+    flat = place[np.concatenate(rows)].astype(np.int32)
+    sizes, n = np.array([len(r) for r in rows]), len(first)
+    row_of, ends = np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.cumsum(sizes)
+    entries, begins = np.argsort(flat, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=n))])
+    # Rows, toxic rows and 1024 times the chances, in 14, 14 and 24 bits of one double (SAMPLE < 2^14).
+    tally = 1.0 + labels * 2.0 ** 14 + np.clip(np.rint(chances * 1024), 10, 1014) * 2.0 ** 28
+    limit = np.log(max(n * (n - 1) / 2, 1) / PAIR_ERROR)
+    telling = np.zeros(n, bool)
+    for i in range(n):
+        at = entries[begins[i]:begins[i + 1]]
+        row = row_of[at]
+        counts = ends[row] - at - 1  # the row's entries behind this one
+        total = int(counts.sum())
+        if not total:
+            continue
+        others = flat[np.repeat(at + 1 - (np.cumsum(counts) - counts), counts) + np.arange(total)] - i
+        sums = np.bincount(others, np.repeat(tally[row], counts), n - i).astype(np.int64)
+        shared, toxic, hope = sums & 16383, sums >> 14 & 16383, (sums >> 28) / 1024
+        # The bound's exponent is at most this square, so that few pairs need it.
+        some = np.flatnonzero((shared >= MIN_DOCS) & ((toxic - hope) ** 2 >= limit * hope * (1 - hope / np.maximum(shared, 1))))
+        share, chance = toxic[some] / shared[some], hope[some] / shared[some]
+        exponent = shared[some] * (share * np.log(np.maximum(share, 1e-300) / chance)
+                                   + (1 - share) * np.log(np.maximum(1 - share, 1e-300) / (1 - chance)))
+        passed = some[exponent >= limit]
+        telling[passed + i] = True
+        telling[i] |= len(passed) > 0
+    return columns[telling[place[first][twin]]]
+
+
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Machine | None:
     """A machine trained on the labelled rows outside the held-out fold, or None without any."""
     known = labels.where(quoted(toxic).isNotNull() & (remainder(quoted(doc_id), FOLDS) != HELD_OUT))
@@ -132,11 +201,14 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     buckets, where, docs_with = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     toxic_with = np.bincount(where, np.repeat(toxic_rows, [len(s) for s in sets]), len(buckets))
     distance = np.abs(toxic_with - rate * docs_with) / np.sqrt(docs_with * rate * (1 - rate))
-    telling = np.flatnonzero((docs_with >= MIN_DOCS) & (distance >= MIN_Z))
-    kept = np.sort(telling[np.argsort(-distance[telling], kind="stable")[:TERMS]])
-    machine = Machine(buckets[kept], np.log(len(rows) / docs_with[kept]) / np.log(max(len(rows), 2)))
-    machine.train([machine.known(s, np.array([0, len(s)]))[0] for s in sets], toxic_rows)
-    return machine
+    often = np.flatnonzero(docs_with >= MIN_DOCS)
+    telling = often[distance[often] >= MIN_Z]
+    alone = np.sort(telling[np.argsort(-distance[telling], kind="stable")[:TERMS]])
+    frequent = np.sort(often[np.argsort(-docs_with[often], kind="stable")[:TERMS]])
+    chances = expected(buckets[alone], docs_with[alone], sets, toxic_rows)
+    paired = in_telling_pairs(buckets[frequent], sets, toxic_rows, chances)
+    kept = np.union1d(alone, np.searchsorted(buckets, paired))
+    return trained(buckets[kept], docs_with[kept], sets, toxic_rows, paired)
 
 
 def scored(docs: DataFrame, machine: Machine | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

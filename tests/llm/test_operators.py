@@ -260,6 +260,29 @@ def test_models(spark, docs, rows, empty):
     assert toxicity.scored(empty, machine).count() == language.identified(empty, network).count() == 0
 
 
+def test_toxic_pair_of_harmless_terms(spark):
+    rng = random.Random(8)
+    filler = ["".join(rng.choices("abcdeth", k=5)) for _ in range(300)]
+    rows, labels, both = [], [], set()
+    for i in range(1600):
+        words = rng.choices(filler, k=30)
+        if i % 20 == 0:
+            words += ["groupname", "slurlike"]
+            both.add(i)
+        elif i % 2:
+            words.append(rng.choice(["groupname", "slurlike"]))
+        elif i % 8 == 2:
+            words.append("vileword")
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i in both or "vileword" in words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = toxicity.learn(table, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = [g for g in toxicity.scored(table, machine).collect() if g.held_out]
+    assert sum(g.doc_id in both for g in got) >= 10
+    assert [g.predicted for g in got] == [dict(labels)[g.doc_id] for g in got]
+
+
 def test_repeats(docs, rows, empty):
     texts = {r[0]: (r[1] or "").encode() for r in rows}
     first = {}
