@@ -13,8 +13,10 @@ unique leave at once, so that the later names are made only for the few that are
    ends of passages, and chance.
 
 Only anchors are shuffled, packed by name into many small groups; a map task keeps one document's anchors
-of a run that occurs in many of its documents, so a passage in a third of all documents adds a row per
-batch. Texts move once or twice, and only those of documents that have something to compare or to remove.
+of a run that occurs in many of its documents, so the inside of a passage in a third of all documents adds a row per
+batch. At the ends of such a passage every document has a run of its own: of an anchor with more than HOT rows
+in a slice, of several runs, at most four go to its group, and the others to step 3 at once. There, strings are
+dealt by their own names, and of a name that occurs in many documents of a map task one document's strings go on. Texts move once or twice, and only those of documents that have something to compare or to remove.
 
 Defined results: null texts are empty. Documents with null ids neither lose nor cause anything. Rows
 that share an id never remove from each other (their texts are told apart by a 16-bit checksum). Empty tables, empty and
@@ -39,13 +41,14 @@ LENGTH, K = 50, 20
 GROUP_BYTES, SLICE = 1 << 21, 1 << 21
 _U = np.uint64
 _BYTES = random_table(23, 256)
+#: Rows of an anchor of several runs that a slice sends to the anchor's group.
+HOT = 8
 ANCHORS, RANGES, OPEN = 0, 1, 2
 PACKED = "kind int, bucket int, body binary"
 #: Columns of packed rows.
 ANCHOR = (("h", "<u4"), ("c", "<u4"), ("d", "<u2"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<u4"), ("n", "u1"))
 RANGE = (("doc", "<i8"), ("tag", "<u2"), ("lo", "<u4"), ("hi", "<u4"))
-#: A run with its strings' names: the second layout has one entry per string.
-RUN, NAME = (("doc", "<i8"), ("tag", "<u2"), ("lo", "<u4"), ("n", "u1")), (("h", "<u4"), ("c", "<u2"))
+NAME = (("h", "<u4"), ("c", "<u4"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<u4"))
 Rows = dict[str, np.ndarray]
 
 
@@ -144,6 +147,27 @@ def found_runs(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterat
             yield {"doc": ids[first + row], "tag": tags[row], "lo": lo - bounds[row] + at - begin, "n": hi - lo, "h": h, "c": c}
 
 
+def crowded(rows: Rows) -> np.ndarray:
+    """Which of a slice's ``rows`` need not go to the group of their anchor: it is known to have several runs.
+
+    The rows that stay show the group that there are several runs, and several documents if so: the anchor's least
+    and greatest in both. The group then leaves open all runs of the anchor that it does not settle.
+    """
+    _, name = np.unique(rows["h"], return_inverse=True)
+    out = np.zeros(len(name), bool)
+    several = np.zeros(name.max(initial=-1) + 1, bool)
+    for field in ("c", "doc"):
+        order = np.lexsort((rows[field], name))
+        new = np.concatenate([[True], name[order][1:] != name[order][:-1]]) if len(order) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(order)]])[:len(first)] - 1
+        if field == "c":
+            several = (rows["c"][order[first]] != rows["c"][order[last]]) & (last - first >= HOT)
+            out = several[name]
+        out[order[first]] = out[order[last]] = False
+    return out
+
+
 def anchors(docs: DataFrame, groups: int) -> DataFrame:
     """Packed anchors by name, and the ranges that a batch settles by itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +182,11 @@ def anchors(docs: DataFrame, groups: int) -> DataFrame:
                 gone = joined_ranges(gone | {"hi": gone["lo"] + rows["n"][later] + LENGTH})
                 yield from dealt(gone, RANGE, gone["doc"] % groups, RANGES)
                 kept = {k: v[~later] for k, v in rows.items()}
+                spare = crowded(kept)
+                left = {k: kept[k][spare] for k in ("doc", "tag", "lo")}
+                left = joined_ranges(left | {"hi": left["lo"] + kept["n"][spare] + LENGTH})
+                yield from dealt(left, RANGE, left["doc"] % groups, OPEN)
+                kept = {k: v[~spare] for k, v in kept.items()}
                 bucket = ((kept["h"] >> _U(32)) % _U(groups)).astype(np.int64)
                 kept |= {"h": kept["h"] & _U(0xFFFFFFFF), "c": kept["c"] & _U(0xFFFFFFFF), "d": kept["c"] >> _U(48)}
                 yield from dealt(kept, ANCHOR, bucket, ANCHORS)
@@ -195,27 +224,34 @@ def settled(packed: DataFrame, groups: int) -> DataFrame:
     return packed.groupBy("kind", "bucket").applyInArrow(run, PACKED)
 
 
-def _named_runs(held: list[tuple[int, int, int, np.ndarray]], groups: int) -> tuple[Rows, Rows, np.ndarray]:
-    """Runs of the pieces ``held`` (doc, tag, first position, bytes), the names of their strings, the runs' groups."""
+def _strings(held: list[tuple[int, int, int, np.ndarray]]) -> tuple[Rows, np.ndarray]:
+    """All 50-byte strings of the pieces ``held`` (doc, tag, first position, bytes), and their names."""
     data = np.concatenate([h[3] for h in held])
-    bounds = np.concatenate([[0], np.cumsum([len(h[3]) for h in held])])
-    row, first, last, anchor, _ = runs(data, bounds)
-    counts = last - first + 1
-    starts = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    sizes = np.array([len(h[3]) for h in held])
+    counts = np.maximum(sizes - LENGTH + 1, 0)
+    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.repeat(np.cumsum(sizes) - sizes, counts) + within
     names = span_hashes(prefix_sums(data, _BYTES), starts, starts + LENGTH)
-    doc, tag, begin = (np.array([h[i] for h in held], np.int64)[row] for i in range(3))
-    heads = {"doc": doc, "tag": tag, "lo": begin + first - bounds[row], "n": last - first}
-    return heads, {"h": names & _U(0xFFFFFFFF), "c": names >> _U(48)}, ((anchor >> _U(32)) % _U(groups)).astype(np.int64)
+    doc, tag, begin = (np.repeat(np.array([h[i] for h in held], np.int64), counts) for i in range(3))
+    return {"doc": doc, "tag": tag, "lo": begin + within}, names
 
 
-def named(docs: DataFrame, ranges: DataFrame, groups: int) -> DataFrame:
-    """Names of all 50-byte strings inside ``ranges``, run by run, dealt by the name of the run's anchor.
+def _later(rows: Rows, name: np.ndarray) -> tuple[np.ndarray, Rows]:
+    """Which strings have a name that a smaller id has, and their ranges."""
+    order = np.lexsort((rows["doc"], name))
+    doc, ordered = rows["doc"][order], name[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(order) else np.zeros(0, bool)
+    later = np.zeros(len(order), bool)
+    later[order] = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    gone = {k: rows[k][later].astype(np.int64) for k in ("doc", "tag", "lo")}
+    return later, joined_ranges(gone | {"hi": gone["lo"] + LENGTH})
 
-    Equal strings have equal anchors, so they meet in one group; a body holds the length of its runs' part first.
-    """
+
+def named(docs: DataFrame, ranges: DataFrame, groups: int) -> DataFrame:
+    """Names of all 50-byte strings inside ``ranges``, dealt by name, and the ranges that a task settles by itself."""
     def run(key: tuple, texts: pa.Table, table: pa.Table) -> pa.Table:
         wanted = joined_ranges(unpack((b.as_py() for b in table.column("body")), RANGE))
-        made: list[tuple[Rows, Rows, np.ndarray]] = []
+        made: list[tuple[Rows, np.ndarray]] = []
         held: list[tuple[int, int, int, np.ndarray]] = []
         size = 0
         for doc, tag, data in _texts(texts):
@@ -225,26 +261,21 @@ def named(docs: DataFrame, ranges: DataFrame, groups: int) -> DataFrame:
                     held.append((doc, tag, lo, data[lo:hi]))
                     size += hi - lo
             if size > SLICE:
-                made.append(_named_runs(held, groups))
+                made.append(_strings(held))
                 held, size = [], 0
         if held:
-            made.append(_named_runs(held, groups))
+            made.append(_strings(held))
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
         if not made:
             return schema.empty_table()
-        heads = {k: np.concatenate([m[0][k] for m in made]) for k, _ in RUN}
-        names = {k: np.concatenate([m[1][k] for m in made]) for k, _ in NAME}
-        bucket = np.concatenate([m[2] for m in made])
-        owner = np.repeat(bucket, heads["n"] + 1)
-        order, by_name = np.argsort(bucket, kind="stable"), np.argsort(owner, kind="stable")
-        heads, names = {k: v[order] for k, v in heads.items()}, {k: v[by_name] for k, v in names.items()}
-        found = np.unique(bucket)
-        cuts = [np.searchsorted(x, [found, found + 1]) for x in (bucket[order], owner[by_name])]
-        out = []
-        for i in range(len(found)):
-            head = pack({k: v[cuts[0][0][i]:cuts[0][1][i]] for k, v in heads.items()}, RUN)
-            out.append(len(head).to_bytes(4, "little") + head + pack({k: v[cuts[1][0][i]:cuts[1][1][i]] for k, v in names.items()}, NAME))
-        return pa.table([pa.array([ANCHORS] * len(out), pa.int32()), pa.array(found.astype(np.int32)), pa.array(out, pa.binary())], schema=schema)
+        rows = {k: np.concatenate([m[0][k] for m in made]) for k in ("doc", "tag", "lo")}
+        name = np.concatenate([m[1] for m in made])
+        later, gone = _later(rows, name)
+        rows, name = {k: v[~later] for k, v in rows.items()}, name[~later]
+        rows |= {"h": name & _U(0xFFFFFFFF), "c": name >> _U(32)}
+        bucket = ((name >> _U(32)) % _U(groups)).astype(np.int64)
+        parts = [*dealt(gone, RANGE, gone["doc"] % groups, RANGES), *dealt(rows, NAME, bucket, ANCHORS)]
+        return pa.Table.from_batches(parts, parts[0].schema).cast(schema) if parts else schema.empty_table()
 
     return _with_texts(docs, ranges, run, PACKED)
 
@@ -252,21 +283,10 @@ def named(docs: DataFrame, ranges: DataFrame, groups: int) -> DataFrame:
 def known_names(packed: DataFrame, groups: int) -> DataFrame:
     """The ranges of the strings whose name a smaller id has."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        bodies = [b.as_py() for b in table.column("body")]
-        cuts = [4 + int.from_bytes(b[:4], "little") for b in bodies]
-        heads = unpack((b[4:c] for b, c in zip(bodies, cuts, strict=True)), RUN)
-        names = unpack((b[c:] for b, c in zip(bodies, cuts, strict=True)), NAME)
-        counts = heads["n"].astype(np.int64) + 1
-        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        rows = {k: np.repeat(heads[k].astype(np.int64), counts) for k in ("doc", "tag", "lo")}
-        rows["lo"] += within
-        name = names["c"].astype(_U) << _U(32) | names["h"].astype(_U)
-        order = np.lexsort((rows["doc"], name))
-        rows, name = {k: v[order] for k, v in rows.items()}, name[order]
-        new = np.concatenate([[True], name[1:] != name[:-1]])
-        later = rows["doc"] > rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone = {k: rows[k][later] for k in ("doc", "tag", "lo")}
-        gone = joined_ranges(gone | {"hi": gone["lo"] + LENGTH})
+        if key[0].as_py() != ANCHORS:
+            return table
+        rows = unpack((b.as_py() for b in table.column("body")), NAME)
+        _, gone = _later(rows, rows["c"].astype(_U) << _U(32) | rows["h"].astype(_U))
         parts = list(dealt(gone, RANGE, gone["doc"] % groups, RANGES))
         return pa.Table.from_batches(parts, parts[0].schema).cast(table.schema) if parts else table.schema.empty_table()
 

@@ -303,3 +303,32 @@ def test_repeats(docs, rows, empty):
         assert (g.n_bytes, g.n_removed, g.n_spans) == (len(body), sum(gone), spans)
         assert g.kept_sha256 == hashlib.sha256(left).hexdigest()
     assert repeats.removed_repeats(empty).count() == 0
+
+
+def test_repeats_deals_a_common_passage_by_its_strings(spark):
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcdefgh ", k=120))
+    own = ["".join(rng.choices("ijklmnop ", k=60)) for _ in range(400)]
+    texts = {i: f"{own[i]}{passage}{own[-1 - i]}" for i in range(400)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(1)
+    sent = Counter()
+    for r in repeats.anchors(table, 64).where(f"kind = {repeats.ANCHORS}").collect():
+        sent.update(repeats.unpack([r.body], repeats.ANCHOR)["h"].tolist())
+    assert max(sent.values()) <= repeats.HOT
+    whole = spark.createDataFrame(
+        [(repeats.OPEN, 0, repeats.pack({k: repeats.np.array(v) for k, v in {
+            "doc": list(texts), "tag": [repeats.checksum(t.encode()) for t in texts.values()],
+            "lo": [0] * 400, "hi": [240] * 400}.items()}, repeats.RANGE))], repeats.PACKED)
+    names = Counter()
+    grouped = repeats._by_group(table, 64).withColumn("bucket", repeats.F.lit(0))
+    for r in repeats.named(grouped, whole, 64).where(f"kind = {repeats.ANCHORS}").collect():
+        rows = repeats.unpack([r.body], repeats.NAME)
+        assert set(rows["c"] % 64) == {r.bucket}
+        names.update(zip(rows["h"].tolist(), rows["c"].tolist()))
+    assert max(names.values()) == 1
+    first, expected = set(), {}
+    for i, t in texts.items():
+        gone = {q for p in range(len(t) - 49) if t[p:p + 50] in first for q in range(p, p + 50)}
+        first |= {t[p:p + 50] for p in range(len(t) - 49)}
+        expected[i] = len(gone)
+    assert {g.doc_id: g.n_removed for g in repeats.removed_repeats(table).collect()} == expected
