@@ -1,7 +1,8 @@
 """A corpus pipeline of five of the training-data operators.
 
 Toxic documents go, then exact copies, then near copies (one document of each group stays); what is left is
-mixed to the target weights and encoded. Every stage works on all that its predecessor kept.
+mixed to the target weights and encoded. The mixture is given by mix_block and mix_row, which the last stage
+returns too: sorted by them, the rows follow the weights for as long as every source lasts. Every stage works on all that its predecessor kept.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document: token count and digests of the ids and of the decoded text."""
+    """One row per document: token count, digests of the ids and of the decoded text, and its place in the mixture."""
     ship_package(spark)
-    return bpe.round_trip(docs, queries.tokenizer_file())
+    return bpe.round_trip(docs, queries.tokenizer_file(), carried=("mix_block", "mix_row"))
 
 
 STAGES = [("toxicity", toxic_out), ("exact_dedup", exact_out), ("near_dedup", near_out), ("mixing", mix), ("bpe", encode)]

@@ -336,12 +336,13 @@ def encoded(docs: DataFrame, content: str, text: str = "text", ids: str = "ids")
     return _digests(docs, content, text, schema, build)
 
 
-def round_trip(docs: DataFrame, content: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+def round_trip(docs: DataFrame, content: str, doc_id: str = "doc_id", text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, and the columns ``carried`` as they are."""
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), *[quoted(c) for c in carried])
     schema = T.StructType([
         T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()),
-        T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+        T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+        *[rows.schema[c] for c in carried]])
 
     def build(part: pa.RecordBatch, packed: list[bytes], vocabulary: Vocabulary) -> pa.RecordBatch:
         texts = []
@@ -353,6 +354,7 @@ def round_trip(docs: DataFrame, content: str, doc_id: str = "doc_id", text: str
         return pa.RecordBatch.from_arrays([
             part.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()),
             pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()), pa.array(texts, pa.string()),
+            *part.columns[2:],
         ], names=schema.names)
 
     return _digests(rows, content, "text", schema, build)

@@ -122,9 +122,12 @@ def placed(rows: DataFrame, n: int, weights: dict[str, int], other: int, block_r
 
 
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """``docs`` itself, all rows and columns, sorted into the mixed order (files follow one another in it)."""
+    """``docs``, all rows and columns, and their mix_block and mix_row, sorted by them.
+
+    Readers pack files in any order, so that the two columns, not the order of the files, carry the decision.
+    """
     settings = {"weights": WEIGHTS, "other": OTHER, "block_rows": BLOCK_ROWS, "seed": SEED} | options
-    (whole,) = fresh(docs, "_row")
+    whole, *placing = fresh(docs, "_row", "mix_block", "mix_row")
     rows = docs.select(
         quoted(doc_id).alias("doc_id"), group_key(quoted(source)).alias("key"),
         shuffle_key(quoted(doc_id), settings["seed"]).alias("shuffled"),
@@ -137,4 +140,6 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     keyed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias(whole),
                         quoted(doc_id).alias("_id_"), F.xxhash64(*[quoted(c) for c in docs.columns]).alias("_content_"))
     joined = keyed.join(order, F.col("_id_").eqNullSafe(F.col("_id")) & (F.col("_content_") == F.col("_content")))
-    return joined.orderBy("_place").select(*[F.col(whole).getField(c).alias(c) for c in docs.columns])
+    return joined.orderBy("_place").select(
+        *[F.col(whole).getField(c).alias(c) for c in docs.columns],
+        F.col("_place.mix_block").alias(placing[0]), F.col("_place.mix_row").cast("int").alias(placing[1]))

@@ -174,6 +174,26 @@ def test_mixing(docs, rows, empty):
     assert mixing.mixed(empty).count() == mixing.mixed_rows(empty).count() == 0
 
 
+def test_pipeline_returns_the_mixture(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    sources = {i: ("src0", "src1", "other")[i % 3] for i in range(1200)}
+    table = spark.createDataFrame(
+        [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12)), s) for i, s in sources.items()],
+        "doc_id long, text string, source string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda g: (g.mix_block, g.mix_row))
+    assert sorted(g.doc_id for g in got) == sorted(sources)
+    blocks = defaultdict(list)
+    for g in got:
+        blocks[g.mix_block].append(sources[g.doc_id])
+    assert sorted(blocks) == list(range(75)) and all(len(set(b)) == 1 for b in blocks.values())
+    for first in range(0, 42, 7):  # src0 has 25 blocks, 4 of each 7
+        assert Counter(blocks[b][0] for b in range(first, first + 7)) == {"src0": 4, "src1": 2, "other": 1}
+
+
 def brute_components(rows):
     sets = {}
     for doc_id, text in {r[0]: r[1] for r in rows if r[0] is not None}.items():
