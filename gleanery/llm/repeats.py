@@ -1,7 +1,7 @@
 """Repeated passages: bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
-Prefix doubling names the strings at every position by rank pairs at growing offsets. Here the names are 64-bit
-hashes, which need no global renumbering, the threshold is 50 bytes, and positions whose name is
+Prefix doubling names the strings at every position by rank pairs at growing offsets. This is winnowing in its place: no
+ranks, no doubling rounds. The names are 64-bit hashes, which need no global renumbering, the threshold is 50 bytes, and positions whose name is
 unique leave at once, so that the later names are made only for the few that are left:
 
 1. Names of K = 20 bytes, for a sparse set of positions. Of the 31 positions of K-byte strings inside a 50-byte
