@@ -152,6 +152,34 @@ SELECT j.word, form, p.root, n, n_near, form_n FROM judged j JOIN paths p ON p.w
 WHERE p.root NOT IN (SELECT word FROM judged WHERE form IS NOT NULL)"""
 
 
+def collocations() -> str:
+    """Occurrences by position within pieces; numbers as 128-bit integers where products may be large."""
+    lengths = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(ws[i:i + {k - 1}], ' ') AS phrase, {k} AS k FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM pieces)"
+        for k in range(1, 5))
+    return rf"""WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({FOLDED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+counts AS (SELECT lang, phrase, k, count(*) AS f FROM ({lengths}) GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT lang, phrase, k, f, string_split(phrase, ' ') AS ws FROM counts WHERE k > 1),
+inner_phrases AS (
+  SELECT c.lang, array_to_string(ws[i:i + size - 1], ' ') AS phrase, max(f) AS longer
+  FROM candidates c, range(2, 4) AS s(size), range(1, 4) AS p(i) WHERE size < k AND i + size - 1 <= k GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN inner_phrases i ON i.lang = c.lang AND i.phrase = c.phrase
+  WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(f AS HUGEINT)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, cut,
+    CAST(CAST(2000000 AS HUGEINT) * c.f // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM kept c, range(1, 4) AS q(cut), counts x, counts y
+  WHERE cut < c.k AND x.lang = c.lang AND y.lang = c.lang
+    AND x.phrase = array_to_string(ws[:cut], ' ') AND y.phrase = array_to_string(ws[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": EXACT,
     "op2_quality_rules": quality(),
@@ -159,4 +187,5 @@ ORACLE: dict[str, str] = {
     "op7_warc": WARC,
     "op10_repeated_passages": REPEATS,
     "op11_spelling_variants": VARIANTS,
+    "op13_collocations": collocations(),
 }

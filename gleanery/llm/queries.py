@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import bpe, exact_dedup, language, mixing, near_dedup, quality, repeats, sharding, toxicity, variants, warc
+from gleanery.llm import bpe, collocations, exact_dedup, language, mixing, near_dedup, passages, quality, repeats, sharding, toxicity, variants, warc
 from gleanery.llm.oracle import ORACLE as ORACLE
 from gleanery.session import ship_package
 
@@ -68,4 +68,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_bpe, op4_sharding, op5_mixing, op6_near_dedup, op7_warc, op8_language_id, op9_toxicity, op10_repeated_passages, op11_spelling_variants)}
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return passages.scored(docs, passages.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_bpe, op4_sharding, op5_mixing, op6_near_dedup, op7_warc, op8_language_id, op9_toxicity, op10_repeated_passages, op11_spelling_variants, op12_quality_classifier, op13_collocations)}
