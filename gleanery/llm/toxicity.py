@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,7 @@ from gleanery.llm.shared import quoted
 SAMPLE, TERMS, MIN_DOCS, MIN_Z, BUCKET_BITS = 10_000, 1 << 14, 6, 4.0, 22
 #: The chance that any pair of a sample without interactions passes.
 PAIR_ERROR = 0.05
+PAIR_TASKS = 64
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 128, 0.2, 1e-5
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 
@@ -83,7 +84,7 @@ class Machine:
         at = np.searchsorted(self.buckets, buckets)
         hit = at < len(self.buckets)
         hit[hit] = self.buckets[at[hit]] == buckets[hit]
-        return at[hit], np.concatenate([[0], np.cumsum(hit)])[bounds]
+        return at[hit].astype(np.int32), np.concatenate([[0], np.cumsum(hit)])[bounds]
 
     def logits(self, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values = self.values[at]
@@ -142,32 +143,52 @@ def expected(kept: np.ndarray, docs_with: np.ndarray, sets: list[np.ndarray], la
     return out
 
 
-def in_telling_pairs(columns: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, chances: np.ndarray) -> np.ndarray:
+def in_telling_pairs(spark: SparkSession, columns: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, chances: np.ndarray) -> np.ndarray:
     """Those of the sorted buckets ``columns`` in a pair whose rows are toxic far more, or less, often than ``chances`` say.
 
-    Every pair that MIN_DOCS rows share is counted. It passes if Chernoff's bound of its count, times the number of
-    pairs, is at most PAIR_ERROR. Buckets of the very same rows are counted as one.
+    Every pair that MIN_DOCS rows share is counted, in PAIR_TASKS tasks that share the sets of the (bounded) sample. It passes if
+    Chernoff's bound of its count, times the number of pairs, is at most PAIR_ERROR. Buckets of the very same rows are counted as one.
     """
     known = Machine(columns, np.ones(len(columns)))
     rows = [known.known(s, np.array([0, len(s)]))[0] for s in sets]
-    sizes = np.array([len(r) for r in rows])
-    sign = np.bincount(np.concatenate(rows), np.repeat(np.random.default_rng(3).random(len(rows)), sizes), len(columns))
+    sign = np.zeros(len(columns))
+    for row, value in zip(rows, np.random.default_rng(3).random(len(rows)), strict=True):
+        sign[row] += value
     _, first, twin = np.unique(sign, return_index=True, return_inverse=True)
     leads = np.zeros(len(columns), bool)
     leads[first] = True
-    rows = [r[leads[r]] for r in rows]
-    place = np.cumsum(leads) - 1
-    flat = place[np.concatenate(rows)].astype(np.int32)
-    sizes, n = np.array([len(r) for r in rows]), len(first)
-    row_of, ends = np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.cumsum(sizes)
-    entries, begins = np.argsort(flat, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=n))])
+    place = (np.cumsum(leads) - 1).astype(np.int32)
+    rows = [place[r[leads[r]]] for r in rows]
+    ends = np.cumsum([len(r) for r in rows])
     # Rows, toxic rows and 1024 times the chances, in 14, 14 and 24 bits of one double (SAMPLE < 2^14).
     tally = 1.0 + labels * 2.0 ** 14 + np.clip(np.rint(chances * 1024), 10, 1014) * 2.0 ** 28
+    shared = spark.sparkContext.broadcast((np.concatenate(rows), ends, tally, len(first)))
+    del rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for share in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(telling_of_share(share, *shared.value))], names=["lead"])
+
+    found = spark.range(0, PAIR_TASKS, 1, PAIR_TASKS).mapInArrow(run, "lead long").distinct().collect()  # at most TERMS numbers
+    shared.destroy()
+    telling = np.zeros(len(first), bool)
+    telling[[r.lead for r in found]] = True
+    return columns[telling[place[first][twin]]]
+
+
+def telling_of_share(share: int, flat: np.ndarray, ends: np.ndarray, tally: np.ndarray, n: int) -> np.ndarray:
+    """Members of the telling pairs whose first member is ``share`` modulo PAIR_TASKS.
+
+    ``flat`` has the sets one after the other, each in order, and ``ends`` where each ends.
+    """
     limit = np.log(max(n * (n - 1) / 2, 1) / PAIR_ERROR)
     telling = np.zeros(n, bool)
-    for i in range(n):
-        at = entries[begins[i]:begins[i + 1]]
-        row = row_of[at]
+    mine = np.flatnonzero(flat % PAIR_TASKS == share)
+    mine = mine[np.argsort(flat[mine], kind="stable")]
+    leads, begins = np.unique(flat[mine], return_index=True)
+    for i, at in zip(leads.tolist(), np.split(mine, begins[1:]), strict=True):
+        row = np.searchsorted(ends, at, "right")
         counts = ends[row] - at - 1  # the row's entries behind this one
         total = int(counts.sum())
         if not total:
@@ -177,13 +198,21 @@ def in_telling_pairs(columns: np.ndarray, sets: list[np.ndarray], labels: np.nda
         shared, toxic, hope = sums & 16383, sums >> 14 & 16383, (sums >> 28) / 1024
         # The bound's exponent is at most this square, so that few pairs need it.
         some = np.flatnonzero((shared >= MIN_DOCS) & ((toxic - hope) ** 2 >= limit * hope * (1 - hope / np.maximum(shared, 1))))
-        share, chance = toxic[some] / shared[some], hope[some] / shared[some]
-        exponent = shared[some] * (share * np.log(np.maximum(share, 1e-300) / chance)
-                                   + (1 - share) * np.log(np.maximum(1 - share, 1e-300) / (1 - chance)))
+        fraction, chance = toxic[some] / shared[some], hope[some] / shared[some]
+        exponent = shared[some] * (fraction * np.log(np.maximum(fraction, 1e-300) / chance)
+                                   + (1 - fraction) * np.log(np.maximum(1 - fraction, 1e-300) / (1 - chance)))
         passed = some[exponent >= limit]
         telling[passed + i] = True
         telling[i] |= len(passed) > 0
-    return columns[telling[place[first][twin]]]
+    return np.flatnonzero(telling)
+
+
+def bucket_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many of the sets have each bucket, some sets at a time: no more than a few copies of the counts exist at once."""
+    counts = np.zeros(1 << BUCKET_BITS, np.int32)
+    for begin in range(0, len(sets), 500):
+        counts += np.bincount(np.concatenate(sets[begin:begin + 500]), minlength=len(counts)).astype(np.int32)
+    return counts
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Machine | None:
@@ -197,16 +226,19 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return None
     sets = [np.frombuffer(r["terms"], "<i4") for r in rows]
     toxic_rows = np.array([float(r["label"] > 0) for r in rows])
+    del rows
     rate = float(np.clip(toxic_rows.mean(), 1e-6, 1 - 1e-6))
-    buckets, where, docs_with = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    toxic_with = np.bincount(where, np.repeat(toxic_rows, [len(s) for s in sets]), len(buckets))
+    counts = bucket_counts(sets)
+    buckets = np.flatnonzero(counts).astype(np.int32)
+    docs_with, toxic_with = counts[buckets], bucket_counts([s for s, toxic in zip(sets, toxic_rows, strict=True) if toxic])[buckets]
+    del counts
     distance = np.abs(toxic_with - rate * docs_with) / np.sqrt(docs_with * rate * (1 - rate))
     often = np.flatnonzero(docs_with >= MIN_DOCS)
     telling = often[distance[often] >= MIN_Z]
     alone = np.sort(telling[np.argsort(-distance[telling], kind="stable")[:TERMS]])
     frequent = np.sort(often[np.argsort(-docs_with[often], kind="stable")[:TERMS]])
     chances = expected(buckets[alone], docs_with[alone], sets, toxic_rows)
-    paired = in_telling_pairs(buckets[frequent], sets, toxic_rows, chances)
+    paired = in_telling_pairs(docs.sparkSession, buckets[frequent], sets, toxic_rows, chances)
     kept = np.union1d(alone, np.searchsorted(buckets, paired))
     return trained(buckets[kept], docs_with[kept], sets, toxic_rows, paired)
 
