@@ -46,32 +46,54 @@ HOT = 8
 ANCHORS, RANGES, OPEN = 0, 1, 2
 PACKED = "kind int, bucket int, body binary"
 #: Columns of packed rows.
-ANCHOR = (("h", "<u4"), ("c", "<u4"), ("d", "<u2"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<u4"), ("n", "u1"))
-RANGE = (("doc", "<i8"), ("tag", "<u2"), ("lo", "<u4"), ("hi", "<u4"))
-NAME = (("h", "<u4"), ("c", "<u4"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<u4"))
+ANCHOR = (("h", "<u4"), ("c", "<u4"), ("d", "<u2"), ("lo", "<u4"), ("n", "u1"))
+RANGE = (("lo", "<u4"), ("hi", "<u4"))
+NAME = (("h", "<u4"), ("c", "<u4"), ("lo", "<u4"))
+#: What names a text: its document, and a 64-bit checksum that tells apart the texts of rows with one id.
+TEXT = ("doc", "tag")
 Rows = dict[str, np.ndarray]
 
 
 def pack(rows: Rows, layout: tuple) -> bytes:
-    return b"".join(rows[name].astype(kind).tobytes() for name, kind in layout)
+    """The texts of the rows once each, then the rows with the place of their text."""
+    doc, tag = (rows[name].astype(np.int64) for name in TEXT)
+    order = np.lexsort((tag, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (tag[order][1:] != tag[order][:-1])
+    place = np.zeros(len(order), "<u4")
+    place[order] = np.cumsum(new) - 1
+    first = order[new]
+    return b"".join([
+        np.array([len(order), len(first)], "<u4").tobytes(), doc[first].tobytes(), tag[first].tobytes(),
+        place.astype(_place_kind(len(first))).tobytes(), *[rows[name].astype(kind).tobytes() for name, kind in layout]])
+
+
+def _place_kind(texts: int) -> str:
+    return "<u2" if texts <= 1 << 16 else "<u4"
 
 
 def unpack(bodies: Iterator[bytes], layout: tuple) -> Rows:
-    width = sum(np.dtype(kind).itemsize for _, kind in layout)
-    parts: dict[str, list[np.ndarray]] = {name: [] for name, _ in layout}
+    parts: dict[str, list[np.ndarray]] = {name: [] for name in (*TEXT, *(name for name, _ in layout))}
     for body in bodies:
-        n, at = len(body) // width, 0
+        n, texts = np.frombuffer(body, "<u4", 2).tolist()
+        known, at = np.frombuffer(body, "<i8", 2 * texts, 8), 8 + 16 * texts
+        kind = _place_kind(texts)
+        place = np.frombuffer(body, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+        parts["doc"].append(known[:texts][place])
+        parts["tag"].append(known[texts:][place])
         for name, kind in layout:
             parts[name].append(np.frombuffer(body, kind, n, at))
             at += n * np.dtype(kind).itemsize
-    return {name: np.concatenate(parts[name]) if parts[name] else np.zeros(0, kind) for name, kind in layout}
+    kinds = {**dict.fromkeys(TEXT, "<i8"), **dict(layout)}
+    return {name: np.concatenate(parts[name]) if parts[name] else np.zeros(0, kind) for name, kind in kinds.items()}
 
 
 def dealt(rows: Rows, layout: tuple, bucket: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
     """Packed rows, one per bucket."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    rows = {name: rows[name][order] for name, _ in layout}
+    rows = {name: rows[name][order] for name in (*TEXT, *(name for name, _ in layout))}
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
     ends = np.concatenate([starts[1:], [len(bucket)]])
     bodies = [pack({k: v[s:e] for k, v in rows.items()}, layout) for s, e in zip(starts, ends, strict=True)] if len(bucket) else []
@@ -131,7 +153,7 @@ def _least(value: np.ndarray, place: np.ndarray, shift: int) -> tuple[np.ndarray
 
 
 def checksum(data: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=2).digest(), "little")
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def found_runs(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[Rows]:
