@@ -32,10 +32,12 @@ def quoted(name: str) -> Column:
 
 
 def scratch(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's folder, or one of our own where none is named (tests)."""
+    """Make checkpoint() usable: the cluster's folder, or one of our own on a single machine that names none (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors would write where no other one reads")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-checkpoints-"))
 
 
