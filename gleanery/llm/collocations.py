@@ -18,7 +18,7 @@ an empty table gives an empty result; ids and other columns are ignored. A piece
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,10 +31,10 @@ from gleanery.llm.hashing import column_bytes, letters, mix, prefix_sums, random
 from gleanery.llm.shared import quoted, stored
 
 MIN_COUNT, LONGEST, TOP, WITHIN = 30, 4, 2000, 80
-#: Bytes of text, and occurrences, that are worked on at once.
-TEXT_BYTES, AT_ONCE = 4 << 20, 1 << 22
+#: Bytes of text, and occurrences, that are worked on at once; occurrences that are counted together before they leave a task.
+TEXT_BYTES, AT_ONCE, COUNTED = 2 << 20, 1 << 19, 1 << 21
 #: Entries of one row of a relation (more if a piece has more): readers hold thousands of rows.
-ROW = 1024
+ROW = 512
 #: Bits of a sieve per key, and at most (32 MB). Beyond 2^24 keys it lets more and more through; counts stay exact.
 BITS_PER_KEY, MOST_BITS = 16, 1 << 28
 #: Rows of one language that are ranked by one task.
@@ -164,6 +164,7 @@ def words_relation(docs: DataFrame, frequent: Sieve, seed: int, bits: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower, _, _ = kinds()
         second = random_table(11, 256)[lower]
+        seen = np.zeros(0, _U)  # words this task has spelled: no more than its share of the texts has
         for batch in batches:
             for codes, start, end, fresh, lang, body, names in occurrences(batch.column(0), batch.column(1), seed, bits):
                 kept = shared.value.holds(codes)
@@ -178,11 +179,9 @@ def words_relation(docs: DataFrame, frequent: Sieve, seed: int, bits: int) -> Da
                 at = np.flatnonzero(kept)
                 check = np.concatenate([np.zeros(1, _U), np.cumsum(second[body])])
                 check = check[end[at]] - check[start[at]]  # tells apart words of one code: each is spelled
-                order = np.lexsort((check, codes[at]))
-                at, check = at[order], check[order]
-                news = np.ones(len(at), bool)
-                news[1:] = (codes[at[1:]] != codes[at[:-1]]) | (check[1:] != check[:-1])
-                at = at[news]
+                names_of, first = np.unique(mix(codes[at]) ^ check, return_index=True)
+                news = ~np.isin(names_of, seen, assume_unique=True)
+                seen, at = np.union1d(seen, names_of), at[first[news]]
                 sizes = end[at] - start[at]
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 spelled = lower[body[np.repeat(start[at] - bounds[:-1], sizes) + np.arange(bounds[-1])]]
@@ -220,27 +219,47 @@ def phrase_hashes(codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def hash_counts(relation: DataFrame, k: int) -> DataFrame:
-    """hash, n: how often phrases of each hash occur, at least as often as any one of them."""
-    schema = T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())])
+def tallied(batches: Iterator[pa.RecordBatch], keys_of: Callable[[np.ndarray], np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Distinct rows of the keys of a task's runs and how often they come (column n), in blocks of bounded size."""
+    limit = COUNTED // len(names)
+    kept, counts = np.zeros((0, len(names) - 1), _U), np.zeros(0, np.int64)
+    held, size = [], 0
+
+    def block() -> pa.RecordBatch:
+        columns = [pa.array(np.ascontiguousarray(kept[:, j]).view(np.int64)) for j in range(kept.shape[1])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=names)
+
+    for codes in (codes for batch in batches for codes in flat_runs(batch.column(0))):
+        held.append(keys_of(codes))
+        size += len(held[-1])
+        if size >= limit:
+            kept, counts = summed([kept, *held], counts)
+            held, size = [], 0
+            if len(kept) >= limit:
+                yield block()
+                kept, counts = kept[:0], counts[:0]
+    kept, counts = summed([kept, *held], counts)
+    if len(kept):
+        yield block()
+
+
+def summed(parts: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of ``parts`` and their counts; rows of the first part have ``counts``, others count once."""
+    rows = np.concatenate(parts)
+    n = np.ones(len(rows), np.int64)
+    n[:len(counts)] = counts
+    order = np.lexsort(rows.T)
+    rows, n = rows[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])) if len(rows) else order
+    return rows[first], np.add.reduceat(n, first) if len(rows) else n
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        unique, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(n.astype(np.int64))], names=schema.names)
 
+def hash_counts(relation: DataFrame, k: int) -> DataFrame:
+    """hash, n: how often phrases of each hash occur, at least as often as any one of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for codes in flat_runs(batch.column(0)):
-                held.append(phrase_hashes(codes, adjacent(codes, k), k))
-                size += len(held[-1])
-                if size >= AT_ONCE:
-                    yield counted(held)
-                    held, size = [], 0
-        if held:
-            yield counted(held)
+        yield from tallied(batches, lambda codes: phrase_hashes(codes, adjacent(codes, k), k)[:, None], ["hash", "n"])
 
-    return relation.select("codes").mapInArrow(run, schema).groupBy("hash").agg(F.sum("n").alias("n"))
+    return relation.select("codes").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def extended(relation: DataFrame, k: int, frequent: Sieve) -> DataFrame:
@@ -268,32 +287,15 @@ def extended(relation: DataFrame, k: int, frequent: Sieve) -> DataFrame:
 def phrase_counts(relation: DataFrame, k: int) -> DataFrame:
     """codes (an array of ``k``) and n of every phrase of ``k`` words in its relation."""
     names = [f"c{j}" for j in range(k)]
-    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in names], T.StructField("n", T.LongType())])
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(held)
-        order = np.lexsort(rows.T)
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-        n = np.diff(np.concatenate([first, [len(rows)]]))
-        return pa.RecordBatch.from_arrays(
-            [*[pa.array(np.ascontiguousarray(rows[first, j]).view(np.int64)) for j in range(k)], pa.array(n.astype(np.int64))], names=schema.names)
+    def keys(codes: np.ndarray) -> np.ndarray:
+        at = adjacent(codes, k)
+        return np.stack([codes[at + j] for j in range(k)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for codes in flat_runs(batch.column(0)):
-                at = adjacent(codes, k)
-                if len(at):
-                    held.append(np.stack([codes[at + j] for j in range(k)], axis=1))
-                    size += len(at)
-                if size >= AT_ONCE // 4:
-                    yield counted(held)
-                    held, size = [], 0
-        if held:
-            yield counted(held)
-
-    counts = relation.mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+        yield from tallied(batches, keys, [*names, "n"])
+
+    counts = relation.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n"))
     return counts.select(F.array(*names).alias("codes"), "n")
 
 
