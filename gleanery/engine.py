@@ -14,7 +14,8 @@ from gleanery.operators import chunking, documents, embedding, entities
 from gleanery.plans import embed as embedding_plan
 from gleanery.plans import search as searching
 from gleanery.plans.index import Index
-from gleanery.plans.update import Outcome, update_source
+from gleanery.plans.snapshots import Part
+from gleanery.plans.update import Outcome, merge_parts, update_source
 from gleanery.sources.names import load_aliases, load_seeds, write_alias_review
 
 DOC = ("batch", "doc_id")
@@ -41,6 +42,14 @@ class Engine:
         seeds, aliases = load_seeds(self.config.seeds), load_aliases(self.config.aliases)
         return {n: update_source(self.index, self.config.source(n), seeds, aliases) for n in names}
 
+    def compact(self, full: bool = False) -> list[Part]:
+        """Merge the index's parts; see ``gleanery.plans.update.merge_parts``."""
+        return merge_parts(self.index, load_aliases(self.config.aliases), full)
+
+    def clean(self, keep: int = 1) -> list[int]:
+        """Delete what only older snapshots than the newest ``keep`` refer to."""
+        return self.index.clean(keep)
+
     def embed_plan(self) -> DataFrame:
         return embedding_plan.plan(self.index, self.config)
 
@@ -63,13 +72,12 @@ class Engine:
 
     def document(self, source: str, path: str) -> DataFrame:
         """One row; ``content`` is NULL when the document is not content-indexed."""
-        where = self.index.of_source(source) & (F.col("path") == path)
-        record = self.index.live("documents", where).select(*DOC).first()
+        record = self.index.of_source("documents", source, F.col("path") == path).select(*DOC).first()
         if record is None:
-            raise NotFound(f"document not found: {source}/{path}")
+            raise NotFound(f"{source} has no document {path}")
         mine = (F.col("batch") == record.batch) & (F.col("doc_id") == record.doc_id)
-        content = chunking.reconstruct(self.index.read("chunks").where(mine).select("doc_id", "seq", "text"))
-        found = self.index.read("documents").where(mine)
+        content = chunking.reconstruct(self.index.read("chunks", mine).select("doc_id", "seq", "text"))
+        found = self.index.read("documents", mine)
         return found.join(content, "doc_id", "left").select(
             "source", "path", "title", "doc_date", "bytes", "content_hash", "content_indexed",
             F.col("meta_json").alias("meta"),
@@ -86,7 +94,7 @@ class Engine:
 
     def entity(self, key: str, kind: str | None = None) -> DataFrame:
         """Entities answering to ``key``, best kind first."""
-        names = self.index.read("names").where(F.col("key") == key)
+        names = self.index.read("names", F.col("key") == key)
         return entities.find(entities.entities(names), key, kind)
 
     def _known(self, ends: DataFrame) -> DataFrame:
@@ -94,12 +102,11 @@ class Engine:
         return entities.entities(self.index.read("names").join(ends.distinct(), ["kind", "key"], "left_semi"))
 
     def _links(self, kind: str, key: str) -> tuple[DataFrame, DataFrame]:
-        a = (F.col("a_kind") == kind) & (F.col("a_key") == key)
-        b = (F.col("b_kind") == kind) & (F.col("b_key") == key)
-        links = self.index.read("links").where(a | b).select("a_kind", "a_key", "rel", "b_kind", "b_key").distinct()
-        ends = links.select(F.col("a_kind").alias("kind"), F.col("a_key").alias("key")).unionByName(
-            links.select(F.col("b_kind").alias("kind"), F.col("b_key").alias("key"))
-        )
+        """Links of one entity, found at its own end, and the names at both ends."""
+        mine = (F.col("kind") == kind) & (F.col("key") == key)
+        links = entities.from_ends(self.index.read("links", mine))
+        ends = links.select(F.inline(F.array(*[
+            F.struct(F.col(f"{end}_kind").alias("kind"), F.col(f"{end}_key").alias("key")) for end in "ab"])))
         return links, self._known(ends)
 
     def entity_links(self, kind: str, key: str) -> DataFrame:
@@ -109,9 +116,27 @@ class Engine:
         return entities.neighbours(*self._links(kind, key), kind, key)
 
     def entity_documents(self, kind: str, key: str, limit: int = 20) -> DataFrame:
-        mine = (F.col("kind") == kind) & (F.col("key") == key)
-        edges = self.index.live("occurrences", mine).select(*DOC, "kind", "key", "rel").distinct()
-        return entities.newest_documents(edges, self.index.live("documents"), kind, key, limit, DOC)
+        """The newest documents of an entity. Its occurrences know their dates, so only the documents shown are looked up.
+
+        A document may be named by several occurrences, which stand side by side in this order; more
+        of the first rows are asked for until they hold ``limit`` documents.
+        """
+        mine = self.index.live("occurrences", (F.col("kind") == kind) & (F.col("key") == key))
+        rows = mine.select(*DOC, "doc_date", "at.source", "at.path", "rel").orderBy(
+            F.col("doc_date").desc_nulls_last(), "source", "path", "rel")
+        asked, newest = 4 * limit, {}
+        while limit and len(newest) < limit:
+            first = rows.limit(asked).collect()
+            newest = dict.fromkeys((r.batch, r.doc_id, r.rel) for r in first)
+            if len(first) < asked:
+                break
+            asked *= 4
+        shown = list(newest)[:limit]
+        edges = self.index.spark.createDataFrame(
+            [(*row, kind, key) for row in shown], "batch int, doc_id long, rel string, kind string, key string")
+        ids = F.col("batch").isin(sorted({r[0] for r in shown})) & F.col("doc_id").isin(sorted({r[1] for r in shown}))
+        records = self.index.read("documents", ids)
+        return entities.newest_documents(F.broadcast(edges), records, kind, key, limit, DOC)  # ``limit`` rows
 
     # --- reports --------------------------------------------------------------------
 
@@ -124,7 +149,7 @@ class Engine:
     def alias_review(self, top_n: int = 200) -> DataFrame:
         rels = (*entities.CORRESPONDENT_RELS, "author")
         edges = self.index.live("occurrences", F.col("rel").isin(*rels)).select(*DOC, "kind", "key", "rel").distinct()
-        known = entities.entities(self.index.read("names").where("kind = 'email'"))
+        known = entities.entities(self.index.read("names", F.col("kind") == "email"))
         return entities.alias_review(edges, known, top_n, DOC)
 
     def write_alias_review(self, path: str, top_n: int = 200) -> None:
@@ -133,6 +158,7 @@ class Engine:
 
 def plan_lines(plan: DataFrame) -> list[str]:
     """The embedding plan as text: per source and kind, per kind, total."""
+    # The words, their order and the four decimals of this report.
     rows = {(r.source, r.kind): r for r in plan.collect()}  # at most sources x kinds + 3
 
     def line(label: str, row) -> str:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+KINDS = ("added", "changed", "deleted", "unchanged")
+
+
 def diff(probes: DataFrame, stored: DataFrame, *, force: bool = False) -> DataFrame:
     """One row per path with ``change``: added, changed, unchanged or deleted.
 
@@ -36,5 +39,5 @@ def diff(probes: DataFrame, stored: DataFrame, *, force: bool = False) -> DataFr
 def counts(changes: DataFrame) -> DataFrame:
     """Rows per source and kind of change."""
     return changes.groupBy("source").agg(
-        *[F.count_if(F.col("change") == c).alias(c) for c in ("added", "changed", "deleted", "unchanged")]
+        *[F.count_if(F.col("change") == c).alias(c) for c in KINDS]
     )

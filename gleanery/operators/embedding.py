@@ -24,6 +24,7 @@ TOO_LARGE = "max allowed tokens"
 
 KINDS = ("prose", "code")
 CHUNK_FIELDS = (
+    ("batch", T.IntegerType(), pa.int32()),
     ("doc_id", T.LongType(), pa.int64()),
     ("seq", T.IntegerType(), pa.int32()),
     ("source", T.StringType(), pa.string()),
@@ -35,6 +36,7 @@ _VECTOR_FIELDS = CHUNK_FIELDS + (
     ("tokens", T.LongType(), pa.int64()),
     ("call", T.StringType(), pa.string()),
     ("retries", T.IntegerType(), pa.int32()),
+    ("error", T.StringType(), pa.string()),
 )
 VECTOR = T.StructType([T.StructField(name, kind) for name, kind, _ in _VECTOR_FIELDS])
 _VECTOR_ARROW = pa.schema([(name, kind) for name, _, kind in _VECTOR_FIELDS])
@@ -146,7 +148,8 @@ def embed_chunks(queue: DataFrame, kind: str, model: str, client_factory: Callab
     """Vectors of the queue's ``kind`` chunks, one client per task, streaming through it.
 
     Calls are formed within a task in document order; each row says which
-    call it came from, and the first row of a call how many retries it took.
+    call it came from, and the first row of a call how many retries it took. A call
+    that fails for good ends its task with a row that has ``error`` and no vector.
     """
     names = [name for name, _, _ in CHUNK_FIELDS]
 
@@ -154,11 +157,15 @@ def embed_chunks(queue: DataFrame, kind: str, model: str, client_factory: Callab
         client = None
         rows = (row for b in batches for row in b.to_pylist())
         for call in calls(rows, kind, max_chunks, max_tokens):
-            client = client or client_factory()
-            vectors, retries = send(
-                client, [r["text"] for r in call], model, max_retries=max_retries, transient=transient
-            )
-            label = f"{call[0]['doc_id']}/{call[0]['seq']}"
+            label = f"{call[0]['batch']}/{call[0]['doc_id']}/{call[0]['seq']}"
+            try:
+                client = client or client_factory()
+                vectors, retries = send(
+                    client, [r["text"] for r in call], model, max_retries=max_retries, transient=transient
+                )
+            except Exception as refusal:
+                yield pa.RecordBatch.from_pylist([{"kind": kind, "call": label, "error": str(refusal) or repr(refusal)}], _VECTOR_ARROW)
+                return
             yield pa.RecordBatch.from_pylist([
                 {
                     **{n: row[n] for n in names}, "kind": kind, "embedding": vector,
@@ -168,5 +175,5 @@ def embed_chunks(queue: DataFrame, kind: str, model: str, client_factory: Callab
                 for i, (row, vector) in enumerate(zip(call, vectors, strict=True))
             ], _VECTOR_ARROW)
 
-    ordered = queue.where(F.col("kind") == kind).select(*names, "text").sortWithinPartitions("doc_id", "seq")
+    ordered = queue.where(F.col("kind") == kind).select(*names, "text").sortWithinPartitions("batch", "doc_id", "seq")
     return ordered.mapInArrow(run, VECTOR)

@@ -7,9 +7,12 @@ and entity links are aggregations of those rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,10 @@ KIND_PRIORITY = ("email", "person", "org", "category")
 CORRESPONDENT_RELS = ("from", "to", "cc")
 
 OCCURRENCE = ["doc_id", "kind", "key", "rel", "display", "at"]
+#: Mentions stand behind all other occurrences of a document.
+MENTIONS_FROM = 1 << 30
+#: Seed names a task can hold, in characters of all names.
+SEED_CHARS = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -43,11 +50,16 @@ def _position(*parts: Column) -> Column:
     return F.struct(F.col("source"), F.col("path"), *parts)
 
 
+def _document(docs: DataFrame) -> list[str]:
+    """What occurrences take over from their document; its date only where it is known."""
+    return ["doc_id", *[c for c in ("doc_date",) if c in docs.columns]]
+
+
 def mail_occurrences(docs: DataFrame, fields: tuple[str, ...] = MAIL_FIELDS) -> DataFrame:
     """Addresses of mail documents: ``doc_id, source, path`` plus one column per header field."""
     kinds = {f.name: f.dataType for f in docs.schema}
     wide = docs.select(
-        "doc_id", "source", "path", *[ad.address_list(F.col(f"`{f}`"), kinds[f]).alias(f) for f in fields]
+        *_document(docs), "source", "path", *[ad.address_list(F.col(f"`{f}`"), kinds[f]).alias(f) for f in fields]
     )
 
     def tagged(field: str) -> Column:
@@ -56,10 +68,10 @@ def mail_occurrences(docs: DataFrame, fields: tuple[str, ...] = MAIL_FIELDS) ->
 
     lists = [tagged(f) for f in fields]
     rows = wide.select(
-        "doc_id", "source", "path", F.posexplode_outer(F.concat(*lists)).alias("n", "a")
+        *_document(docs), "source", "path", F.posexplode_outer(F.concat(*lists)).alias("n", "a")
     ).where("a IS NOT NULL")
     return rows.select(
-        "doc_id",
+        *_document(docs),
         F.lit("email").alias("kind"),
         ad.email_key(F.col("a.who.address")).alias("key"),
         F.col("a.rel").alias("rel"),
@@ -72,7 +84,7 @@ def person_occurrences(docs: DataFrame, rel: str, email: str, name: str, n: int)
     """One address column and one name column (commit authors and committers)."""
     address = F.col(email)
     return docs.where(F.coalesce(address, F.lit("")) != "").select(
-        "doc_id",
+        *_document(docs),
         F.lit("email").alias("kind"),
         ad.email_key(address).alias("key"),
         F.lit(rel).alias("rel"),
@@ -84,7 +96,7 @@ def person_occurrences(docs: DataFrame, rel: str, email: str, name: str, n: int)
 def category_occurrences(docs: DataFrame) -> DataFrame:
     first = ad.category(F.col("path"))
     return docs.where(first.isNotNull()).select(
-        "doc_id",
+        *_document(docs),
         F.lit("category").alias("kind"),
         ad.slug(first).alias("key"),
         F.lit("category").alias("rel"),
@@ -93,31 +105,65 @@ def category_occurrences(docs: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Names:
+    """Seed names as one automaton, so that a text is read once however many names there are."""
+
+    needles: tuple[str, ...]
+
+    def automaton(self) -> ahocorasick.Automaton:
+        places: dict[str, list[int]] = {}
+        for n, needle in enumerate(self.needles):
+            if needle:
+                places.setdefault(needle, []).append(n)
+        made = ahocorasick.Automaton()
+        for needle, found in places.items():
+            made.add_word(needle, found)
+        made.make_automaton()
+        return made
+
+    def found_in(self) -> Callable[[Column], Column]:
+        """The sorted places of the names that a text contains."""
+        everywhere = [n for n, needle in enumerate(self.needles) if not needle]
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def places(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            names = self.automaton()
+            for column in texts:
+                yield pa.array([
+                    sorted({*everywhere, *(n for _, found in (names.iter(t) if len(names) else ()) for n in found)})
+                    for t in column.to_pylist()], pa.list_(pa.int32()))
+
+        return places
+
+
 def mention_occurrences(docs: DataFrame, seeds: Seeds) -> DataFrame:
-    """Seed names found, ignoring case, in the title or path of a document."""
+    """Seed names found, ignoring case, in the title or path of a document.
+
+    The names travel to the tasks with the function, whence SEED_CHARS; they are not part of the plan.
+    """
     named = [("person", n) for n in seeds.persons if n] + [("org", n) for n in seeds.orgs if n]
-    schema = "kind string, needle string, name string"
-    empty = F.array().cast(f"array<struct<{schema.replace(' string', ':string')}>>")
-    needles = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.lit(name.strip().lower()).alias("needle"), F.lit(name).alias("name"))
-        for kind, name in named
-    ]) if named else empty
+    if sum(len(name) for _, name in named) > SEED_CHARS:
+        raise ValueError(f"the seed names are longer than {SEED_CHARS} characters in all")
+    found_in = Names(tuple(name.strip().lower() for _, name in named)).found_in()
 
     def shown(c: str) -> Column:
         return F.when(F.col(c) != "", F.col(c))
 
+    kept = _document(docs)
     haystack = F.lower(F.concat_ws("\n", shown("title"), shown("path")))
-    hits = docs.select(
-        "doc_id", "source", "path",
-        F.posexplode_outer(F.filter(needles, lambda s: F.contains(haystack, s["needle"]))).alias("n", "s"),
-    ).where("s IS NOT NULL")
-    return hits.select(
-        "doc_id",
-        F.col("s.kind").alias("kind"),
-        ad.slug(F.col("s.name")).alias("key"),
+    hits = docs.select(*kept, "source", "path", found_in(haystack).alias("ns"))
+    # The outer form avoids an inferred filter that would repeat the Arrow function.
+    hits = hits.select(*kept, "source", "path", F.explode_outer("ns").alias("n")).where("n IS NOT NULL")
+    spelled = docs.sparkSession.createDataFrame(
+        [(n, kind, name) for n, (kind, name) in enumerate(named)], "n int, kind string, name string")
+    return hits.join(bounded(spelled, len(named)), "n").select(
+        *kept,
+        "kind",
+        ad.slug(F.col("name")).alias("key"),
         F.lit("mentions").alias("rel"),
-        F.col("s.name").alias("display"),
-        _position((F.col("n") + F.lit(1_000_000)).cast("int").alias("n")).alias("at"),
+        F.col("name").alias("display"),
+        _position((F.col("n") + F.lit(MENTIONS_FROM)).alias("n")).alias("at"),
     )
 
 
@@ -127,7 +173,7 @@ def occurrences(docs: DataFrame, seeds: Seeds) -> DataFrame:
     ``docs`` has ``doc_id, source, path, title, doc_kind`` ('mail', 'commit' or
     'file') and ``meta`` with the mail and author fields.
     """
-    meta = docs.select("doc_id", "source", "path", "title", "doc_kind", "meta.*")
+    meta = docs.select(*_document(docs), "source", "path", "title", "doc_kind", "meta.*")
     mail = meta.where("doc_kind = 'mail'")
     commit = meta.where("doc_kind = 'commit'")
     parts = [
@@ -265,6 +311,24 @@ def neighbours(links: DataFrame, known: DataFrame, kind: str, key: str) -> DataF
     return out.unionByName(back).join(known, ["kind", "key"]).select("rel", "kind", "key", "display")
 
 
+def both_ends(links: DataFrame) -> DataFrame:
+    """Every link listed at either end: ``end, kind, key, rel, other_kind, other_key``; ``end`` is the link's side, a or b."""
+    def seen_from(end: str, other: str) -> Column:
+        return F.struct(
+            F.lit(end).alias("end"), F.col(f"{end}_kind").alias("kind"), F.col(f"{end}_key").alias("key"), "rel",
+            F.col(f"{other}_kind").alias("other_kind"), F.col(f"{other}_key").alias("other_key"))
+
+    return links.select(F.inline(F.array(seen_from("a", "b"), seen_from("b", "a"))))
+
+
+def from_ends(ends: DataFrame) -> DataFrame:
+    """The distinct links of such rows."""
+    a = F.col("end") == "a"
+    return ends.select(
+        *[F.when(a, F.col(c)).otherwise(F.col(f"other_{c}")).alias(f"a_{c}") for c in ("kind", "key")], "rel",
+        *[F.when(a, F.col(f"other_{c}")).otherwise(F.col(c)).alias(f"b_{c}") for c in ("kind", "key")]).distinct()
+
+
 def newest_documents(edges: DataFrame, documents: DataFrame, kind: str, key: str, limit: int = 20,
                      on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     mine = edges.where((F.col("kind") == kind) & (F.col("key") == key)).select(*on, "rel")

@@ -463,6 +463,45 @@ def slugged(name: str) -> str:
 SEED_ROWS = ", ".join(
     f"('{kind}', '{name}')" for kind, names in (("person", w.SEEDS.persons), ("org", w.SEEDS.orgs)) for name in names
 )
+# The stored index at the end: one document a row, under the paths of one source.
+FINAL = f"""final AS (
+  SELECT doc_id, 'corpus' AS source, source || '/' || doc_id || '.txt' AS path, {DOC_DATE} AS doc_date, text
+  FROM documents WHERE coalesce(lang, '') <> '{w.DELETED_LANG}'),
+{prose_chunks("final", "final_chunks")}"""
+
+DRAFTS = f"""drafts AS (
+  SELECT doc_id, 'corpus' AS source, source || '/' || doc_id || '.txt' AS path,
+    CASE WHEN lang = '{w.CHANGED_LANG}' THEN substr(text, 1, {w.DRAFT_CHARS}) ELSE text END AS text
+  FROM documents WHERE coalesce(lang, '') <> '{w.ADDED_LANG}'),
+{prose_chunks("drafts", "draft_chunks")}"""
+
+
+def indexed_scores(query: str) -> str:
+    """BM25 over stems for all chunks of the final documents."""
+    words = query.lower().split()
+    vocabulary = f"SELECT DISTINCT unnest({FOLDED.format('text')}) AS raw FROM final_chunks"
+    ctes = stems(f"{vocabulary} UNION SELECT col0 FROM (VALUES {', '.join(f'({chr(39)}{q}{chr(39)})' for q in words)})")
+    counts = ", ".join(f"len(list_filter(ws, lambda t: list_contains(v{i}, t))) AS f{i}" for i in range(len(words)))
+    spellings = ", ".join(
+        f"(SELECT list(raw) FROM stems WHERE stem = (SELECT stem FROM stems WHERE raw = '{q}')) AS v{i}" for i, q in enumerate(words))
+    head, tail = bm25_ctes("final_chunks", [[q] for q in words], "path, seq", FOLDED.format("text")).split("counted AS (", 1)
+    return f"""WITH {FINAL}, {ctes}, {head}spelled AS (SELECT *, {spellings} FROM words),
+counted AS (SELECT path, seq, len(ws) AS dl, {counts} FROM spelled),
+totals AS{tail.split("totals AS", 1)[1]}
+SELECT path, seq, round(score, 6) AS score FROM scored"""
+
+
+def path_entities() -> str:
+    """Folders and seed names of the final paths. The first spelling of an entity by path names it."""
+    seeds = ", ".join(f"('{kind}', '{n}')" for kind, ns in (("person", w.INDEX_SEEDS.persons), ("org", w.INDEX_SEEDS.orgs)) for n in ns)
+    return f"""WITH {FINAL}, seeds(kind, name) AS (VALUES {seeds}),
+found AS (
+  SELECT path, 'category' AS kind, split_part(path, '/', 1) AS key, 'category' AS rel, split_part(path, '/', 1) AS display FROM final
+  UNION ALL SELECT path, kind, {slugged("name")}, 'mentions', name FROM final JOIN seeds
+    ON contains(lower(split_part(path, '/', -1) || chr(10) || path), lower(name)))
+SELECT kind, key, rel, any_value(display) AS display, count(DISTINCT path) AS documents FROM found GROUP BY kind, key, rel"""
+
+
 CARD_PERSON = "person no 5"
 
 ORACLE = {
@@ -568,4 +607,24 @@ per AS (SELECT d.source, d.doc_id, count(c.doc_id) AS n, count(l.doc_id) AS e FR
   LEFT JOIN labels l ON l.doc_id = c.doc_id AND c.seq = 0 GROUP BY 1, 2)
 SELECT source, count(doc_id) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks, CAST(coalesce(sum(e), 0) AS BIGINT) AS embedded
 FROM listed LEFT JOIN per USING (source) GROUP BY source""",
+    "mentions_of_all": f"""WITH {MAIL}, names AS (SELECT 'person' AS kind, c_name AS name FROM customer UNION ALL SELECT 'org', s_name FROM supplier)
+SELECT doc_id, kind, {slugged("name")} AS key, name AS display FROM mail JOIN names
+ON contains(lower(concat_ws(' ', title, sender, receivers)), lower(name))""",
+    "index_updates": f"""WITH {FINAL}, {DRAFTS}, both_versions AS (
+  SELECT coalesce(d.path, f.path) AS path, d.path IS NULL AS added, f.path IS NULL AS deleted, coalesce(d.text <> f.text, false) AS changed
+  FROM drafts d FULL JOIN final f ON f.path = d.path)
+SELECT 1 AS step, count(*) AS added, 0 AS changed, 0 AS deleted, 0 AS unchanged, (SELECT count(*) FROM draft_chunks) AS chunks FROM drafts
+UNION ALL SELECT 2, count(*) FILTER (added), count(*) FILTER (changed), count(*) FILTER (deleted), count(*) FILTER (NOT added AND NOT changed AND NOT deleted),
+  (SELECT count(*) FROM final_chunks c JOIN both_versions b ON b.path = c.path WHERE added OR changed) FROM both_versions""",
+    "index_documents": f"""WITH {FINAL} SELECT path, doc_id || '.txt' AS title, doc_date, CAST(strlen(text) AS BIGINT) AS bytes,
+sha256(text) AS content_hash, sha256(text) AS text_hash FROM final""",
+    "index_chunks": f"""WITH {FINAL} SELECT path, seq, CAST(len({FOLDED.format("text")}) AS BIGINT) AS words, sha256(text) AS text_hash FROM final_chunks""",
+    "index_terms": f"""WITH {FINAL}, {stems(f"SELECT DISTINCT unnest({FOLDED.format('text')}) AS raw FROM final_chunks")},
+said AS (SELECT path, seq, unnest({FOLDED.format("text")}) AS raw FROM final_chunks)
+SELECT stem AS term, count(DISTINCT (path, seq)) AS df, count(*) AS cf FROM said JOIN stems USING (raw) GROUP BY stem""",
+    "index_bm25": indexed_scores(w.QUERY_STEMS),
+    "index_entities": path_entities(),
+    "index_vectors": f"""WITH {FINAL} SELECT path, seq, 'prose' AS kind, CAST(length(text) // 4 AS BIGINT) AS tokens,
+CAST(length(regexp_replace(text, '[^a-z]', '', 'g')) AS DOUBLE) AS letters FROM final_chunks
+WHERE path NOT LIKE 'src3/%' AND path NOT LIKE 'src1%/%7.txt'""",
 }

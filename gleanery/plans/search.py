@@ -31,9 +31,9 @@ def scope(sources: list[str] | None, since: str | None, until: str | None) -> Co
     return reduce(and_, parts) if parts else None
 
 
-def lexical_list(index: Index, phrases: list[list[str]], keep: Column | None) -> DataFrame:
-    """Top chunks by BM25. Only postings of the query's terms are read; collection
-    size comes from the commit log and is not narrowed by ``keep``."""
+def lexical_scores(index: Index, phrases: list[list[str]], keep: Column | None, limit: int | None = lexical.CANDIDATES) -> DataFrame:
+    """Chunks by BM25. Only postings of the query's terms are read; collection
+    size comes from the snapshot and is not narrowed by ``keep``."""
     terms = sorted({t for p in phrases for t in p})
     rows = index.live("postings", F.col("term").isin(terms))
     matches = lexical.index_matches(rows, phrases, [*CHUNK, "source", "doc_date"])
@@ -41,9 +41,13 @@ def lexical_list(index: Index, phrases: list[list[str]], keep: Column | None) ->
     stats = lexical.index_frequencies(rows, phrases, CHUNK).withColumns(
         {"n": F.lit(totals.chunks), "avgdl": F.lit(totals.words / max(totals.chunks, 1))}
     )
-    top = lexical.rank_bm25(matches, stats, len(phrases), ["source", *CHUNK], keep)
+    return lexical.rank_bm25(matches, stats, len(phrases), ["source", *CHUNK], keep, limit)
+
+
+def lexical_list(index: Index, phrases: list[list[str]], keep: Column | None) -> DataFrame:
+    """The top chunks' ranks."""
     order = [F.round("score", lexical.ORDER_DIGITS).desc(), F.col("source"), *map(F.col, CHUNK)]
-    return fusion.ranked(top, CHUNK, order)
+    return fusion.ranked(lexical_scores(index, phrases, keep), CHUNK, order)
 
 
 def semantic_list(index: Index, kind: str, query: list[float], keep: Column | None, prefilter: bool) -> DataFrame:
@@ -91,8 +95,8 @@ def hits(index: Index, best: list, phrases: list[list[str]], limit: int) -> Data
         "batch int, doc_id long, seq int, score double, worded boolean",
     )
     mine = F.col("batch").isin(sorted({r.batch for r in best})) & F.col("doc_id").isin(sorted({r.doc_id for r in best}))
-    chunks = index.read("chunks").where(mine).select(*CHUNK, "text")
-    records = index.read("documents").where(mine).select(
+    chunks = index.read("chunks", mine).select(*CHUNK, "text")
+    records = index.read("documents", mine).select(
         "batch", "doc_id", "source", "path", "title", F.col("doc_date").alias("date"),
         "content_indexed",
     )

@@ -52,7 +52,7 @@ def scratch_root(spark: SparkSession, fallback: str | None = None) -> str:
     ``spark.checkpoint.dir`` wins; only when it is unset does the caller's own
     fallback (a folder next to the index it is writing) take its place.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if fallback is None:
@@ -60,6 +60,12 @@ def scratch_root(spark: SparkSession, fallback: str | None = None) -> str:
     return fallback.rstrip("/")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go. A machine's own folder takes its place only where one machine is all there is."""
+    local = spark.sparkContext.master.startswith("local")
+    return scratch_root(spark, tempfile.mkdtemp(prefix="gleanery-") if local else None)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for per-row work on a table stored in too few splits.
 

@@ -9,15 +9,22 @@ customer to the suppliers of its lines).
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.config import Source
 from gleanery.functions import addresses, analysis, headers, markup
 from gleanery.functions import text as tx
 from gleanery.functions.snippet import snippet
 from gleanery.operators import changes, chunking, documents, embedding, entities, fusion, lexical, vectors
-from gleanery.session import ship_package, spread
+from gleanery.plans import embed as embedding_plan
+from gleanery.plans import search as searching
+from gleanery.plans.index import Index
+from gleanery.plans.update import Outcome, merge_parts, update_source
+from gleanery.session import shared_folder, ship_package, spread
+from gleanery.tables import table_loader, table_probes
 
 DIGITS = 6  # published floats
 
@@ -447,6 +454,15 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.mention_occurrences(docs, SEEDS).select("doc_id", "kind", "key", "display")
 
 
+def mentions_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is named in a message's title, sender and receivers, with every customer and supplier as a seed."""
+    people = [r[0] for r in table(spark, sf_dir, "customer").select("c_name").collect()]  # a seed file's content; its size is checked
+    firms = [r[0] for r in table(spark, sf_dir, "supplier").select("s_name").collect()]
+    docs = mail(spark, sf_dir).withColumn("title", F.concat_ws(" ", "title", "from", "to"))
+    found = entities.mention_occurrences(docs, entities.Seeds(tuple(people), tuple(firms)))
+    return found.select("doc_id", "kind", "key", "display")
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, links, known entities) of the mail archive with aliases applied."""
     found = mail_found(spark, sf_dir)
@@ -561,6 +577,102 @@ def stats_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.source_stats(corpus(spark, sf_dir), chunks, _embedded(spark, sf_dir), names)
 
 
+# --- the stored index ---------------------------------------------------------------------------
+
+
+ADDED_LANG, CHANGED_LANG, DELETED_LANG, DRAFT_CHARS = "es", "de", "fr", 500
+INDEX_SEEDS = entities.Seeds(persons=("Src1", "src12/"), orgs=("SRC7", "rc1"))
+_stored: dict[tuple[str, str], tuple[Index, list[Outcome]]] = {}
+
+
+def versions(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """What a source holds at first and later: drafts of some documents, some not yet there, some there no longer."""
+    docs = corpus(spark, sf_dir).drop("path").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    docs = docs.select(
+        F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), "doc_date", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    draft = F.when(F.col("lang") == CHANGED_LANG, F.substring("text", 1, DRAFT_CHARS)).otherwise(F.col("text"))
+    return [docs.where(F.col("lang") != ADDED_LANG).withColumn("text", draft), docs.where(F.col("lang") != DELETED_LANG)]
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> tuple[Index, list[Outcome]]:
+    """An index in the shared folder that has seen both versions, merged into one part; and what the updates did.
+
+    Built once for all queries of an application.
+    """
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _stored:
+        index = Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        source = Source("corpus", "filetree", sf_dir)
+        outcomes = [
+            update_source(index, source, INDEX_SEEDS, entities.Aliases(), probes=table_probes(docs, source), loader=table_loader(docs))
+            for docs in versions(spark, sf_dir)]
+        merge_parts(index, entities.Aliases(), full=True)
+        index.clean()
+        _stored[known] = index, outcomes
+    return _stored[known]
+
+
+def index_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each update found and wrote."""
+    _, outcomes = stored_index(spark, sf_dir)
+    return spark.createDataFrame(
+        [(n, o.added, o.changed, o.deleted, o.unchanged, o.chunks) for n, o in enumerate(outcomes, 1)],
+        "step long, added long, changed long, deleted long, unchanged long, chunks long")
+
+
+def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = stored_index(spark, sf_dir)
+    return index.of_source("documents", "corpus").select("path", "title", "doc_date", "bytes", "content_hash", F.sha2("text", 256).alias("text_hash"))
+
+
+def index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = stored_index(spark, sf_dir)
+    return index.live("chunks").select(
+        "path", F.col("seq").cast("long").alias("seq"), F.col("words").cast("long").alias("words"), F.sha2("text", 256).alias("text_hash"))
+
+
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = stored_index(spark, sf_dir)
+    return index.live("postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
+
+
+def index_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all matching chunks from stored postings; the collection's size comes from the snapshot."""
+    index, _ = stored_index(spark, sf_dir)
+    phrases = analysis.query_phrases(QUERY_STEMS)
+    scored = searching.lexical_scores(index, phrases, None, limit=None)
+    paths = index.read("documents").select("batch", "doc_id", "path")
+    return scored.join(paths, ["batch", "doc_id"]).select("path", F.col("seq").cast("long").alias("seq"), published("score").alias("score"))
+
+
+def index_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per entity, with the name it is shown by."""
+    index, _ = stored_index(spark, sf_dir)
+    counted = index.live("occurrences").groupBy("kind", "key", "rel").agg(F.count_distinct("batch", "doc_id").alias("documents"))
+    return counted.join(entities.entities(index.read("names")), ["kind", "key"]).select("kind", "key", "rel", "display", "documents")
+
+
+class LetterCounts:
+    """An embedding client that needs no network: a text's vector is how often it has each letter."""
+
+    def embed(self, texts: list[str], model: str, input_type: str) -> LetterCounts:
+        self.embeddings = [[float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+        return self
+
+
+class IndexModels:
+    models, embed_rules = MODELS, {"corpus": ("src3/*", "src1*/*7.txt")}
+
+
+def index_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the chunks that may be embedded, after a drain."""
+    index, _ = stored_index(spark, sf_dir)
+    embedding_plan.drain(index, IndexModels, LetterCounts)
+    paths = index.read("documents").select("batch", "doc_id", "path")
+    return index.live("vectors").join(paths, ["batch", "doc_id"]).select(
+        "path", F.col("seq").cast("long").alias("seq"), "kind", "tokens", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("letters"))
+
+
 QUERIES = {
     "hybrid_search": hybrid_search,
     "lexical_bm25": _lexical(QUERY_ONE),
@@ -613,4 +725,12 @@ QUERIES = {
     "embed_eligible": embed_eligible,
     "embed_plan": embed_plan,
     "stats_per_source": stats_per_source,
+    "mentions_of_all": mentions_of_all,
+    "index_updates": index_updates,
+    "index_documents": index_documents,
+    "index_chunks": index_chunks,
+    "index_terms": index_terms,
+    "index_bm25": index_bm25,
+    "index_entities": index_entities,
+    "index_vectors": index_vectors,
 }

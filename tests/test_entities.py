@@ -140,3 +140,20 @@ def test_name_files(tmp_path):
     assert names.load_seeds(str(tmp_path / "s.toml")) == Seeds(("A",), ("B", "C"))
     (tmp_path / "a.toml").write_text('[alias_of]\n"x@y" = "A"\n[member_of]\n"A" = "B"\n')
     assert names.load_aliases(str(tmp_path / "a.toml")) == Aliases({"x@y": "A"}, {"A": "B"})
+
+
+def test_mentions_by_automaton(spark):
+    """Every name a text contains, once, in seed order; names inside and across one another, equal ones, blanks."""
+    names = ["Anna", "anna b", "nn", " Anna ", "", "  ", "B", "Ünal", "zz"]
+    seeds = entities.Seeds(persons=tuple(names), orgs=("ANNA", "nowhere"))
+    texts = ["Anna Berg", "anna b", None, "", "ünal", "bob", "a" * 50_000 + "nna"]
+    docs = spark.createDataFrame([(i, "s", f"p{i}", t) for i, t in enumerate(texts)], "doc_id long, source string, path string, title string")
+    got = entities.mention_occurrences(docs, seeds).select("doc_id", "kind", "display", "at.n").collect()
+    named = [("person", n) for n in names if n] + [("org", n) for n in seeds.orgs]
+    want = [
+        (i, kind, name, entities.MENTIONS_FROM + n) for i, t in enumerate(texts) for n, (kind, name) in enumerate(named)
+        if name.strip().lower() in "\n".join(x for x in (t, f"p{i}") if x).lower()]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert entities.mention_occurrences(docs, entities.Seeds()).count() == 0
+    with pytest.raises(ValueError, match="characters"):
+        entities.mention_occurrences(docs, entities.Seeds(persons=("x" * (entities.SEED_CHARS + 1),)))
