@@ -97,6 +97,8 @@ def _source(raw: Any, n: int, folder: Path) -> Source:
         raise ConfigError(f"source #{n} has an empty name")
     if table["type"] not in SOURCE_TYPES:
         raise ConfigError(f"{where}: type must be one of {', '.join(SOURCE_TYPES)}")
+    if "://" in table["root"]:  # tasks list and read sources as folders; only the index may lie behind a URI
+        raise ConfigError(f"{where}: root must be a folder that every task sees, not {table['root']}")
     if "branch" in table and table["type"] != "gitrepo":
         raise ConfigError(f"{where}: only a gitrepo has a branch")
     convert = tuple(s.lower().lstrip(".") for s in table.get("convert", ()))

@@ -74,7 +74,7 @@ class Engine:
         """One row; ``content`` is NULL when the document is not content-indexed."""
         record = self.index.of_source("documents", source, F.col("path") == path).select(*DOC).first()
         if record is None:
-            raise NotFound(f"{source} has no document {path}")
+            raise NotFound(f"document {path!r} of {source!r}: not found")
         mine = (F.col("batch") == record.batch) & (F.col("doc_id") == record.doc_id)
         content = chunking.reconstruct(self.index.read("chunks", mine).select("doc_id", "seq", "text"))
         found = self.index.read("documents", mine)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from email.utils import getaddresses
 
 import pyarrow as pa
@@ -58,16 +60,38 @@ def parse_header(header: Column) -> Column:
     return F.when(plain, F.transform(_plain_items(header), _plain_address)).otherwise(parsed)
 
 
+# The keys of an address that comes in parts, the first that is filled counts.
+ADDRESS_KEYS, NAME_KEYS = ("email", "address"), ("name", "display")
+
+
+def _of_parts(pick: Callable[[str], Column | None]) -> Column:
+    """An address from its named parts; ``pick`` gives the part of a key, or None where there is no such part."""
+    def filled(keys: tuple[str, ...]) -> Column:
+        parts = [p for k in keys if (p := pick(k)) is not None]
+        return tx.strip(F.coalesce(*[F.when(p != "", p) for p in parts], F.lit(None).cast("string")))
+
+    name = filled(NAME_KEYS)
+    return F.struct(filled(ADDRESS_KEYS).alias("address"), F.when(name != "", name).alias("name"))
+
+
+def _with_address(items: Column) -> Column:
+    return F.filter(items, lambda p: F.coalesce(p["address"], F.lit("")) != "")
+
+
 def address_list(field: Column, kind: T.DataType) -> Column:
-    """``array<struct<address, name>>`` of a header string, a list of them, or
-    already split ``(email, name)`` structs."""
+    """``array<struct<address, name>>`` of a header string, a list of them, a list of structs with the
+    keys above, or a variant: any of these, or a list that mixes strings and objects (objects come first)."""
+    if isinstance(kind, T.VariantType):
+        several = F.startswith(F.schema_of_variant(field), F.lit("ARRAY"))
+        items = F.when(several, F.try_variant_get(field, "$", "array<variant>")).otherwise(F.array(field))
+        objects = F.filter(items, lambda i: F.startswith(F.schema_of_variant(i), F.lit("OBJECT")))
+        strings = F.filter(items, lambda i: F.schema_of_variant(i) == "STRING")
+        parted = F.transform(objects, lambda i: _of_parts(lambda k: F.try_variant_get(i, f"$.{k}", "string")))
+        parsed = parse_headers(F.transform(strings, lambda i: F.try_variant_get(i, "$", "string")))
+        return F.concat(_with_address(parted), F.coalesce(parsed, F.array().cast(T.ArrayType(ADDRESS))))
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        email, name = kind.elementType.names[:2]
-        pairs = F.transform(field, lambda p: F.struct(
-            tx.strip(p[email]).alias("address"),
-            F.when(tx.strip(p[name]) != "", tx.strip(p[name])).alias("name"),
-        ))
-        return F.filter(pairs, lambda p: p["address"] != "")
+        names = kind.elementType.names
+        return _with_address(F.transform(field, lambda p: _of_parts(lambda k: p[k].cast("string") if k in names else None)))
     return parse_headers(field) if isinstance(kind, T.ArrayType) else parse_header(field)
 
 

@@ -1,11 +1,13 @@
-"""Text helpers as Spark column expressions (no Python workers involved)."""
+"""Text helpers as Spark column expressions (no Python workers involved, but for declared charsets)."""
 
 from __future__ import annotations
 
 import sys
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Every character str.isspace() accepts; Java's \s and trim() cover fewer.
 SPACES = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
@@ -123,6 +125,31 @@ def decode_bytes(raw: Column) -> Column:
     return F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(F.decode(raw, "ISO-8859-1"))
 
 
+@F.arrow_udf(T.StringType())
+def _decode_by_name(raw: pa.Array, charset: pa.Array) -> pa.Array:
+    """Null where the charset is unknown or does not fit."""
+    def decoded(body: bytes | None, name: str | None) -> str | None:
+        if body is None or name is None:
+            return None
+        try:
+            return body.decode(name)
+        except (LookupError, ValueError):  # also names of codecs that are not for text
+            return None
+
+    return pa.array(map(decoded, raw.to_pylist(), charset.to_pylist()), pa.string())
+
+
+def decode_declared(raw: Column, charset: Column) -> Column:
+    """As ``decode_bytes``, but bytes that are not UTF-8 are read by their declared charset if that works.
+
+    Charset names are those of Python's codecs, most of which the JVM's expressions do not know; only rows that
+    need one leave the JVM.
+    """
+    needs_name = ~F.is_valid_utf8(raw.cast("string")) & charset.isNotNull()
+    named = _decode_by_name(F.when(needs_name, raw), F.when(needs_name, charset))
+    return F.coalesce(named, decode_bytes(raw))
+
+
 def tidy_lines(text: Column) -> Column:
     """Normalise markup-derived text.
 

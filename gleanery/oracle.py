@@ -558,10 +558,17 @@ CASE WHEN path LIKE 'commit/%' THEN 'whole' WHEN {EXT} IN ({text_in(CODE_SUFFIXE
 sha256(text) AS content_hash, strlen(text) AS bytes, contains(substr(text, 1, 8192), chr(0)) AS is_binary, length(text) // 4 AS tokens
 FROM routed""",
     "decode_fallback": r"SELECT doc_id, sha256(regexp_replace(text, '[^\x{1}-\x{ff}]', '?', 'g')) AS text_hash FROM documents",
+    "decode_charsets": r"""SELECT doc_id, sha256(translate(regexp_replace(text, '[^\x{1}-\x{ff}]', '?', 'g'), 'éèü',
+  CASE lang WHEN 'fr' THEN 'œ€' || chr(128) WHEN 'de' THEN '½¤€' ELSE '½¤' || chr(128) END)) AS text_hash FROM documents""",
     "mail_headers": f"""WITH {MAIL} SELECT doc_id, title || ' — ' || sender || ', ' || substr(doc_date, 1, 10) AS header,
 sha256('From: ' || sender || {NL} || coalesce('To: ' || receivers || {NL}, '') || 'Subject: ' || title || {NL} || 'Date: ' || doc_date
   || {NL} || 'Labels: INBOX, P' || regexp_extract(title, '[^ ]*$')) AS block_hash FROM mail""",
     "email_occurrences": f"WITH {FOUND} SELECT doc_id, key, rel, display, n FROM found",
+    "address_items": """WITH c AS (SELECT c_custkey AS doc_id, c_name, c_mktsegment AS seg, lower(c_mktsegment) AS low,
+  replace(c_name, '#', '.') || '@' || lower(c_mktsegment) || '.example.com' AS mailbox FROM customer)
+SELECT doc_id, lower(mailbox) AS key, c_name AS display, 0::BIGINT AS n FROM c
+UNION ALL SELECT doc_id, 'a.' || lower(mailbox), 'a.' || mailbox, 1 FROM c
+UNION ALL SELECT doc_id, 'desk@' || low || '.example.com', seg || ', desk', 2 FROM c""",
     "document_edges": f"WITH {FOUND} SELECT DISTINCT doc_id, kind, key, rel FROM found",
     "display_most_frequent": f"WITH {FOUND}, {VOTES} SELECT 'email' AS kind, key, display FROM shown",
     "slug_normalize": f"""SELECT name, {slugged("name")} AS slug FROM (

@@ -12,7 +12,9 @@ import sqlite3
 import subprocess
 from collections import deque
 from collections.abc import Iterator
+from contextlib import closing, suppress
 from pathlib import PurePosixPath
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +30,14 @@ IGNORED_FOLDERS = (".git",)
 DEFAULT_BRANCH = "main"
 _NAME_HINTS, _LABEL_HINTS = ("filename", "file_name", "fname"), ("labels", "label")
 
-_SPLITS = 256  # tasks to share a tree among
+_SPLITS = 256  # tasks to share a tree among, at least
+_FILES_PER_SHARE = 20_000  # files of one folder that one task looks at
 
 
 class Folders(InputPartition):
-    """Folders of one task, each with whether to walk below it."""
+    """Folders of one task, each with whether to walk below it, and which share of how many of its files is meant."""
 
-    def __init__(self, entries: list[tuple[str, bool]]):
+    def __init__(self, entries: list[tuple[str, bool, int, int]]):
         self.entries = entries
 
 
@@ -53,39 +56,45 @@ def _listing(folder: str) -> tuple[list[os.DirEntry], list[str]]:
 
 class FileTreeReader(DataSourceReader):
     """Folders are opened one by one until there are enough to share out; the
-    tasks walk what lies below, so one deep branch does not become one task."""
+    tasks walk what lies below, so one deep branch does not become one task.
+    A large folder among those opened is shared by a hash of its files' names."""
 
     def __init__(self, options: dict):
         self.root = options["root"].rstrip("/")
         self.suffix = options.get("suffix", "")
         self.splits = int(options.get("splits", _SPLITS))
+        self.per_share = int(options.get("per_share", _FILES_PER_SHARE))
 
     def partitions(self) -> list[InputPartition]:
         opened, waiting = [], deque([self.root])
         while waiting and len(waiting) < self.splits:
             folder = waiting.popleft()
-            opened.append((folder, False))
-            waiting += _listing(folder)[1]
-        entries = opened + [(folder, True) for folder in waiting]
-        shares = min(self.splits, len(entries))
-        return [Folders(entries[i::shares]) for i in range(shares)]
+            files, below = _listing(folder)
+            shares = len(files) // self.per_share + 1
+            opened += [(folder, False, share, shares) for share in range(shares)]
+            waiting += below
+        entries = opened + [(folder, True, 0, 1) for folder in waiting]
+        tasks = min(max(self.splits, len(opened)), len(entries))
+        return [Folders(entries[i::tasks]) for i in range(tasks)]
 
     def read(self, partition: Folders) -> Iterator[tuple]:
         todo = list(partition.entries)
         while todo:
-            folder, deep = todo.pop()
+            folder, deep, share, shares = todo.pop()
             files, below = _listing(folder)
             if deep:
-                todo += [(sub, True) for sub in below]
+                todo += [(sub, True, 0, 1) for sub in below]
             for entry in files:
                 if entry.name == LABEL_DB or not entry.name.endswith(self.suffix):
                     continue
+                if shares > 1 and crc32(os.fsencode(entry.name)) % shares != share:
+                    continue
                 stat = entry.stat()
                 yield os.path.relpath(entry.path, self.root), f"{stat.st_mtime_ns}:{stat.st_size}", None
 
 
 class FileTree(DataSource):
-    """Options: ``root``, ``suffix`` (only names ending so), ``splits``."""
+    """Options: ``root``, ``suffix`` (only names ending so), ``splits``, ``per_share``."""
 
     @classmethod
     def name(cls) -> str:
@@ -159,11 +168,20 @@ class GitRepo(DataSource):
         return GitReader(self.options)
 
 
+#: The usual layout of the side database.
+_USUAL = "SELECT message_filename, label FROM messages JOIN labels USING (message_num)"
+#: Per table, its first column whose name holds one of the words for a file, and for labels.
+_COLUMN = "(SELECT c.name FROM pragma_table_info(t.name) AS c WHERE {} ORDER BY c.cid LIMIT 1)"
+_SHAPES = "SELECT t.name, {}, {} FROM sqlite_master AS t WHERE t.type = 'table' ORDER BY t.rowid".format(*[
+    _COLUMN.format(" OR ".join(f"lower(c.name) LIKE '%{h.replace('_', '!_')}%' ESCAPE '!'" for h in hints))
+    for hints in (_NAME_HINTS, _LABEL_HINTS)])
+
+
 class MailLabelReader(DataSourceReader):
     """Label rows of the mail mirror's side database; unreadable ones hold no labels.
 
-    The usual layout is a table of messages and one of labels. Otherwise any
-    table with a file-name-like and a label-like column serves, its labels split
+    The usual layout is a table of messages and one of labels. Where it gives no row, every
+    table with a column for file names and one for labels serves, its labels split
     at commas; for a file named twice the last row counts.
     """
 
@@ -173,47 +191,19 @@ class MailLabelReader(DataSourceReader):
     def read(self, partition) -> Iterator[tuple]:
         if not os.path.isfile(self.file):
             return
-        connection = None
-        try:
-            connection = sqlite3.connect(f"file:{self.file}?mode=ro", uri=True)
-            tables = [r[0] for r in connection.execute("SELECT name FROM sqlite_master WHERE type = 'table'")]
-            found = False
-            if "messages" in tables and "labels" in tables:
-                for row in self._joined(connection):
-                    found = True
-                    yield row
-            if not found:
-                yield from self._guessed(connection, tables)
-        except sqlite3.Error:
-            return
-        finally:
-            if connection:
-                connection.close()
-
-    def _joined(self, connection) -> Iterator[tuple]:
-        query = "SELECT message_filename, label FROM messages JOIN labels USING (message_num)"
-        try:
-            for n, (name, label) in enumerate(connection.execute(query)):
-                if name and label:
+        with suppress(sqlite3.Error), closing(sqlite3.connect(f"file:{self.file}?mode=ro", uri=True)) as db:
+            single = False
+            with suppress(sqlite3.Error):
+                for n, (name, label) in enumerate(db.execute(f"{_USUAL} WHERE message_filename <> '' AND label <> ''")):
+                    single = True
                     yield PurePosixPath(str(name)).stem, n, [str(label).strip()], False
-        except sqlite3.Error:
-            return
-
-    def _guessed(self, connection, tables: list[str]) -> Iterator[tuple]:
-        n = 0
-        for table in tables:
-            columns = [r[1] for r in connection.execute(f'PRAGMA table_info("{table}")')]
-
-            def like(hints: tuple[str, ...]) -> str | None:
-                return next((c for c in columns if any(h in c.lower() for h in hints)), None)
-
-            name_column, label_column = like(_NAME_HINTS), like(_LABEL_HINTS)
-            if not (name_column and label_column):
-                continue
-            for name, labels in connection.execute(f'SELECT "{name_column}", "{label_column}" FROM "{table}"'):
-                items = [part.strip() for part in str(labels or "").split(",") if part.strip()]
+            if single:
+                return
+            fitting = [(table, name, labels) for table, name, labels in db.execute(_SHAPES) if name and labels]
+            lists = " UNION ALL ".join('SELECT "{1}", "{2}" FROM "{0}"'.format(*(x.replace('"', '""') for x in shape)) for shape in fitting)
+            for n, (name, labels) in enumerate(db.execute(lists) if lists else ()):
+                items = list(filter(None, map(str.strip, str(labels or "").split(","))))
                 if name and items:
-                    n += 1
                     yield PurePosixPath(str(name)).stem, n, items, True
 
 
@@ -241,7 +231,8 @@ def probes(spark: SparkSession, source: Source) -> DataFrame:
     else:
         spark.dataSource.register(FileTree)
         suffix = ".eml" if source.type == "eml_tree" else ""
-        found = spark.read.format("file_tree").options(root=source.root, suffix=suffix).load()
+        splits = max(_SPLITS, 4 * spark.sparkContext.defaultParallelism)
+        found = spark.read.format("file_tree").options(root=source.root, suffix=suffix, splits=splits).load()
     wanted = selected(F.col("path"), source.include, source.exclude)
     if source.type == "gitrepo":
         wanted = wanted | is_commit(F.col("path"))

@@ -403,6 +403,15 @@ def decode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", F.sha2(tx.decode_bytes(latin), 256).alias("text_hash"))
 
 
+def decode_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in one-byte charsets with the name of one that fits, one that is another's, one that does not exist, or none."""
+    lang = F.coalesce("lang", F.lit(""))
+    declared = F.when(lang == "fr", "iso-8859-15").when(lang == "de", "cp1252").when(lang == "es", "no-such-charset")
+    text = F.translate(F.regexp_replace("text", r"[^\x{1}-\x{ff}]", "?"), "éèü", "½¤\x80")
+    raw = F.encode(text, "ISO-8859-1")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.decode_declared(raw, declared), 256).alias("text_hash"))
+
+
 def mail_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header line and searchable header block of every message."""
     none = F.lit(None).cast("string")
@@ -425,6 +434,19 @@ def email_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail_found(spark, sf_dir).select("doc_id", "key", "rel", "display", F.col("at.n").cast("long").alias("n"))
 
 
+def address_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' addresses given as objects with either key, as header strings, and mixed in one list."""
+    mailbox = F.concat(F.translate("c_name", "#", "."), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example.com"))
+    header = F.concat(F.lit('"'), "c_mktsegment", F.lit(', desk" <desk@'), F.lower("c_mktsegment"), F.lit(".example.com>"))
+    quoted = F.regexp_replace(header, '"', r'\\"')
+    text = F.concat(
+        F.lit('[{"email": "'), mailbox, F.lit('", "display": "'), "c_name", F.lit('"}, "'), quoted,
+        F.lit('", {"name": "nobody"}, 7, {"address": " a.'), mailbox, F.lit('", "name": ""}]'))
+    docs = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"), F.lit("mail").alias("source"), F.lit("").alias("path"), F.parse_json(text).alias("to"))
+    return entities.mail_occurrences(docs, ("to",)).select("doc_id", "key", "display", F.col("at.n").cast("long").alias("n"))
+
+
 def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.document_edges(mail_found(spark, sf_dir))
 
@@ -706,8 +728,10 @@ QUERIES = {
     "quoted_strip": quoted_strip,
     "content_gate": content_gate,
     "decode_fallback": decode_fallback,
+    "decode_charsets": decode_charsets,
     "mail_headers": mail_headers,
     "email_occurrences": email_occurrences,
+    "address_items": address_items,
     "document_edges": document_edges,
     "display_most_frequent": display_most_frequent,
     "slug_normalize": slug_normalize,

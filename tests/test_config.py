@@ -52,7 +52,7 @@ SOURCE = {"name": "a", "type": "filetree", "root": "r"}
     {"db": "x", "sources": [SOURCE], "models": {"other": "m"}}, {"db": "x", "sources": [SOURCE], "entities": {"seeds": 1}},
     *[{"db": "x", "sources": [{**SOURCE, **wrong}]} for wrong in (
         {"name": ""}, {"type": "zip"}, {"branch": "main"}, {"convert": ["."]}, {"include": "*.md"}, {"include": [1]},
-        {"embed": "yes"}, {"colour": "red"})],
+        {"embed": "yes"}, {"colour": "red"}, {"root": "s3a://bucket/docs"}, {"root": "file:///docs"})],
     *[{"db": "x", "sources": [{k: v for k, v in SOURCE.items() if k != gone}]} for gone in SOURCE],
 ])
 def test_refused(data, tmp_path):

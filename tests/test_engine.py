@@ -205,6 +205,8 @@ def test_discovery_is_complete_however_it_is_split(spark, tmp_path, splits):
     found = spark.read.format("file_tree").options(root=str(root), splits=splits).load().collect()
     expected = {p for p in {**FILES, **files} if p not in (".git/config", "msg-db.sqlite")}
     assert sorted(r.path for r in found) == sorted(expected)
+    shared = spark.read.format("file_tree").options(root=str(root), splits=splits, per_share=1).load().collect()
+    assert sorted(r.path for r in shared) == sorted(expected)
     stat = (root / "d0/e0/f0.txt").stat()
     assert {r.stat_sig for r in found if r.path == "d0/e0/f0.txt"} == {f"{stat.st_mtime_ns}:{stat.st_size}"}
 

@@ -172,3 +172,15 @@ def test_diff(spark):
     assert forced["same"] == forced["blob"] == "changed" and forced["gone"] == "deleted"
     tally = changes.counts(changes.diff(probes, stored)).first()
     assert (tally.added, tally.changed, tally.deleted, tally.unchanged) == (1, 3, 1, 2)
+
+
+def test_declared_charsets(spark):
+    euro = "Prix : 12,50 € — été"
+    cases = [
+        (euro.encode(), "iso-8859-15", euro), ("12 €".encode("iso-8859-15"), "ISO-8859-15", "12 €"), ("é".encode("cp1252"), None, "é"),
+        ("caf\xe9".encode("latin-1"), "not-a-charset", "café"), (b"\xe9\xff", "ascii", "éÿ"), (b"\xe9", "rot13", "é"), (b"\xe9", "hex", "é"),
+        ("日本".encode("shift_jis"), "shift_jis", "日本"), (b"", "latin-1", ""), (None, "latin-1", None),
+    ]
+    rows = spark.createDataFrame([(i, bytearray(raw) if raw is not None else None, c) for i, (raw, c, _) in enumerate(cases)], "i int, raw binary, c string")
+    got = rows.select("i", tx.decode_declared(F.col("raw"), F.col("c")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [want for *_, want in cases]
