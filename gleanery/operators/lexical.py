@@ -26,6 +26,7 @@ from gleanery.functions import analysis
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 CANDIDATES = 50
+KEPT = "_kept"  # whether a row passes the caller's filter
 ORDER_DIGITS = 9  # scores are compared at this precision, so ulp noise cannot reorder ties
 
 
@@ -121,11 +122,15 @@ def index_frequencies(postings: DataFrame, phrases: list[list[str]], keys: list[
 
 
 def collection_stats(matches: DataFrame, n_phrases: int) -> DataFrame:
-    """One row: collection size, mean length, and per phrase how many rows hold it."""
+    """One row: collection size, mean length, and per phrase how many rows hold it.
+
+    ``last`` looks at every column: ranking does so too, and then Spark sees that both read the same exchange.
+    """
     return matches.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("dl").alias("avgdl"),
         document_frequencies(n_phrases).alias("df"),
+        F.max(F.xxhash64(*matches.columns)).alias("last"),
     )
 
 
@@ -155,7 +160,11 @@ def rank_bm25(matches: DataFrame, stats: DataFrame, n_phrases: int, tie: list[st
     expression as a scalar subquery, so no join is planned.
     """
     every = reduce(and_, [F.col("tf")[i] > 0 for i in range(n_phrases)])
-    known = stats.select(F.struct("n", "avgdl", "df").alias("s")).scalar()
+    if KEPT in matches.columns:
+        every = every & F.col(KEPT)
+    if "last" in stats.columns:  # true of every row
+        every = every & (F.xxhash64(*matches.columns) <= F.col("_s.last"))
+    known = stats.select(F.struct(*stats.columns).alias("s")).scalar()
     chosen = matches if keep is None else matches.where(keep)
     relevance = bm25(
         F.col("tf"), F.col("dl"), F.col("_s.n"), F.col("_s.avgdl"), F.col("_s.df"), n_phrases
@@ -172,17 +181,24 @@ def rank_bm25(matches: DataFrame, stats: DataFrame, n_phrases: int, tie: list[st
         scored = known_rows.withColumn("score", score).drop("_s").orderBy(
             F.round("score", ORDER_DIGITS).desc_nulls_last(), *tie
         ).limit(limit)
-    return scored.where(F.col("score").isNotNull())
+    return scored.where(F.col("score").isNotNull()).drop(KEPT)
 
 
 def search_texts(docs: DataFrame, text: str, query: str, tie: list[str], *, analyser: str = "porter",
                  keep: Column | None = None, limit: int | None = CANDIDATES) -> DataFrame:
-    """BM25 top list straight from texts (no index)."""
+    """BM25 top list straight from texts (no index).
+
+    Texts are read and tokenised once: statistics and ranking share one exchange of lengths and counts. A filter
+    would be pushed below it and part the two again, so ``keep`` travels as a column.
+    """
     phrases = analysis.query_phrases(query, analyser)
     if not phrases:
         return docs.limit(0).drop(text).withColumns(
             {"dl": F.lit(0), "tf": F.array(F.lit(0)), "score": F.lit(0.0)}
         )
     matches = scan_matches(docs, text, phrases, analyser)
+    if keep is not None:
+        matches = matches.withColumn(KEPT, F.coalesce(keep, F.lit(False)))
+    matches = matches.repartition(*tie)
     stats = collection_stats(matches, len(phrases))
-    return rank_bm25(matches, stats, len(phrases), tie, keep, limit)
+    return rank_bm25(matches, stats, len(phrases), tie, limit=limit)
