@@ -340,34 +340,30 @@ def newest_documents(edges: DataFrame, documents: DataFrame, kind: str, key: str
     )
 
 
-def documents_per_address(edges: DataFrame, known: DataFrame, rels: tuple[str, ...],
-                          on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``key, display, n``: distinct documents per address over the given relations."""
-    counted = edges.where((F.col("kind") == "email") & F.col("rel").isin(*rels)).groupBy("key").agg(
-        F.count_distinct(*on).alias("n")
-    )
-    return known.where("kind = 'email'").join(counted, "key").select("key", "display", "n")
+def documents_per_address(edges: DataFrame, rels: dict[str, tuple[str, ...]], on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``key`` and, for each name of ``rels``, how many distinct documents an address has over those relations.
+
+    One pass: a document's relations to an address become flags, which are then added up per address.
+    """
+    mine = edges.where((F.col("kind") == "email") & F.col("rel").isin(sorted({r for rs in rels.values() for r in rs})))
+    flags = mine.groupBy("key", *on).agg(*[F.max(F.col("rel").isin(*rs)).alias(name) for name, rs in rels.items()])
+    return flags.groupBy("key").agg(*[F.count_if(F.col(name)).alias(name) for name in rels])
 
 
 def alias_review(edges: DataFrame, known: DataFrame, top_n: int = 200,
                  on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Top correspondents plus every commit author: ``key, display, n, tags``."""
+    counted = documents_per_address(edges, {"corresponded": CORRESPONDENT_RELS, "committed": ("author",)}, on)
     top = (
-        documents_per_address(edges, known, CORRESPONDENT_RELS, on)
-        .orderBy(F.col("n").desc(), "key").limit(top_n)
-        .select("key", F.col("display").alias("c_display"), F.col("n").alias("c_n"))
-    )
-    authors = documents_per_address(edges, known, ("author",), on).select(
-        "key", F.col("display").alias("a_display"), F.col("n").alias("a_n")
-    )
-    tags = F.concat_ws(
-        "+",
-        F.when(F.col("c_n").isNotNull(), "correspondent"),
-        F.when(F.col("a_n").isNotNull(), "git author"),
+        counted.where("corresponded > 0").orderBy(F.col("corresponded").desc(), "key").limit(top_n)
+        .select("key", F.lit(True).alias("top"))
     )
-    return top.join(authors, "key", "full_outer").select(
+    chosen = counted.join(F.broadcast(top), "key", "left").where("top OR committed > 0")  # ``top_n`` rows
+    tags = F.concat_ws("+", F.when(F.col("top"), "correspondent"), F.when(F.col("committed") > 0, "git author"))
+    names = known.where("kind = 'email'").select("key", "display")
+    return chosen.join(names, "key").select(
         "key",
-        F.coalesce("c_display", "a_display", "key").alias("display"),
-        F.coalesce("c_n", "a_n").alias("n"),
+        F.coalesce("display", "key").alias("display"),
+        F.when(F.col("top"), F.col("corresponded")).otherwise(F.col("committed")).alias("n"),
         tags.alias("tags"),
     ).orderBy(F.col("n").desc(), "key")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -66,6 +67,13 @@ def shared_folder(spark: SparkSession) -> str:
     return scratch_root(spark, tempfile.mkdtemp(prefix="gleanery-") if local else None)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, for a result that several parts of one query need."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for per-row work on a table stored in too few splits.
 

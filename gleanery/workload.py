@@ -23,7 +23,7 @@ from gleanery.plans import embed as embedding_plan
 from gleanery.plans import search as searching
 from gleanery.plans.index import Index
 from gleanery.plans.update import Outcome, merge_parts, update_source
-from gleanery.session import shared_folder, ship_package, spread
+from gleanery.session import shared_folder, ship_package, spread, stored
 from gleanery.tables import table_loader, table_probes
 
 DIGITS = 6  # published floats
@@ -487,7 +487,7 @@ def mentions_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, links, known entities) of the mail archive with aliases applied."""
-    found = mail_found(spark, sf_dir)
+    found = stored(mail_found(spark, sf_dir))
     votes = entities.name_votes(found)
     links, extra = entities.linked(votes, ALIASES)
     return entities.document_edges(found), links, entities.entities(votes.unionByName(extra))
@@ -517,22 +517,23 @@ def entity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_card_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = entities.document_edges(mail_found(spark, sf_dir))
+    messages = stored(mail(spark, sf_dir))
+    edges = entities.document_edges(entities.mail_occurrences(messages, ("from", "to")))
     kind, key = CARD_ENTITY
-    docs = mail(spark, sf_dir).select("doc_id", "source", "path", "title", "doc_date")
+    docs = messages.select("doc_id", "source", "path", "title", "doc_date")
     return entities.newest_documents(edges, docs, kind, key)
 
 
 def alias_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correspondents of the archive, with customers of finished orders as commit authors."""
-    messages = mail(spark, sf_dir)
+    messages = stored(mail(spark, sf_dir).select("doc_id", "source", "path", "from", "to"))
     commits = messages.where("doc_id % 5 = 0").select(
         "doc_id", F.lit("repo").alias("source"), "path",
         F.regexp_extract("from", "<([^>]*)>", 1).alias("email"), F.regexp_extract("from", "^(.*) <", 1).alias("name"),
     )
-    found = entities.mail_occurrences(messages, ("from", "to")).unionByName(
+    found = stored(entities.mail_occurrences(messages, ("from", "to")).unionByName(
         entities.person_occurrences(commits, "author", "email", "name", 0)
-    )
+    ))
     known = entities.entities(entities.name_votes(found))
     return entities.alias_review(entities.document_edges(found), known, TOP_N)
 
