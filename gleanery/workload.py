@@ -215,7 +215,7 @@ def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ranking from postings instead of texts, over chunks."""
     phrases = analysis.query_phrases(QUERY_AND, "simple")
     chunks = corpus_chunks(spark, sf_dir).select("doc_id", "seq", "text")
-    rows = lexical.build_postings(chunks, analyser="simple")
+    rows = stored(lexical.build_postings(chunks, analyser="simple"))
     matches = lexical.index_matches(rows, phrases, ["doc_id", "seq"])
     lengths = chunks.select(analysis.word_count(F.col("text"), "simple").alias("dl")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
