@@ -17,11 +17,12 @@ conflicting labels count as toxic. Tables may be empty and have more columns.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +33,6 @@ from gleanery.llm.shared import quoted
 SAMPLE, TERMS, MIN_DOCS, MIN_Z, BUCKET_BITS = 10_000, 1 << 14, 6, 4.0, 22
 #: The chance that any pair of a sample without interactions passes.
 PAIR_ERROR = 0.05
-PAIR_TASKS = 64
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 128, 0.2, 1e-5
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 
@@ -143,11 +143,11 @@ def expected(kept: np.ndarray, docs_with: np.ndarray, sets: list[np.ndarray], la
     return out
 
 
-def in_telling_pairs(spark: SparkSession, columns: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, chances: np.ndarray) -> np.ndarray:
+def in_telling_pairs(columns: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, chances: np.ndarray) -> np.ndarray:
     """Those of the sorted buckets ``columns`` in a pair whose rows are toxic far more, or less, often than ``chances`` say.
 
-    Every pair that MIN_DOCS rows share is counted, in PAIR_TASKS tasks that share the sets of the (bounded) sample. It passes if
-    Chernoff's bound of its count, times the number of pairs, is at most PAIR_ERROR. Buckets of the very same rows are counted as one.
+    Every pair that MIN_DOCS rows share is counted. It passes if Chernoff's bound of its count, times the number of
+    pairs, is at most PAIR_ERROR. Buckets of the very same rows are counted as one.
     """
     known = Machine(columns, np.ones(len(columns)))
     rows = [known.known(s, np.array([0, len(s)]))[0] for s in sets]
@@ -162,32 +162,17 @@ def in_telling_pairs(spark: SparkSession, columns: np.ndarray, sets: list[np.nda
     ends = np.cumsum([len(r) for r in rows])
     # Rows, toxic rows and 1024 times the chances, in 14, 14 and 24 bits of one double (SAMPLE < 2^14).
     tally = 1.0 + labels * 2.0 ** 14 + np.clip(np.rint(chances * 1024), 10, 1014) * 2.0 ** 28
-    shared = spark.sparkContext.broadcast((np.concatenate(rows), ends, tally, len(first)))
-    del rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for share in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(telling_of_share(share, *shared.value))], names=["lead"])
-
-    found = spark.range(0, PAIR_TASKS, 1, PAIR_TASKS).mapInArrow(run, "lead long").distinct().collect()  # at most TERMS numbers
-    shared.destroy()
-    telling = np.zeros(len(first), bool)
-    telling[[r.lead for r in found]] = True
+    telling = telling_leads(np.concatenate(rows), ends, tally, len(first))
     return columns[telling[place[first][twin]]]
 
 
-def telling_of_share(share: int, flat: np.ndarray, ends: np.ndarray, tally: np.ndarray, n: int) -> np.ndarray:
-    """Members of the telling pairs whose first member is ``share`` modulo PAIR_TASKS.
-
-    ``flat`` has the sets one after the other, each in order, and ``ends`` where each ends.
-    """
+def telling_leads(flat: np.ndarray, ends: np.ndarray, tally: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` members are in a telling pair. ``flat`` has the sets one after the other, each in order; each ends at ``ends``."""
     limit = np.log(max(n * (n - 1) / 2, 1) / PAIR_ERROR)
     telling = np.zeros(n, bool)
-    mine = np.flatnonzero(flat % PAIR_TASKS == share)
-    mine = mine[np.argsort(flat[mine], kind="stable")]
-    leads, begins = np.unique(flat[mine], return_index=True)
-    for i, at in zip(leads.tolist(), np.split(mine, begins[1:]), strict=True):
+    entries = np.argsort(flat, kind="stable").astype(np.int32)
+    leads, begins = np.unique(flat[entries], return_index=True)
+    for i, at in zip(leads.tolist(), np.split(entries, begins[1:]), strict=True):
         row = np.searchsorted(ends, at, "right")
         counts = ends[row] - at - 1  # the row's entries behind this one
         total = int(counts.sum())
@@ -204,7 +189,7 @@ def telling_of_share(share: int, flat: np.ndarray, ends: np.ndarray, tally: np.n
         passed = some[exponent >= limit]
         telling[passed + i] = True
         telling[i] |= len(passed) > 0
-    return np.flatnonzero(telling)
+    return telling
 
 
 def bucket_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -221,12 +206,23 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = known.groupBy(quoted(doc_id).alias("doc_id")).agg(F.max(quoted(toxic)).alias("label"))
     chosen = F.broadcast(sample(known, "doc_id", SAMPLE))  # SAMPLE rows of two numbers
     texts = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")).join(chosen, "doc_id")
-    rows = sample(terms(texts.select("label", "text")).withColumn("at", F.xxhash64("terms")), "at", SAMPLE).collect()
-    if not rows:
-        return None
-    sets = [np.frombuffer(r["terms"], "<i4") for r in rows]
-    toxic_rows = np.array([float(r["label"] > 0) for r in rows])
-    del rows
+    rows = sample(terms(texts.select("label", "text")).withColumn("at", F.xxhash64("terms")), "at", SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, toxic_rows = [], []
+        for batch in batches:
+            toxic_rows += [float(label > 0) for label in batch.column(0).to_pylist()]
+            sets += [np.frombuffer(body, "<i4") for body in batch.column(1).to_pylist()]
+        if sets:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(sets, np.array(toxic_rows)))], pa.binary())], names=["machine"])
+
+    # The sample is one partition: it is learned from in one task, and only the machine comes to the driver.
+    made = rows.select("label", "terms").mapInArrow(run, "machine binary").first()
+    return pickle.loads(made.machine) if made else None
+
+
+def fitted(sets: list[np.ndarray], toxic_rows: np.ndarray) -> Machine:
+    """A machine of the terms that tell the labels of ``sets``."""
     rate = float(np.clip(toxic_rows.mean(), 1e-6, 1 - 1e-6))
     counts = bucket_counts(sets)
     buckets = np.flatnonzero(counts).astype(np.int32)
@@ -238,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     alone = np.sort(telling[np.argsort(-distance[telling], kind="stable")[:TERMS]])
     frequent = np.sort(often[np.argsort(-docs_with[often], kind="stable")[:TERMS]])
     chances = expected(buckets[alone], docs_with[alone], sets, toxic_rows)
-    paired = in_telling_pairs(docs.sparkSession, buckets[frequent], sets, toxic_rows, chances)
+    paired = in_telling_pairs(buckets[frequent], sets, toxic_rows, chances)
     kept = np.union1d(alone, np.searchsorted(buckets, paired))
     return trained(buckets[kept], docs_with[kept], sets, toxic_rows, paired)
 
