@@ -37,8 +37,9 @@ TABLES = {
         doc_date string, title string, content_indexed boolean, text string, doc_kind string, layout string,
         meta {META.simpleString()}, meta_json string""",
     "chunks": "batch int, doc_id long, seq int, source string, path string, doc_date string, text string, words int",
-    "postings": """term string, batch int, doc_id long, seq int, source string, doc_date string, dl int, tf int,
+    "postings": """term string, batch int, span long, doc_id long, seq int, source string, doc_date string, dl int, tf int,
         positions array<int>""",
+    "blocks": "part int, term string, batch int, span long, n long, max_tf int, min_dl int",
     "occurrences": f"""batch int, doc_id long, kind string, key string, rel string, display string, doc_date string,
         at {AT}""",
     "names": f"kind string, key string, display string, votes long, at {AT}",
@@ -50,7 +51,9 @@ TABLES = {
         tokens long, call string, retries int, error string""",
 }
 CHUNK = ["batch", "doc_id", "seq"]
-BLOOM = {"documents": ["path"], "postings": ["term"], "occurrences": ["key"], "names": ["key"], "links": ["key"]}
+BLOOM = {"documents": ["path"], "postings": ["term"], "occurrences": ["key"], "names": ["key"], "links": ["key"], "blocks": ["term"]}
+#: Documents (as a power of two) that share a span, and postings from which a term's list in a part has blocks.
+SPAN_BITS, LONG_LIST = 8, 1 << 16
 #: Parts of about the same size that are merged together, and the step from one size to the next.
 FAN = 4
 
@@ -73,6 +76,22 @@ def newest_first(found: DataFrame) -> DataFrame:
     return found.hint("rebalance", F.col("key"), F.col("kind")).sortWithinPartitions("key", "kind", F.col("doc_date").desc_nulls_last())
 
 
+def by_span(postings: DataFrame) -> DataFrame:
+    """Postings laid out so that a term's rows of neighbouring documents stand together.
+
+    Rebalancing lets Spark split a term too large for one task over several files, in one pass (a range
+    partitioning would compute its input twice).
+    """
+    spanned = postings.withColumn("span", F.shiftright("doc_id", SPAN_BITS))
+    return spanned.hint("rebalance", F.col("term")).sortWithinPartitions("term", "batch", "span")
+
+
+def blocks_of(postings: DataFrame) -> DataFrame:
+    """What is best in each span of a term: the largest count and the shortest text."""
+    return postings.groupBy("term", "batch", "span").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+
+
 class Index:
     """``version`` opens an older snapshot, for reading, as long as its parts have not been cleaned away."""
 
@@ -115,6 +134,12 @@ class Index:
         writer.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def append_postings(self, postings: DataFrame, part: int) -> None:
+        """Postings of ``part``, and the blocks of its long lists."""
+        blocks = blocks_of(self.append("postings", by_span(postings), part))
+        long = blocks.groupBy("term").agg(F.sum("n").alias("all")).where(F.col("all") >= LONG_LIST).select("term")
+        self.append("blocks", blocks.join(long, "term", "left_semi").withColumn("part", F.lit(part)).sortWithinPartitions("term"), part)
+
     def publish(self, part: Part, base: Snapshot, replaces: Iterable[int] = ()) -> None:
         """Add ``part``, made from ``base``, and take out the parts it ``replaces``.
 
@@ -200,9 +225,10 @@ class Index:
         base, number = self.snapshot, self.begin("compact")
         parts = [p.part for p in chosen]
         rest = [n for n in base.numbers() if n not in parts]
-        for name, order in (("documents", ["source", "path"]), ("chunks", CHUNK), ("postings", ["term"]), ("vectors", CHUNK)):
+        for name, order in (("documents", ["source", "path"]), ("chunks", CHUNK), ("vectors", CHUNK)):
             rows = self.live(name, parts=parts)
             self.append(name, rows.hint("rebalance", F.col(order[0])).sortWithinPartitions(*order), number)
+        self.append_postings(self.live("postings", parts=parts), number)
         write_names(self.append("occurrences", newest_first(self.live("occurrences", parts=parts)), number), number)
         # Retired rows of merged parts are left out by now; the others' are still needed.
         others = self.read("documents", parts=rest).select(F.col("batch").alias("gone_batch"), "doc_id")

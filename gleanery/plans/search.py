@@ -12,6 +12,7 @@ from gleanery.functions import analysis
 from gleanery.functions import text as tx
 from gleanery.functions.snippet import snippet
 from gleanery.operators import fusion, lexical, vectors
+from gleanery.plans import pruning
 from gleanery.plans.index import CHUNK, Index
 
 MODES = ("lexical", "semantic", "hybrid")
@@ -35,6 +36,10 @@ def lexical_scores(index: Index, phrases: list[list[str]], keep: Column | None,
     """Chunks by BM25. Only postings of the query's terms are read; collection
     size comes from the snapshot and is not narrowed by ``keep``."""
     terms = sorted({t for p in phrases for t in p})
+    if limit is not None and len(terms) == len(phrases):  # single words, each once
+        pruned = pruning.pruned_scores(index, [p[0] for p in phrases], keep, limit)
+        if pruned is not None:
+            return pruned
     rows = index.live("postings", F.col("term").isin(terms))
     matches = lexical.index_matches(rows, phrases, [*CHUNK, "source", "doc_date"])
     totals = index.totals()

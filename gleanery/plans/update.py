@@ -89,7 +89,7 @@ def update_source(index: Index, source: Source, seeds: entities.Seeds, aliases:
         docs = index.append("documents", loaded, part)
         chunks = index.append("chunks", chunked(docs), part)
         words = lexical.build_postings(chunks.select("batch", "doc_id", "seq", "source", "doc_date", "text"))
-        index.append("postings", by_key(words, "term"), part)
+        index.append_postings(words, part)
         write_entities(index, docs, part, seeds, aliases)
         new_chunks, new_words = _size(chunks)
     if changed + deleted:
