@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.hashing import column_bytes, mix, prefix_sums, random_table, slices, span_hashes
@@ -49,7 +49,7 @@ PACKED = "kind int, bucket int, body binary"
 ANCHOR = (("h", "<u4"), ("c", "<u4"), ("d", "<u2"), ("lo", "<u4"), ("n", "u1"))
 RANGE = (("lo", "<u4"), ("hi", "<u4"))
 NAME = (("h", "<u4"), ("c", "<u4"), ("lo", "<u4"))
-#: What names a text: its document, and a 64-bit checksum that tells apart the texts of rows with one id.
+#: What names a text: its document, and a 64-bit checksum where rows with one id may have several texts (else 0).
 TEXT = ("doc", "tag")
 Rows = dict[str, np.ndarray]
 
@@ -152,15 +152,15 @@ def _least(value: np.ndarray, place: np.ndarray, shift: int) -> tuple[np.ndarray
     return np.where(right, value[shift:], value[:-shift]), np.where(right, place[shift:], place[:-shift])
 
 
-def checksum(data: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def checksum(data: np.ndarray, several: bool = True) -> int:
+    return several and int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def found_runs(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[Rows]:
+def found_runs(ids: np.ndarray, several: list[bool], data: np.ndarray, offsets: np.ndarray) -> Iterator[Rows]:
     """The runs of a batch of texts, slice by slice: doc, tag, lo, n (positions less one), h and c (names)."""
     for first, last in slices(offsets, SLICE):
         begin, end = int(offsets[first]), int(offsets[last])
-        tags = np.array([checksum(data[offsets[i]:offsets[i + 1]]) for i in range(first, last)], np.int64)
+        tags = np.array([checksum(data[offsets[i]:offsets[i + 1]], several[i]) for i in range(first, last)], np.int64)
         # A longer text comes in pieces that share LENGTH - 1 bytes.
         for at in range(begin, max(begin + 1, end - LENGTH + 1), 2 * SLICE) if end - begin > 2 * SLICE else (begin,):
             stop = min(end, at + 2 * SLICE + LENGTH - 1) if end - begin > 2 * SLICE else end
@@ -195,7 +195,7 @@ def anchors(docs: DataFrame, groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for rows in found_runs(ids, *column_bytes(batch.column(1))):
+            for rows in found_runs(ids, batch.column(2).to_pylist(), *column_bytes(batch.column(1))):
                 _, same = np.unique(rows["c"], return_inverse=True)
                 least = np.full(same.max(initial=-1) + 1, np.iinfo(np.int64).max)
                 np.minimum.at(least, same, rows["doc"])
@@ -213,7 +213,7 @@ def anchors(docs: DataFrame, groups: int) -> DataFrame:
                 kept |= {"h": kept["h"] & _U(0xFFFFFFFF), "c": kept["c"] & _U(0xFFFFFFFF), "d": kept["c"] >> _U(48)}
                 yield from dealt(kept, ANCHOR, bucket, ANCHORS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text", _several(docs)).mapInArrow(run, PACKED)
 
 
 def settled(packed: DataFrame, groups: int) -> DataFrame:
@@ -317,12 +317,12 @@ def known_names(packed: DataFrame, groups: int) -> DataFrame:
 
 def _texts(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
     """Id, checksum and bytes of each row that has an id."""
-    for batch in table.select(["doc_id", "text"]).to_batches():
+    for batch in table.select(["doc_id", "text", "several"]).to_batches():
         data, offsets = column_bytes(batch.column(1))
-        for i, doc in enumerate(batch.column(0).to_pylist()):
+        for i, (doc, several) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
             if doc is not None:
                 body = data[offsets[i]:offsets[i + 1]]
-                yield doc, checksum(body), body
+                yield doc, checksum(body, several), body
 
 
 def _documents(ranges: DataFrame) -> DataFrame:
@@ -334,8 +334,13 @@ def _documents(ranges: DataFrame) -> DataFrame:
     return ranges.select("bucket", "body").groupBy("bucket").applyInArrow(run, "doc_id long")
 
 
+def _several(docs: DataFrame) -> Column:
+    """Whether rows with this id may have several texts; true where nobody looked."""
+    return F.col("several") if "several" in docs.columns else F.lit(True).alias("several")
+
+
 def _by_group(docs: DataFrame, groups: int) -> DataFrame:
-    return docs.select(F.pmod("doc_id", F.lit(groups)).cast("int").alias("bucket"), "doc_id", "text")
+    return docs.select(F.pmod("doc_id", F.lit(groups)).cast("int").alias("bucket"), "doc_id", "text", _several(docs))
 
 
 def _with_texts(texts: DataFrame, ranges: DataFrame, run, schema: str) -> DataFrame:
@@ -369,6 +374,8 @@ def without(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 def removed_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     docs = docs.select(quoted(doc_id).cast("long").alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
+    # Ids of several rows; the sieve may hold a few others, whose texts then have a checksum for nothing.
+    docs = marked(docs, sieve(docs.groupBy("doc_id").count().where("count > 1").select("doc_id")), [F.col("doc_id")], "several")
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups = total // GROUP_BYTES + 1
     first = saved(settled(anchors(docs.where("doc_id IS NOT NULL"), groups), groups))
