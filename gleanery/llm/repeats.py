@@ -19,7 +19,7 @@ in a slice, of several runs, at most four go to its group, and the others to ste
 dealt by their own names, and of a name that occurs in many documents of a map task one document's strings go on. Texts move once or twice, and only those of documents that have something to compare or to remove.
 
 Defined results: null texts are empty. Documents with null ids neither lose nor cause anything. Rows
-that share an id never remove from each other (their texts are told apart by a 16-bit checksum). Empty tables, empty and
+that share an id never remove from each other (their texts are told apart by a 64-bit checksum). Empty tables, empty and
 very long texts work; long ones are read in overlapping pieces.
 """
 
@@ -55,43 +55,55 @@ Rows = dict[str, np.ndarray]
 
 
 def pack(rows: Rows, layout: tuple) -> bytes:
-    """The texts of the rows once each, then the rows with the place of their text."""
-    doc, tag = (rows[name].astype(np.int64) for name in TEXT)
+    """The texts of the rows once each, then the rows with the place of their text: a bit per row where they come text by text.
+
+    Numbers lie byte by byte (all lowest bytes first): those that are mostly zero, as of ids and places, then compress to nothing.
+    """
+    doc, tag = (rows[name].astype("<i8") for name in TEXT)
     order = np.lexsort((tag, doc))
     new = np.ones(len(order), bool)
     new[1:] = (doc[order][1:] != doc[order][:-1]) | (tag[order][1:] != tag[order][:-1])
-    place = np.zeros(len(order), "<u4")
-    place[order] = np.cumsum(new) - 1
     first = order[new]
+    if ordered := bool((order[1:] > order[:-1]).all()):
+        place = np.packbits(new)
+    else:
+        place = np.zeros(len(order), "<u4")
+        place[order] = np.cumsum(new) - 1
     return b"".join([
-        np.array([len(order), len(first)], "<u4").tobytes(), doc[first].tobytes(), tag[first].tobytes(),
-        place.astype(_place_kind(len(first))).tobytes(), *[rows[name].astype(kind).tobytes() for name, kind in layout]])
+        np.array([len(order), len(first), ordered], "<u4").tobytes(), _planes(doc[first]), _planes(tag[first]),
+        _planes(place), *[_planes(rows[name].astype(kind)) for name, kind in layout]])
 
 
-def _place_kind(texts: int) -> str:
-    return "<u2" if texts <= 1 << 16 else "<u4"
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def unpack(bodies: Iterator[bytes], layout: tuple) -> Rows:
     parts: dict[str, list[np.ndarray]] = {name: [] for name in (*TEXT, *(name for name, _ in layout))}
     for body in bodies:
-        n, texts = np.frombuffer(body, "<u4", 2).tolist()
-        known, at = np.frombuffer(body, "<i8", 2 * texts, 8), 8 + 16 * texts
-        kind = _place_kind(texts)
-        place = np.frombuffer(body, kind, n, at)
-        at += n * np.dtype(kind).itemsize
-        parts["doc"].append(known[:texts][place])
-        parts["tag"].append(known[texts:][place])
+        n, texts, ordered = np.frombuffer(body, "<u4", 3).tolist()
+        at = 12
+
+        def column(rows: int, kind: str) -> np.ndarray:
+            nonlocal at
+            size = np.dtype(kind).itemsize
+            planes = np.frombuffer(body, np.uint8, rows * size, at).reshape(size, rows)
+            at += rows * size
+            return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+        doc, tag = column(texts, "<i8"), column(texts, "<i8")
+        place = np.cumsum(np.unpackbits(column((n + 7) // 8, "u1"), count=n), dtype=np.int64) - 1 if ordered else column(n, "<u4")
+        parts["doc"].append(doc[place])
+        parts["tag"].append(tag[place])
         for name, kind in layout:
-            parts[name].append(np.frombuffer(body, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+            parts[name].append(column(n, kind))
     kinds = {**dict.fromkeys(TEXT, "<i8"), **dict(layout)}
     return {name: np.concatenate(parts[name]) if parts[name] else np.zeros(0, kind) for name, kind in kinds.items()}
 
 
 def dealt(rows: Rows, layout: tuple, bucket: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows, one per bucket."""
-    order = np.argsort(bucket, kind="stable")
+    """Packed rows, one per bucket, text by text."""
+    order = np.lexsort((rows["lo"], rows["tag"], rows["doc"], bucket))
     bucket = bucket[order]
     rows = {name: rows[name][order] for name in (*TEXT, *(name for name, _ in layout))}
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
