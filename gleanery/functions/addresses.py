@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from email.utils import getaddresses
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,14 +20,15 @@ ADDRESS = T.StructType().add("address", T.StringType()).add("name", T.StringType
 @F.arrow_udf(T.ArrayType(ADDRESS))
 def parse_headers(headers: pa.Array) -> pa.Array:
     """Addresses of an array of header strings; one string may hold several."""
-    out = []
-    for strings in headers.to_pylist():
-        pairs = getaddresses([s for s in strings or () if s is not None])
-        out.append([
-            {"address": addr.strip(), "name": name.strip() or None} for name, addr in pairs if addr
-        ])
     kind = pa.list_(pa.struct([("address", pa.string()), ("name", pa.string())]))
-    return pa.array(out, kind)
+    if headers.null_count == len(headers):  # nearly every batch: plain headers are not for Python
+        return pa.ListArray.from_arrays(pa.array(np.zeros(len(headers) + 1, np.int32)), pa.array([], kind.value_type))
+    return pa.array([listed(strings) if strings else [] for strings in headers.to_pylist()], kind)
+
+
+def listed(strings: list[str | None]) -> list[dict[str, str | None]]:
+    pairs = getaddresses([s for s in strings if s is not None])
+    return [{"address": addr.strip(), "name": name.strip() or None} for name, addr in pairs if addr]
 
 
 # Items that mean the same to any reader: 'addr' or 'words <addr>', nothing quoted,
