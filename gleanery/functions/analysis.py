@@ -26,6 +26,7 @@ TERM_ENTRIES = T.ArrayType(
 )
 WORD_PATTERN = r"[\p{L}\p{N}\p{Co}]+"
 ANALYSERS = ("simple", "porter")
+WORDS_AT_ONCE = 1 << 18  # words whose places are sorted at once
 
 # Suffix rules of the 1980 Porter paper, by step.
 _STEP2 = (
@@ -209,8 +210,7 @@ def stem_words(column: pa.Array) -> pa.Array:
 def term_positions(column: Column | str, analyser: str) -> Column:
     """``array<struct<term, tf, positions>>`` of a word array, one entry per term."""
 
-    @F.arrow_udf(TERM_ENTRIES)
-    def grouped(column: pa.Array) -> pa.Array:
+    def of_slice(column: pa.Array) -> pa.Array:
         codes, terms = _encode(column, analyser)
         lengths = pc.fill_null(column.value_lengths(), 0).to_numpy()
         row = np.repeat(np.arange(len(column)), lengths)
@@ -231,9 +231,25 @@ def term_positions(column: Column | str, analyser: str) -> Column:
         )
         return pa.ListArray.from_arrays(_offsets(np.bincount(row[starts], minlength=len(column))), entries)
 
+    @F.arrow_udf(TERM_ENTRIES)
+    def grouped(column: pa.Array) -> pa.Array:
+        made = [of_slice(part) for part in word_slices(column)]
+        return pa.concat_arrays(made) if len(made) > 1 else made[0]
+
     return grouped(column)
 
 
+def word_slices(column: pa.Array) -> list[pa.Array]:
+    """An array column in slices of about WORDS_AT_ONCE words, and one row at least."""
+    ends = np.cumsum(pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts, first = [0], 0
+    while first < len(column):
+        before = int(ends[first - 1]) if first else 0
+        first = max(first + 1, int(np.searchsorted(ends, before + WORDS_AT_ONCE, "right")))
+        cuts.append(first)
+    return [column.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] or [column]
+
+
 @lru_cache(maxsize=1)
 def _accent_map() -> dict[int, str | None]:
     source, target = accent_table()

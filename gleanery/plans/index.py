@@ -136,9 +136,11 @@ class Index:
 
     def append_postings(self, postings: DataFrame, part: int) -> None:
         """Postings of ``part``, and the blocks of its long lists."""
-        blocks = blocks_of(self.append("postings", by_span(postings), part))
-        long = blocks.groupBy("term").agg(F.sum("n").alias("all")).where(F.col("all") >= LONG_LIST).select("term")
-        self.append("blocks", blocks.join(long, "term", "left_semi").withColumn("part", F.lit(part)).sortWithinPartitions("term"), part)
+        stored = self.append("postings", by_span(postings), part)
+        long = stored.groupBy("term").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= LONG_LIST).select("term")
+        # One row per LONG_LIST postings at most; only the postings of long lists are grouped.
+        blocks = blocks_of(stored.join(F.broadcast(long), "term", "left_semi"))
+        self.append("blocks", blocks.withColumn("part", F.lit(part)).sortWithinPartitions("term"), part)
 
     def publish(self, part: Part, base: Snapshot, replaces: Iterable[int] = ()) -> None:
         """Add ``part``, made from ``base``, and take out the parts it ``replaces``.

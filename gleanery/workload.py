@@ -610,9 +610,9 @@ _stored: dict[tuple[str, str], tuple[Index, list[Outcome]]] = {}
 
 def versions(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """What a source holds at first and later: drafts of some documents, some not yet there, some there no longer."""
-    docs = corpus(spark, sf_dir).drop("path").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    docs = docs.select(
-        F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), "doc_date", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(
+        F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), doc_date(F.col("doc_id")).alias("doc_date"),
+        F.coalesce("lang", F.lit("")).alias("lang"), "text")
     draft = F.when(F.col("lang") == CHANGED_LANG, F.substring("text", 1, DRAFT_CHARS)).otherwise(F.col("text"))
     return [docs.where(F.col("lang") != ADDED_LANG).withColumn("text", draft), docs.where(F.col("lang") != DELETED_LANG)]
 
