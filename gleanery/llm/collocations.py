@@ -32,9 +32,9 @@ from gleanery.llm.shared import quoted, stored
 
 MIN_COUNT, LONGEST, TOP, WITHIN = 30, 4, 2000, 80
 #: Bytes of text, and occurrences, that are worked on at once; occurrences that are counted together before they leave a task.
-TEXT_BYTES, AT_ONCE, COUNTED = 2 << 20, 1 << 19, 1 << 21
+TEXT_BYTES, AT_ONCE, COUNTED = 1 << 19, 1 << 18, 1 << 21
 #: Entries of one row of a relation (more if a piece has more): readers hold thousands of rows.
-ROW = 512
+ROW = 128
 #: Bits of a sieve per key, and at most (32 MB). Beyond 2^24 keys it lets more and more through; counts stay exact.
 BITS_PER_KEY, MOST_BITS = 16, 1 << 28
 #: Rows of one language that are ranked by one task.
