@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from email.utils import getaddresses
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,20 @@ ADDRESS = T.StructType().add("address", T.StringType()).add("name", T.StringType
 @F.arrow_udf(T.ArrayType(ADDRESS))
 def parse_headers(headers: pa.Array) -> pa.Array:
     """Addresses of an array of header strings; one string may hold several."""
+    return _lists(headers, lambda strings: listed(strings) if strings else [])
+
+
+@F.arrow_udf(T.ArrayType(ADDRESS))
+def parse_odd(headers: pa.Array) -> pa.Array:
+    """Addresses of header strings that are not plain; the others come as NULL. (Spark hands arrays over far more slowly.)"""
+    return _lists(headers, lambda header: [] if header is None else listed([header]))
+
+
+def _lists(headers: pa.Array, parse: Callable[[Any], list]) -> pa.Array:
     kind = pa.list_(pa.struct([("address", pa.string()), ("name", pa.string())]))
     if headers.null_count == len(headers):  # nearly every batch: plain headers are not for Python
         return pa.ListArray.from_arrays(pa.array(np.zeros(len(headers) + 1, np.int32)), pa.array([], kind.value_type))
-    return pa.array([listed(strings) if strings else [] for strings in headers.to_pylist()], kind)
+    return pa.array([parse(h) for h in headers.to_pylist()], kind)
 
 
 def listed(strings: list[str | None]) -> list[dict[str, str | None]]:
@@ -32,34 +43,48 @@ def listed(strings: list[str | None]) -> list[dict[str, str | None]]:
 
 
 # Items that mean the same to any reader: 'addr' or 'words <addr>', nothing quoted,
-# commented, grouped or folded.
-_MAILBOX = r"[A-Za-z0-9._+\-]+@[A-Za-z0-9.\-]+"
-_WORDS = r"[\p{L}\p{N} .#$%&'*+/=?^_`{|}~!\-]*"
-_PLAIN = rf"^ *(?:{_MAILBOX}|{_WORDS}<{_MAILBOX}>) *\z"
+# commented, grouped or folded. No part can give back what another one needs, hence the possessive
+# quantifiers, which make matching one loop over a header, however long it is.
+_MAILBOX = r"[A-Za-z0-9._+\-]++@[A-Za-z0-9.\-]++"
+_WORDS = r"[\p{L}\p{N} .#$%&'*+/=?^_`{|}~!\-]*+"
+_ITEM = rf" *+(?:{_MAILBOX} *+(?=,|\z)|{_WORDS}<{_MAILBOX}> *+(?=,|\z))"
+_PLAIN = rf"^{_ITEM}(?:,{_ITEM})*+\z"
+
 
+def is_plain(header: Column) -> Column:
+    """Whether Spark can split a header string by itself, which is so for nearly all of them."""
+    return header.rlike(_PLAIN)
 
-def _plain_items(header: Column) -> Column:
+
+def plain_items(header: Column) -> Column:
     return F.split(header, ",")
 
 
-def _plain_address(item: Column) -> Column:
-    spaced = F.trim(F.regexp_replace(F.substring_index(item, "<", 1), " +", " "))
+def plain_parts(item: Column) -> tuple[Column, Column]:
+    """Address and name ('' for none) of an item of a plain header."""
     angled = F.contains(item, F.lit("<"))
-    return F.struct(
-        F.when(angled, F.substring_index(F.substring_index(item, "<", -1), ">", 1)).otherwise(F.trim(item)).alias("address"),
-        F.when(angled & (spaced != ""), spaced).alias("name"),
+    words = F.substring_index(item, "<", 1)
+    spaced = F.when(F.contains(words, F.lit("  ")), F.regexp_replace(words, " +", " ")).otherwise(words)
+    return (
+        F.when(angled, F.substring_index(F.substring_index(item, "<", -1), ">", 1)).otherwise(F.trim(item)),
+        F.when(angled, F.trim(spaced)).otherwise(F.lit("")),
     )
 
 
+def _plain_address(item: Column) -> Column:
+    address, name = plain_parts(item)
+    return F.struct(address.alias("address"), F.when(name != "", name).alias("name"))
+
+
 def parse_header(header: Column) -> Column:
     """Addresses of one header string.
 
     Plain lists, which is nearly all of them, are split by Spark itself; only
     headers with quotes, comments, groups or anything else go to Python.
     """
-    plain = F.forall(_plain_items(header), lambda item: item.rlike(_PLAIN))
-    parsed = parse_headers(F.when(~plain, F.array(header)))
-    return F.when(plain, F.transform(_plain_items(header), _plain_address)).otherwise(parsed)
+    plain = is_plain(header)
+    parsed = parse_odd(F.when(~plain, header))
+    return F.when(plain, F.transform(plain_items(header), _plain_address)).otherwise(parsed)
 
 
 # The keys of an address that comes in parts, the first that is filled counts.
@@ -99,7 +124,8 @@ def address_list(field: Column, kind: T.DataType) -> Column:
 
 def email_key(address: Column) -> Column:
     """Lower case, '+tag' of the local part removed; non-addresses stay as they are."""
-    return F.regexp_replace(F.lower(tx.strip(address)), r"^([^@+]*)\+[^@]*@", "$1@")
+    lower = F.lower(tx.strip(address))
+    return F.when(F.contains(address, F.lit("+")), F.regexp_replace(lower, r"^([^@+]*)\+[^@]*@", "$1@")).otherwise(lower)
 
 
 _NOT_WORD = r"(?U:[^\p{L}\p{N}_\s\x1c-\x1f])"

@@ -56,26 +56,43 @@ def _document(docs: DataFrame) -> list[str]:
 
 
 def mail_occurrences(docs: DataFrame, fields: tuple[str, ...] = MAIL_FIELDS) -> DataFrame:
-    """Addresses of mail documents: ``doc_id, source, path`` plus one column per header field."""
-    kinds = {f.name: f.dataType for f in docs.schema}
-    wide = docs.select(
-        *_document(docs), "source", "path", *[ad.address_list(F.col(f"`{f}`"), kinds[f]).alias(f) for f in fields]
-    )
-
-    def tagged(field: str) -> Column:
-        listed = F.coalesce(F.col(f"`{field}`"), F.array().cast(T.ArrayType(ad.ADDRESS)))
-        return F.transform(listed, lambda who: F.struct(F.lit(field).alias("rel"), who.alias("who")))
+    """Addresses of mail documents: ``doc_id, source, path`` plus one column per header field.
 
-    lists = [tagged(f) for f in fields]
-    rows = wide.select(
-        *_document(docs), "source", "path", F.posexplode_outer(F.concat(*lists)).alias("n", "a")
+    Items of plain headers become rows before they are taken apart, so that Spark compiles what is done to each.
+    """
+    kinds = {f.name: f.dataType for f in docs.schema}
+    kept = [*_document(docs), "source", "path"]
+    texts = [f for f in fields if isinstance(kinds[f], T.StringType)]
+    # One select each, so that nothing is worked out twice: what is plain, the lists, all in one list, its rows, their parts.
+    looked_at = docs.select(*kept, *[F.col(f"`{f}`") for f in fields], *[ad.is_plain(F.col(f"`{f}`")).alias(f"{f} plain") for f in texts])
+
+    def items(field: str) -> Column:
+        """``array<struct<item, who>>``: items of a plain header, or addresses that are parsed already."""
+        header, none = F.col(f"`{field}`"), F.array().cast("array<string>")
+        if field not in texts:
+            return F.arrays_zip(none.alias("item"), F.coalesce(ad.address_list(header, kinds[field]), F.array().cast(T.ArrayType(ad.ADDRESS))).alias("who"))
+        plain = F.col(f"`{field} plain`")
+        parsed = ad.parse_odd(F.when(~plain, header))
+        return F.arrays_zip(F.when(plain, ad.plain_items(header)).otherwise(none).alias("item"), parsed.alias("who"))
+
+    lists = looked_at.select(*kept, *[items(f).alias(f) for f in fields])
+    sizes = [F.size(F.col(f"`{f}`")) for f in fields]
+    rows = lists.select(
+        *kept, *[sum(sizes[1:i], sizes[0]).alias(f"{f} end") for i, f in enumerate(fields, 1)],
+        F.posexplode_outer(F.concat(*[F.col(f"`{f}`") for f in fields])).alias("n", "a"),
     ).where("a IS NOT NULL")
-    return rows.select(
+    address, name = ad.plain_parts(F.col("a.item"))
+    rel = F.coalesce(*[F.when(F.col("n") < F.col(f"`{f} end`"), F.lit(f)) for f in fields])
+    plain = F.col("a.item").isNotNull()
+    parts = rows.select(
+        *kept, "n", rel.alias("rel"), F.when(plain, address).otherwise(F.col("a.who.address")).alias("address"),
+        F.when(plain, name).otherwise(F.coalesce("a.who.name", F.lit(""))).alias("name"))
+    return parts.select(
         *_document(docs),
         F.lit("email").alias("kind"),
-        ad.email_key(F.col("a.who.address")).alias("key"),
-        F.col("a.rel").alias("rel"),
-        F.coalesce("a.who.name", "a.who.address").alias("display"),
+        ad.email_key(F.col("address")).alias("key"),
+        "rel",
+        F.when(F.col("name") != "", F.col("name")).otherwise(F.col("address")).alias("display"),
         _position(F.col("n")).alias("at"),
     )
 
