@@ -56,6 +56,8 @@ BLOOM = {"documents": ["path"], "postings": ["term"], "occurrences": ["key"], "n
 SPAN_BITS, LONG_LIST = 8, 1 << 16
 #: Parts of about the same size that are merged together, and the step from one size to the next.
 FAN = 4
+#: Stored bytes of texts and vectors that one task of a merge reads and sorts into one file.
+TASK_BYTES = 1 << 25
 
 
 class SchemaVersionError(RuntimeError):
@@ -228,8 +230,9 @@ class Index:
         parts = [p.part for p in chosen]
         rest = [n for n in base.numbers() if n not in parts]
         for name, order in (("documents", ["source", "path"]), ("chunks", CHUNK), ("vectors", CHUNK)):
-            rows = self.live(name, parts=parts)
-            self.append(name, rows.hint("rebalance", F.col(order[0])).sortWithinPartitions(*order), number)
+            # Texts stay where they are read: no key has to come together here, so nothing is shuffled.
+            tasks = sum(self.log.size(name, n) for n in parts) // TASK_BYTES + 1
+            self.append(name, self.live(name, parts=parts).coalesce(tasks).sortWithinPartitions(*order), number)
         self.append_postings(self.live("postings", parts=parts), number)
         write_names(self.append("occurrences", newest_first(self.live("occurrences", parts=parts)), number), number)
         # Retired rows of merged parts are left out by now; the others' are still needed.

@@ -34,3 +34,20 @@ def test_only_long_lists_are_grouped_into_blocks(spark, tmp_path, monkeypatch):
 def test_versions_read_the_documents_once(spark):
     for docs in workload.versions(spark, "/root/testdata/sf0.001"):
         assert "Join" not in docs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merging_does_not_shuffle_texts(spark, tmp_path, monkeypatch):
+    written = {}
+    real = plans.Index.append
+    monkeypatch.setattr(plans.Index, "append", lambda self, name, rows, *a, **o: written.setdefault(name, []).append(rows) or real(self, name, rows, *a, **o))
+    index, _ = workload.stored_index(spark, str(tables(tmp_path, spark)))
+    merged = {name: rows[-1]._jdf.queryExecution().executedPlan().toString() for name, rows in written.items()}
+    for name in ("documents", "chunks"):
+        assert "hashpartitioning" not in merged[name] and "RoundRobin" not in merged[name]
+    assert len(index.read("chunks").inputFiles()) == 1  # small parts become one file
+
+
+def tables(folder, spark):
+    """Documents alone, under a path that no other test has built an index of."""
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").write.parquet(str(folder / "documents.parquet"))
+    return folder
