@@ -13,32 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm import bpe, exact_dedup, mixing, near_dedup, queries, toxicity
 from gleanery.llm.shared import scratch
-from gleanery.session import ship_package
+from gleanery.session import ship_package, small_batches
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return toxicity.without_toxic(docs, toxicity.learn(docs, queries.table(spark, sf_dir, "labels")))
 
 
 def exact_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return near_dedup.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document: token count, digests of the ids and of the decoded text, and its place in the mixture."""
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return bpe.round_trip(docs, queries.tokenizer_file(), carried=("mix_block", "mix_row"))
 
 

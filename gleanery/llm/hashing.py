@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; bounds a worker's memory, not what is read.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Bytes of the word beginnings that count as terms too.
 PREFIXES = (4, 5, 6)
 _U = np.uint64

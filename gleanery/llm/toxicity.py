@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.llm.folds import remainder, sample
-from gleanery.llm.hashing import batch_words
+from gleanery.llm.hashing import batch_words, slices
 from gleanery.llm.shared import quoted
 
 SAMPLE, TERMS, MIN_DOCS, MIN_Z, BUCKET_BITS = 10_000, 1 << 14, 6, 4.0, 22
@@ -35,6 +35,8 @@ SAMPLE, TERMS, MIN_DOCS, MIN_Z, BUCKET_BITS = 10_000, 1 << 14, 6, 4.0, 22
 PAIR_ERROR = 0.05
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 128, 0.2, 1e-5
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
+#: Pairs, and rows, that training looks at together; bounds its memory, not what it counts.
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 19, 500
 
 
 def term_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -137,9 +139,10 @@ def expected(kept: np.ndarray, docs_with: np.ndarray, sets: list[np.ndarray], la
     halves = [np.arange(i, len(sets), 2) for i in range(2)]
     for mine, other in (halves, halves[::-1]) if len(sets) > 1 else ():
         machine = trained(kept, docs_with, [sets[i] for i in other], labels[other])
-        bounds = np.concatenate([[0], np.cumsum([len(sets[i]) for i in mine])])
-        logit, _ = machine.logits(*machine.known(np.concatenate([sets[i] for i in mine]), bounds))
-        out[mine] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        for part in np.split(mine, range(ROWS_AT_ONCE, len(mine), ROWS_AT_ONCE)):
+            bounds = np.concatenate([[0], np.cumsum([len(sets[i]) for i in part])])
+            logit, _ = machine.logits(*machine.known(np.concatenate([sets[i] for i in part]), bounds))
+            out[part] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return out
 
 
@@ -171,15 +174,18 @@ def telling_leads(flat: np.ndarray, ends: np.ndarray, tally: np.ndarray, n: int)
     limit = np.log(max(n * (n - 1) / 2, 1) / PAIR_ERROR)
     telling = np.zeros(n, bool)
     entries = np.argsort(flat, kind="stable").astype(np.int32)
-    leads, begins = np.unique(flat[entries], return_index=True)
-    for i, at in zip(leads.tolist(), np.split(entries, begins[1:]), strict=True):
+    for i, at in enumerate(np.split(entries, np.cumsum(np.bincount(flat, minlength=n))[:-1])):
         row = np.searchsorted(ends, at, "right")
         counts = ends[row] - at - 1  # the row's entries behind this one
-        total = int(counts.sum())
-        if not total:
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        if not offsets[-1]:
             continue
-        others = flat[np.repeat(at + 1 - (np.cumsum(counts) - counts), counts) + np.arange(total)] - i
-        sums = np.bincount(others, np.repeat(tally[row], counts), n - i).astype(np.int64)
+        sums = np.zeros(n - i)
+        for a, b in slices(offsets, PAIRS_AT_ONCE):
+            share = counts[a:b]
+            places = np.repeat(at[a:b] + 1 - offsets[a:b], share) + np.arange(offsets[a], offsets[b])
+            sums += np.bincount(flat[places] - i, np.repeat(tally[row[a:b]], share), n - i)
+        sums = sums.astype(np.int64)
         shared, toxic, hope = sums & 16383, sums >> 14 & 16383, (sums >> 28) / 1024
         # The bound's exponent is at most this square, so that few pairs need it.
         some = np.flatnonzero((shared >= MIN_DOCS) & ((toxic - hope) ** 2 >= limit * hope * (1 - hope / np.maximum(shared, 1))))
@@ -193,10 +199,11 @@ def telling_leads(flat: np.ndarray, ends: np.ndarray, tally: np.ndarray, n: int)
 
 
 def bucket_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many of the sets have each bucket, some sets at a time: no more than a few copies of the counts exist at once."""
+    """How many of the sets have each bucket, some sets at a time: no copy of the counts is made."""
     counts = np.zeros(1 << BUCKET_BITS, np.int32)
-    for begin in range(0, len(sets), 500):
-        counts += np.bincount(np.concatenate(sets[begin:begin + 500]), minlength=len(counts)).astype(np.int32)
+    for begin in range(0, len(sets), ROWS_AT_ONCE):
+        found, times = np.unique(np.concatenate(sets[begin:begin + ROWS_AT_ONCE]), return_counts=True)
+        counts[found] += times.astype(np.int32)
     return counts
 
 

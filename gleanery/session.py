@@ -16,6 +16,8 @@ REQUIRED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Spark's limit for the rows of one Arrow batch, and what a chain of Python stages sets it to.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
 
 
 def build_session(app: str = "gleanery", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,6 +49,16 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let Spark send texts to Python in batches of BATCH_BYTES at most, unless the session has a lower limit.
+
+    By default a batch is up to 10,000 rows and 64 MB, which each task's JVM and worker then hold more than once.
+    """
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_LIMIT)) > BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return spark
+
+
 def scratch_root(spark: SparkSession, fallback: str | None = None) -> str:
     """The folder every executor can reach, as the cluster names it.
 
