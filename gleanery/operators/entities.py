@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions import addresses as ad
+from gleanery.functions import windows as win
 from gleanery.operators.sizing import bounded
 
 # Relation names and the order in which kinds answer to a key.
@@ -28,8 +29,8 @@ CORRESPONDENT_RELS = ("from", "to", "cc")
 OCCURRENCE = ["doc_id", "kind", "key", "rel", "display", "at"]
 #: Mentions stand behind all other occurrences of a document.
 MENTIONS_FROM = 1 << 30
-#: Seed names a task can hold, in characters of all names.
-SEED_CHARS = 1 << 26
+#: Seed names that may travel through the driver, and those of one automaton, which every task holds; in characters of all names.
+SEED_CHARS, AUTOMATON_CHARS = 1 << 26, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -154,34 +155,62 @@ class Names:
         return places
 
 
+def _haystack() -> Column:
+    def shown(c: str) -> Column:
+        return F.when(F.col(c) != "", F.col(c))
+
+    return F.lower(F.concat_ws("\n", shown("title"), shown("path")))
+
+
+def _mentions(hits: DataFrame, kept: list[str]) -> DataFrame:
+    return hits.select(
+        *kept,
+        "kind",
+        ad.slug(F.col("name")).alias("key"),
+        F.lit("mentions").alias("rel"),
+        F.col("name").alias("display"),
+        _position((F.col("n") + F.lit(MENTIONS_FROM)).alias("n")).alias("at"),
+    )
+
+
 def mention_occurrences(docs: DataFrame, seeds: Seeds) -> DataFrame:
     """Seed names found, ignoring case, in the title or path of a document.
 
     The names travel to the tasks with the function, whence SEED_CHARS; they are not part of the plan.
+    More names than one automaton takes are a table.
     """
     named = [("person", n) for n in seeds.persons if n] + [("org", n) for n in seeds.orgs if n]
-    if sum(len(name) for _, name in named) > SEED_CHARS:
+    chars = sum(len(name) for _, name in named)
+    if chars > SEED_CHARS:
         raise ValueError(f"the seed names are longer than {SEED_CHARS} characters in all")
+    spelled = docs.sparkSession.createDataFrame(
+        [(n, kind, name) for n, (kind, name) in enumerate(named)], "n int, kind string, name string")
+    if chars > AUTOMATON_CHARS:
+        return mentions_in_table(docs, spelled)
     found_in = Names(tuple(name.strip().lower() for _, name in named)).found_in()
-
-    def shown(c: str) -> Column:
-        return F.when(F.col(c) != "", F.col(c))
-
     kept = _document(docs)
-    haystack = F.lower(F.concat_ws("\n", shown("title"), shown("path")))
-    hits = docs.select(*kept, "source", "path", found_in(haystack).alias("ns"))
+    hits = docs.select(*kept, "source", "path", found_in(_haystack()).alias("ns"))
     # The outer form avoids an inferred filter that would repeat the Arrow function.
     hits = hits.select(*kept, "source", "path", F.explode_outer("ns").alias("n")).where("n IS NOT NULL")
-    spelled = docs.sparkSession.createDataFrame(
-        [(n, kind, name) for n, (kind, name) in enumerate(named)], "n int, kind string, name string")
-    return hits.join(bounded(spelled, len(named)), "n").select(
-        *kept,
-        "kind",
-        ad.slug(F.col("name")).alias("key"),
-        F.lit("mentions").alias("rel"),
-        F.col("name").alias("display"),
-        _position((F.col("n") + F.lit(MENTIONS_FROM)).alias("n")).alias("at"),
-    )
+    return _mentions(hits.join(bounded(spelled, len(named)), "n"), kept)
+
+
+@F.arrow_udf(T.StringType())
+def _needle(names: pa.Array) -> pa.Array:
+    return pa.array([name.strip().lower() for name in names.to_pylist()], pa.string())
+
+
+def mentions_in_table(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """The same for any number of seed names: rows ``n, kind, name``.
+
+    Names stay where they are: tasks hold a bitmap of fixed size, and the parts of texts that pass it meet the names in a join.
+    """
+    spelled = names.where(F.col("name") != "").select("n", "kind", "name", _needle("name").alias("needle"))
+    known = win.bitmap(spelled, "needle")
+    kept = _document(docs)
+    hits = docs.select(*kept, "source", "path", win.windows(_haystack(), known).alias("windows"))
+    hits = hits.select(*kept, "source", "path", F.explode_outer("windows").alias("window")).where("window IS NOT NULL")
+    return _mentions(hits.join(spelled, F.col("window") == F.col("needle").cast("binary")), kept)
 
 
 def occurrences(docs: DataFrame, seeds: Seeds) -> DataFrame:

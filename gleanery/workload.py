@@ -478,10 +478,10 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mentions_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is named in a message's title, sender and receivers, with every customer and supplier as a seed."""
-    people = [r[0] for r in table(spark, sf_dir, "customer").select("c_name").collect()]  # a seed file's content; its size is checked
-    firms = [r[0] for r in table(spark, sf_dir, "supplier").select("s_name").collect()]
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"), F.lit("person").alias("kind"), F.col("c_name").alias("name"))
+    firms = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n"), F.lit("org").alias("kind"), F.col("s_name").alias("name"))
     docs = mail(spark, sf_dir).withColumn("title", F.concat_ws(" ", "title", "from", "to"))
-    found = entities.mention_occurrences(docs, entities.Seeds(tuple(people), tuple(firms)))
+    found = entities.mentions_in_table(docs, people.unionByName(firms))
     return found.select("doc_id", "kind", "key", "display")
 
 
