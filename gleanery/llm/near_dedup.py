@@ -14,7 +14,8 @@ compared with a pivot P, the node that shares most buckets with others. A link o
 3/7 (|A| + |B|) common shingles (for 0.75). Where both have that many in common with P, they are compared;
 otherwise some of the common shingles lie outside P, at least k of them by what is known of A's overlap with P, and
 A and B meet in a bucket named by P and one of the |A - P| - k + 1 shingles of A outside P that are rarest there
-(prefix filter). Of those buckets only the ones that still hold two components compare their pairs: first by the
+(prefix filter). Only shingles that may lie outside the same pivot for two nodes become rows: tasks count them by place in
+a bitmap of fixed size, as arrays. Of those buckets only the ones that still hold two components compare their pairs: first by the
 ranks at which two nodes meet, then by their shingles outside P, and those that may still be linked by their full sets.
 So n near copies cost about n comparisons, not n^2, and no link is lost. Every link used is confirmed on the full sets.
 
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 from gleanery.llm.components import components
 from gleanery.llm.hashing import batch_words, mix, random_table
-from gleanery.llm.shared import compact, marked, quoted, saved, sieve, with_groups
+from gleanery.llm.shared import BITMAP_BITS, SIEVE_BITS, compact, marked, quoted, saved, sieve, with_groups
 
 WORDS, BINS, BANDS = 5, 128, 32
 #: Links: PERCENT * union <= 100 * intersection.
@@ -224,13 +225,60 @@ def _loose(pivoted: DataFrame) -> DataFrame:
     return _open_pairs(strays.join(other, same))
 
 
+def _places(pivot_texts: pa.Array, outside: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of all rows, where each falls in the bitmap of (pivot's text, shingle), and where rows end."""
+    items, sizes = outside.flatten().to_numpy(), outside.value_lengths().to_numpy()
+    names = np.repeat(mix(pivot_texts.to_numpy().view(_U)), sizes)
+    return items, (mix(names ^ items.view(_U)) % _U(SIEVE_BITS)).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _met_twice(pivoted: DataFrame) -> np.ndarray:
+    """A bitmap of SIEVE_BITS places that two rows' shingles outside a pivot, or more, fall into. Fuller, it lets more pass.
+
+    Each batch sends every place twice at most, and a cell of the bitmap holds a fixed share of the places.
+    """
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = np.sort(_places(batch.column(0), batch.column(1))[1])
+            spots = spots[np.concatenate([np.ones(min(2, len(spots)), bool), spots[2:] != spots[:-2]])]
+            cells, first = np.unique(spots // BITMAP_BITS, return_index=True)
+            ends = pa.array(np.append(first, len(spots)), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(cells, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(spots % BITMAP_BITS, pa.int32()))], names=["cell", "places"])
+
+    def again(rows: pa.Table) -> pa.Table:
+        places = rows.column("places").combine_chunks().flatten().to_numpy()
+        bits = np.packbits(np.bincount(places, minlength=BITMAP_BITS) > 1, bitorder="little")
+        return pa.table({"cell": rows.column("cell").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    told = pivoted.select("pivot_text", "outside").mapInArrow(tally, "cell int, places array<int>")
+    out = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for cell, bits in told.groupBy("cell").applyInArrow(again, "cell int, bits binary").collect():
+        out[cell * BITMAP_BITS // 8:(cell + 1) * BITMAP_BITS // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _shared_outside(pivoted: DataFrame) -> DataFrame:
+    """``pivoted`` with ``common``: the shingles outside the pivot that another row may have outside the same pivot."""
+    shared = pivoted.sparkSession.sparkContext.broadcast(_met_twice(pivoted))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def common(pivot_texts: pa.Array, outside: pa.Array) -> pa.Array:
+        items, spots, bounds = _places(pivot_texts, outside)
+        stays = shared.value[spots >> 3] >> (spots & 7).astype(np.uint8) & 1 > 0
+        ends = np.concatenate([[0], np.cumsum(stays)])[bounds]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items[stays]))
+
+    return pivoted.withColumn("common", common("pivot_text", "outside"))
+
+
 def _meetings(pivoted: DataFrame) -> DataFrame:
     """Entries of the buckets in which nodes meet outside their pivot, and how much the nodes can share from there on.
 
     ``shared`` is the overlap with the pivot, ``ahead`` the number of shingles outside it from this one on, rarest first.
     """
-    items = pivoted.where("meets > 0").select(
-        "pivot", "pivot_text", "text", F.explode("outside").alias("item"), "node", "n_shingles", "meets",
+    items = _shared_outside(pivoted.where("meets > 0")).select(
+        "pivot", "pivot_text", "text", F.explode("common").alias("item"), "node", "n_shingles", "meets",
         F.col("overlap").alias("shared"), F.size("outside").alias("n_outside"))
     items = items.withColumn("bucket", F.xxhash64("pivot_text", "item")).drop("item", "pivot_text")
     common = saved(items.groupBy("bucket").agg(F.count("*").alias("nodes")).where("nodes > 1"))
