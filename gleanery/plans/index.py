@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from gleanery.operators.sizing import bounded
 from gleanery.plans.snapshots import ConflictError, Part, Snapshot, SnapshotLog
-from gleanery.session import ship_package
+from gleanery.session import freed_shuffles, ship_package
 from gleanery.sources.loading import META
 
 SCHEMA_VERSION = "2"
@@ -57,7 +57,9 @@ SPAN_BITS, LONG_LIST = 8, 1 << 16
 #: Parts of about the same size that are merged together, and the step from one size to the next.
 FAN = 4
 #: Stored bytes of texts and vectors that one task of a merge reads and sorts into one file.
-TASK_BYTES = 1 << 25
+TASK_BYTES = 20 << 20
+#: Stored bytes of chunks or postings whose postings are shuffled at once, and the most shares that they are dealt into.
+SHARE_BYTES, MOST_SHARES = 1 << 27, 8
 
 
 class SchemaVersionError(RuntimeError):
@@ -84,8 +86,8 @@ def by_span(postings: DataFrame) -> DataFrame:
     Rebalancing lets Spark split a term too large for one task over several files, in one pass (a range
     partitioning would compute its input twice).
     """
-    spanned = postings.withColumn("span", F.shiftright("doc_id", SPAN_BITS))
-    return spanned.hint("rebalance", F.col("term")).sortWithinPartitions("term", "batch", "span")
+    dealt = postings.drop("span").hint("rebalance", F.col("term"))  # spans follow from the ids, so they need not move
+    return dealt.withColumn("span", F.shiftright("doc_id", SPAN_BITS)).sortWithinPartitions("term", "batch", "span")
 
 
 def blocks_of(postings: DataFrame) -> DataFrame:
@@ -126,19 +128,31 @@ class Index:
         self.log.drop("runs", number)
 
     def append(self, name: str, rows: DataFrame, part: int, mode: str = "overwrite", **options: str) -> DataFrame:
-        """Write one table's rows of ``part`` and return them as stored."""
+        """Write one table's rows of ``part`` and return them as stored. What was shuffled for it is deleted."""
         schema = T.StructType.fromDDL(TABLES[name])
         chosen = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema])
-        writer = chosen.write.mode(mode).option("parquet.bloom.filter.adaptive.enabled", "true").options(**options)
+        writer = chosen.write.mode(mode).option("compression", "zstd").option("parquet.bloom.filter.adaptive.enabled", "true").options(**options)
         for column in BLOOM.get(name, []):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         path = f"{self.root}/{name}/part={part}"
-        writer.parquet(path)
+        with freed_shuffles(self.spark):
+            writer.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def append_postings(self, postings: DataFrame, part: int) -> None:
-        """Postings of ``part``, and the blocks of its long lists."""
-        stored = self.append("postings", by_span(postings), part)
+    def shares(self, name: str, parts: Iterable[int]) -> int:
+        """How many shares the postings of these parts of a table are shuffled in."""
+        return min(sum(self.log.size(name, n) for n in parts) // SHARE_BYTES + 1, MOST_SHARES)
+
+    def append_postings(self, postings: DataFrame, part: int, shares: int = 1, by: Column | None = None) -> None:
+        """Postings of ``part``, and the blocks of its long lists.
+
+        Shares are written one after the other, so that no more than one of them is shuffled, and on disk twice, at a time.
+        ``by`` deals them out, by default the term; it should be known before any costly step, as all rows are read for each share.
+        """
+        place = F.pmod(F.xxhash64(F.col("term") if by is None else by), F.lit(shares))
+        for n in range(shares):
+            share = postings if shares == 1 else postings.where(place == n)
+            stored = self.append("postings", by_span(share), part, "append" if n else "overwrite")
         long = stored.groupBy("term").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= LONG_LIST).select("term")
         # One row per LONG_LIST postings at most; only the postings of long lists are grouped.
         blocks = blocks_of(stored.join(F.broadcast(long), "term", "left_semi"))
@@ -229,12 +243,13 @@ class Index:
         base, number = self.snapshot, self.begin("compact")
         parts = [p.part for p in chosen]
         rest = [n for n in base.numbers() if n not in parts]
+        # What is shuffled comes first, while there is no second copy of the texts.
+        self.append_postings(self.live("postings", parts=parts), number, self.shares("postings", parts))
+        write_names(self.append("occurrences", newest_first(self.live("occurrences", parts=parts)), number), number)
         for name, order in (("documents", ["source", "path"]), ("chunks", CHUNK), ("vectors", CHUNK)):
             # Texts stay where they are read: no key has to come together here, so nothing is shuffled.
             tasks = sum(self.log.size(name, n) for n in parts) // TASK_BYTES + 1
             self.append(name, self.live(name, parts=parts).coalesce(tasks).sortWithinPartitions(*order), number)
-        self.append_postings(self.live("postings", parts=parts), number)
-        write_names(self.append("occurrences", newest_first(self.live("occurrences", parts=parts)), number), number)
         # Retired rows of merged parts are left out by now; the others' are still needed.
         others = self.read("documents", parts=rest).select(F.col("batch").alias("gone_batch"), "doc_id")
         retired = self.append("retired", self.read("retired", parts=parts).join(others, ["gone_batch", "doc_id"], "left_semi"), number)

@@ -11,7 +11,7 @@ from gleanery.config import Source
 from gleanery.functions import analysis, headers
 from gleanery.operators import changes, chunking, entities, lexical
 from gleanery.operators.sizing import bounded
-from gleanery.plans.index import LAYOUT_VERSION, Index, newest_first
+from gleanery.plans.index import LAYOUT_VERSION, SPAN_BITS, Index, newest_first
 from gleanery.plans.snapshots import Part
 from gleanery.sources.discovery import probes as discover
 from gleanery.sources.loading import load
@@ -89,7 +89,8 @@ def update_source(index: Index, source: Source, seeds: entities.Seeds, aliases:
         docs = index.append("documents", loaded, part)
         chunks = index.append("chunks", chunked(docs), part)
         words = lexical.build_postings(chunks.select("batch", "doc_id", "seq", "source", "doc_date", "text"))
-        index.append_postings(words, part)
+        # Shares are whole spans of documents: what a share leaves out is not taken apart for it.
+        index.append_postings(words, part, index.shares("chunks", [part]), F.shiftright("doc_id", SPAN_BITS))
         write_entities(index, docs, part, seeds, aliases)
         new_chunks, new_words = _size(chunks)
     if changed + deleted:

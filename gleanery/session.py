@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,8 @@ REQUIRED = {
 }
 #: Spark's limit for the rows of one Arrow batch, and what a chain of Python stages sets it to.
 BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
+#: Spark's setting that deletes a query's shuffle files as soon as the query ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "gleanery", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,6 +63,20 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Let Spark delete what the writes in this block shuffled as soon as each is done.
+
+    By default the files stay until the driver happens to collect its garbage, which over a chain of writes may be never.
+    """
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 def scratch_root(spark: SparkSession, fallback: str | None = None) -> str:
     """The folder every executor can reach, as the cluster names it.
 
