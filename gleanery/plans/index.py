@@ -59,7 +59,7 @@ FAN = 4
 #: Stored bytes of texts and vectors that one task of a merge reads and sorts into one file.
 TASK_BYTES = 20 << 20
 #: Stored bytes of chunks or postings whose postings are shuffled at once, and the most shares that they are dealt into.
-SHARE_BYTES, MOST_SHARES = 1 << 27, 8
+SHARE_BYTES, MOST_SHARES = 1 << 26, 4
 
 
 class SchemaVersionError(RuntimeError):
