@@ -201,7 +201,7 @@ class Index:
         schema = T.StructType.fromDDL(TABLES[name])
         numbers = [n for n in (self.snapshot.numbers() if parts is None else parts) if self.log.has_rows(name, n)]
         if not numbers:
-            rows = self.spark.createDataFrame([], schema)
+            rows = self.spark.createDataFrame([], schema).limit(0)  # known to be empty, so that joins with it shuffle nothing
         else:
             rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/part={n}" for n in numbers])
         if name == "vectors":  # the others say why a run stopped

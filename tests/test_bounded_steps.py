@@ -153,3 +153,20 @@ def test_tables_are_stored_with_zstd(spark, tmp_path):
     index.append_postings(rows, 1)
     files = list((tmp_path / "index" / "postings" / "part=1").glob("*.parquet"))
     assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files)
+
+
+def test_joins_with_a_table_without_rows_shuffle_nothing(spark, tmp_path):
+    index = plans.Index(spark, str(tmp_path / "index"))
+    chunks = spark.range(100).select(F.lit(1).alias("batch"), F.col("id").alias("doc_id"), F.lit(0).alias("seq"), F.lit("t").alias("text"))
+    waiting = chunks.join(index.read("vectors").select(*plans.CHUNK), plans.CHUNK, "left_anti")
+    assert "Exchange" not in waiting._jdf.queryExecution().executedPlan().toString()
+    assert waiting.count() == 100
+
+
+def test_an_empty_source_changes_nothing(spark, tmp_path):
+    source = Source("s", "filetree", "/nowhere")
+    found = spark.createDataFrame([], "path string, doc_date string, text string")
+    index = plans.Index(spark, str(tmp_path / "index"))
+    for rows in (found, found.limit(0)):
+        done = update_source(index, source, Seeds(), Aliases(), probes=table_probes(rows, source), loader=table_loader(rows))
+        assert (done.added, done.changed, done.deleted, done.unchanged) == (0, 0, 0, 0)
